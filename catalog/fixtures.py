@@ -15,6 +15,7 @@ from frameloom.operators.applications import (
     with_key_occurrence,
     with_merge_key,
 )
+from frameloom.session import settle
 
 CATEGORIES = ["China_Media", "China_Diplomats", "RF_Media", "RF_Diplomats", "China_Other", "US_Media"]
 FRAMES = {
@@ -95,10 +96,25 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_corpora: dict[tuple[str, str], DataFrame] = {}
+
+
+def keyed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_key_occurrence(with_merge_key(raw_posts(spark, sf_dir)), ["post_id"])
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed corpus as a table, written once per session. The jobs start from
+    a clean corpus on disk; only the key operators start from raw posts."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _corpora:
+        _corpora[place] = settle(keyed_posts(spark, sf_dir), "corpus")
+    return _corpora[place]
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the clean corpus."""
-    keyed = with_key_occurrence(with_merge_key(raw_posts(spark, sf_dir)), ["post_id"])
-    return keyed.drop("focal")
+    return corpus(spark, sf_dir).drop("focal")
 
 
 def focal_list() -> Column:
@@ -110,8 +126,7 @@ def focal_list() -> Column:
 
 def focal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """keys and the raw actor list of every post."""
-    keyed = with_key_occurrence(with_merge_key(raw_posts(spark, sf_dir)), ["post_id"])
-    return keyed.select("merge_key", "key_occurrence", "focal")
+    return corpus(spark, sf_dir).select("merge_key", "key_occurrence", "focal")
 
 
 def focal_column(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def content_key(spark, sf):
 
 @check("key_occurrence", q.query("select post_id, merge_key, key_occurrence from posts", "posts"))
 def key_occurrence(spark, sf):
-    return fx.posts(spark, sf).select("post_id", "merge_key", "key_occurrence")
+    return fx.keyed_posts(spark, sf).select("post_id", "merge_key", "key_occurrence")
 
 
 FULL = (
@@ -794,7 +794,7 @@ def run_label_stream(spark, sf):
     """The documents as an arriving file, labeled by the streaming job."""
     folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = fx.documents(spark, sf).schema
-    arriving = stream_corpus(spark, f"{sf}/documents.parquet", schema).select("doc_id", "text")
+    arriving = stream_corpus(spark, sf, schema, "documents.parquet").select("doc_id", "text")
     label_stream(arriving, f"{folder}/out", f"{folder}/state", TASKS, rule_labeler(), focal=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("text")
 
@@ -944,7 +944,7 @@ def tfidf_features(spark, sf):
     """Both TF-IDF blocks as one sparse vector per application, described."""
     rows = training(spark, sf)
     vectors = features.TfidfVectorizer.fit(rows, settle).transform(rows)
-    describe = F.udf(lambda v: (v.numNonzeros(), float(v.norm(2))), "terms long, length double")
+    describe = F.udf(lambda v: (int(v.numNonzeros()), float(v.norm(2))), "terms long, length double")
     return vectors.withColumn("d", describe("features")).select(
         *APPLICATION, F.col("d.terms").alias("terms"), F.round("d.length", 6).alias("length")
     )

@@ -59,38 +59,45 @@ def require_classes(df: DataFrame, target: str = VALENCE_COLUMN) -> DataFrame:
 def word_grams(text: Column) -> Column:
     """Words and pairs of neighboring words, lower case."""
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
-    followers = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    before_last = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        followers,
+        F.slice(words, F.lit(1), before_last),
+        F.slice(words, F.lit(2), before_last),
         lambda left, right: F.concat_ws(" ", left, right),
     )
     return F.concat(words, pairs)
 
 
-def char_grams(text: Column) -> Column:
-    """Character 3- to 5-grams inside words padded with one space on each side."""
-    words = F.filter(F.split(F.lower(text), f"[{WHITE_SPACE}]+"), lambda word: word != "")
-    padded = F.transform(words, lambda word: F.concat(F.lit(" "), word, F.lit(" ")))
+def _word_terms(documents: DataFrame, key: Sequence[str]) -> DataFrame:
+    terms = F.explode(word_grams(F.col("_text"))).alias("term")
+    return documents.select(*key, terms).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
 
-    def grams(word: Column) -> Column:
-        length = F.char_length(word)
-        per_size = [
-            F.when(
-                length >= size,
-                F.transform(
-                    F.sequence(F.lit(1), length - size + 1),
-                    lambda start, size=size: F.substring(word, start, F.lit(size)),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-            for size in CHAR_GRAMS
-        ]
-        return F.concat(*per_size)
+def _char_terms(documents: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Character 3- to 5-grams inside words padded with one space on each side.
 
-    return F.flatten(F.transform(padded, grams))
+    A word has the same grams wherever it stands, so each distinct word of a
+    document is cut up once and its grams count as often as the word.
+    """
+    words = documents.select(*key, F.explode(F.split(F.lower("_text"), f"[{WHITE_SPACE}]+")).alias("_word"))
+    padded = (
+        words.filter(F.col("_word") != "")
+        .groupBy(*key, "_word")
+        .agg(F.count(F.lit(1)).alias("_times"))
+        .withColumn("_word", F.concat(F.lit(" "), F.col("_word"), F.lit(" ")))
+        .withColumn("_size", F.explode(F.array(*[F.lit(size) for size in CHAR_GRAMS])))
+        .filter(F.char_length("_word") >= F.col("_size"))
+    )
+    start = F.explode(F.sequence(F.lit(1), F.char_length("_word") - F.col("_size") + 1))
+    term = F.substring(F.col("_word"), F.col("_start"), F.col("_size"))
+    return (
+        padded.withColumn("_start", start)
+        .groupBy(*key, term.alias("term"))
+        .agg(F.sum("_times").alias("tf"))
+    )
 
 
-ANALYZERS = {"word": word_grams, "char": char_grams}
+ANALYZERS = {"word": _word_terms, "char": _char_terms}
 
 
 def by_document(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
@@ -99,8 +106,8 @@ def by_document(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
 
 
 def term_counts(documents: DataFrame, key: Sequence[str], analyzer: str) -> DataFrame:
-    terms = F.explode(ANALYZERS[analyzer](F.col("_text"))).alias("term")
-    return documents.select(*key, terms).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Term frequencies per document."""
+    return ANALYZERS[analyzer](documents, key)
 
 
 def vocabulary(
@@ -194,15 +201,21 @@ class TfidfVectorizer:
 # --- structured columns and classes ----------------------------------------------------
 
 
-def one_hot_long(df: DataFrame, fitted: DataFrame, key: Sequence[str], columns: Sequence[str] = STRUCTURED_COLUMNS) -> DataFrame:
+def one_hot_long(
+    df: DataFrame, fitted: DataFrame, key: Sequence[str], columns: Sequence[str] = STRUCTURED_COLUMNS
+) -> DataFrame:
     """Long form of the one-hot block: the slots that are 1, for values that occur
     in the fitting rows; unseen values have no slot."""
-    def long(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-        texts = [F.col(name).cast("string").alias(name) for name in columns]
-        return rows.select(*keep, *texts).unpivot(list(keep), list(columns), "feature", "category")
-
-    known = long(fitted, []).distinct()
-    return long(df, key).join(known, ["feature", "category"], "left_semi")
+    slots = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(name).alias("feature"), F.col(name).cast("string").alias("category"))
+                for name in columns
+            ]
+        )
+    ).alias("_slot")
+    known = fitted.select(slots).select("_slot.*").distinct()
+    return df.select(*key, slots).select(*key, "_slot.*").join(known, ["feature", "category"], "left_semi")
 
 
 def class_weights(df: DataFrame, target: str = VALENCE_COLUMN) -> DataFrame:

@@ -15,6 +15,7 @@ null prompt and cost nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -228,7 +229,7 @@ def label_posts(
                 task,
                 allowed_labels(task),
                 labeler,
-                lambda piece, task=task: task_prompt(task, piece),
+                partial(task_prompt, task),
                 ~F.col("_failed"),
             )
             .withColumns({f"_label_{number}": F.col("_label"), "_failed": failed})

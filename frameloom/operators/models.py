@@ -29,6 +29,8 @@ MAX_ITERATIONS = 1500
 REGULARIZATION_C = 1.0
 HIDDEN_LAYERS = (256, 64)
 MLP_ITERATIONS = 200
+SVM_ITERATIONS = 100
+TOLERANCE = 1e-4
 
 BASELINE = "majority_baseline"
 TFIDF_MODELS = ("tfidf_logistic_regression", "tfidf_linear_svm")
@@ -92,10 +94,11 @@ def estimator(name: str, rows: int, inputs: int, classes: int, seed: int):
             elasticNetParam=0.0,
             standardization=False,
             maxIter=MAX_ITERATIONS,
+            tol=TOLERANCE,
         )
     if name.endswith("linear_svm"):
-        binary = LinearSVC(regParam=penalty, standardization=False, maxIter=100)
-        return OneVsRest(classifier=binary, weightCol="class_weight", **columns)
+        binary = LinearSVC(regParam=penalty, standardization=False, maxIter=SVM_ITERATIONS, tol=TOLERANCE)
+        return OneVsRest(classifier=binary, weightCol="class_weight", parallelism=classes, **columns)
     if name.endswith("mlp"):
         return MultilayerPerceptronClassifier(
             **columns, layers=[inputs, *HIDDEN_LAYERS, classes], maxIter=MLP_ITERATIONS, blockSize=64, seed=seed

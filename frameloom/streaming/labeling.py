@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from frameloom.operators.labeling import Labeler, label_posts
@@ -29,9 +30,16 @@ def stream_posts(
     return rows.na.fill("")
 
 
-def stream_corpus(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
-    """Parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def stream_corpus(
+    spark: SparkSession, folder: str, schema: T.StructType, names: str = "*.parquet", max_files: int = 100
+) -> DataFrame:
+    """Parquet files of a folder as a stream; `names` is a file-name pattern."""
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", names)
+        .option("maxFilesPerTrigger", max_files)
+        .parquet(folder)
+    )
 
 
 def label_stream(
