@@ -16,9 +16,7 @@ from catalog import fixtures as fx
 from catalog import sql as q
 from catalog.rules import CHOICES, rule_labeler
 from frameloom.contract import (
-    NOT_APPLICABLE,
     STRUCTURED_COLUMNS,
-    TASK_LABELS,
     TEXT_CUTS,
     VALENCE_ALIASES,
     VALENCES,
@@ -1109,10 +1107,9 @@ def predict_selected(spark, sf):
 
 @check("predict_rest_tfidf")
 def predict_rest_tfidf(spark, sf):
-    """Fit the TF-IDF logistic regression on the labeled rows, predict the rest."""
-    fitted = models.fit_model(training(spark, sf), "tfidf_logistic_regression", seed=SEED)
+    """Fit the TF-IDF logistic regression on the labeled rows, predict the rest. The
+    vocabulary limit is the model's; all rows and whole texts are read."""
+    fitted = models.fit_model(training(spark, sf), "tfidf_logistic_regression", seed=SEED, max_terms=2000)
     rest = features.prepare_features(fx.unlabeled(spark, sf))
     return models.predict_rest(rest, fitted.predict).select(*APPLICATION, "focal_actor", "predicted_focal_valence")
 
-
-assert NOT_APPLICABLE and TASK_LABELS

@@ -9,7 +9,8 @@ when the row failed.
 Only the prompts travel to Python; everything around the call is column
 expressions. Each pass adds columns to the rows of the pass before, so a row is
 asked once per pass and nothing is joined back. Rows that need no call carry a
-null prompt and cost nothing.
+null prompt and cost nothing. Write the result before sorting it or using it
+twice: Spark would run the labeler again.
 """
 
 from __future__ import annotations

@@ -15,10 +15,10 @@ from pyspark.ml.classification import (
     OneVsRest,
 )
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.contract import NO_ACTOR, NOT_APPLICABLE, STRUCTURED_COLUMNS, VALENCE_COLUMN
+from frameloom.contract import MAX_TERMS, NO_ACTOR, NOT_APPLICABLE, STRUCTURED_COLUMNS, VALENCE_COLUMN
 from frameloom.operators.features import TfidfVectorizer, embedding_vector, with_class_weight
 from frameloom.operators.folds import require_no_leak
 from frameloom.operators.metrics import best_model, confusion, metric_rows, metric_summary
@@ -63,7 +63,7 @@ def majority_by_fold(df: DataFrame, folds: int, target: str = VALENCE_COLUMN) ->
     )
 
 
-def feature_stages(structured: Sequence[str], vector: str, size_hint: str = "skip") -> list:
+def feature_stages(structured: Sequence[str], vector: str) -> list:
     """One-hot structured columns beside a vector column, as `features`.
 
     The indexer keeps a last slot for unseen values and the encoder drops that
@@ -122,6 +122,36 @@ class Predictor:
         ready = _with_vector(df, self.vectorizer)
         return self.pipeline.transform(ready).select(*df.columns, PREDICTED)
 
+    def save(self, path: str, spark: SparkSession) -> None:
+        """Write the model as a folder: a small record, the pipeline, vocabularies."""
+        terms = self.vectorizer.terms if self.vectorizer else {}
+        record = {
+            "name": self.name,
+            "target": self.target,
+            "constant": self.constant,
+            "pipeline": self.pipeline is not None,
+            "terms": list(terms),
+            "size": self.vectorizer.size if self.vectorizer else 0,
+        }
+        if self.pipeline is not None:
+            self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        for analyzer, table in terms.items():
+            table.write.mode("overwrite").parquet(f"{path}/terms-{analyzer}")
+        line = spark.createDataFrame([(json.dumps(record),)], "value string")
+        line.coalesce(1).write.mode("overwrite").text(f"{path}/record")
+
+    @staticmethod
+    def load(path: str, spark: SparkSession) -> Predictor:
+        record = json.loads(spark.read.text(f"{path}/record").first()["value"])
+        terms = {name: spark.read.parquet(f"{path}/terms-{name}") for name in record["terms"]}
+        return Predictor(
+            record["name"],
+            record["target"],
+            constant=record["constant"],
+            pipeline=PipelineModel.load(f"{path}/pipeline") if record["pipeline"] else None,
+            vectorizer=TfidfVectorizer(terms, record["size"]) if terms else None,
+        )
+
 
 def _with_vector(df: DataFrame, vectorizer: TfidfVectorizer | None) -> DataFrame:
     if vectorizer is None:
@@ -135,13 +165,14 @@ def fit_model(
     target: str = VALENCE_COLUMN,
     structured: Sequence[str] = STRUCTURED_COLUMNS,
     seed: int = 42,
+    max_terms: int = MAX_TERMS,
 ) -> Predictor:
     """Fit one model. Vocabularies, indexers and class weights see `train` alone."""
     if name == BASELINE:
         return Predictor(name, target, constant=train.select(majority_class(train, target)).first()[0])
     # The class list of a classifier is short; it becomes the label index.
     classes = [row[0] for row in train.select(target).distinct().orderBy(target).collect()]
-    vectorizer = TfidfVectorizer.fit(train, settle) if name in TFIDF_MODELS else None
+    vectorizer = TfidfVectorizer.fit(train, settle, max_terms=max_terms) if name in TFIDF_MODELS else None
     ready = settle(_with_vector(with_class_weight(train, target), vectorizer), "train")
     extra = [] if name in TFIDF_MODELS else structured
     prepared = Pipeline(stages=feature_stages(extra, "_v")).fit(ready)
@@ -212,12 +243,10 @@ def predict_rest(
         )
         if name in applications.columns
     ]
-    out = f"predicted_{target}"
-    named = F.col("focal_actor") != NO_ACTOR
-    judged = predict(applications.filter(named)).select(*columns, F.col(PREDICTED).alias(out))
-    # `named` is null where the actor is null; such rows do not apply either
-    others = applications.filter(~F.coalesce(named, F.lit(False))).select(*columns, F.lit(NOT_APPLICABLE).alias(out))
-    return judged.unionByName(others)
+    # One pass: scoring a row that does not count is cheaper than reading it twice.
+    # The test is null where the actor is null; such rows do not apply either.
+    value = F.when(F.col("focal_actor") != NO_ACTOR, F.col(PREDICTED)).otherwise(NOT_APPLICABLE)
+    return predict(applications).select(*columns, value.alias(f"predicted_{target}"))
 
 
 def selected_models_record(selected: dict[str, str]) -> str:

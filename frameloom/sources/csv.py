@@ -43,18 +43,22 @@ def read_posts_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
     """All columns as strings, blanks kept as blanks, rows with too many fields
     skipped and rows with too few filled up."""
     names = list(columns) if columns else csv_columns(spark, path)
-    # One column more than the header: a row that reaches it has too many fields.
-    # A row of the right width is one short of this schema and lands in `_bad`.
-    schema = string_schema([*names, "_extra", "_bad"])
     rows = (
         _reader(spark)
-        .schema(schema)
+        .schema(string_schema([*names, "_bad"]))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
         .option("columnPruning", False)
         .csv(path)
     )
-    return rows.filter(F.col("_extra").isNull() & F.col("_bad").isNotNull()).select(*_quoted(names)).na.fill("")
+    # `_bad` holds the text of a row of another width; its separators outside
+    # quotes tell a row that is too short from one that is too long.
+    bare = F.regexp_replace("_bad", '"[^"]*"', "")
+    separators = F.char_length(F.regexp_replace(bare, "[^,]", ""))
+    fits = F.col("_bad").isNull() | (separators < len(names))
+    # Spark refuses to read `_bad` alone, as a bare count would.
+    fits = fits & (F.char_length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0)
+    return rows.filter(fits).select(*_quoted(names)).na.fill("")
 
 
 def _quoted(names: Sequence[str]) -> list[str]:
