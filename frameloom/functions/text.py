@@ -16,7 +16,7 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 FIELD_SEPARATOR = "\x1f"
-KEY_BLANKS = "[ \\t\\n\\f\\r]+"
+KEY_BLANKS = "[ \\t\\n\\f\\r]{2,}|[\\t\\n\\f\\r]"  # a lone space stays as it is
 PARTIAL_WORD = " [^ ]*\\z"
 ELLIPSIS = " ..."
 

@@ -56,21 +56,18 @@ def require_classes(df: DataFrame, target: str = VALENCE_COLUMN) -> DataFrame:
 # --- TF-IDF --------------------------------------------------------------------------
 
 
-def word_grams(text: Column) -> Column:
+def _word_terms(documents: DataFrame, key: Sequence[str]) -> DataFrame:
     """Words and pairs of neighboring words, lower case."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
-    before_last = F.greatest(F.size(words) - 1, F.lit(0))
+    # A step of its own, so that the text is searched once and not once per use.
+    words = documents.select(*key, F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(1)).alias("_words"))
+    before_last = F.greatest(F.size("_words") - 1, F.lit(0))
     pairs = F.zip_with(
-        F.slice(words, F.lit(1), before_last),
-        F.slice(words, F.lit(2), before_last),
+        F.slice("_words", F.lit(1), before_last),
+        F.slice("_words", F.lit(2), before_last),
         lambda left, right: F.concat_ws(" ", left, right),
     )
-    return F.concat(words, pairs)
-
-
-def _word_terms(documents: DataFrame, key: Sequence[str]) -> DataFrame:
-    terms = F.explode(word_grams(F.col("_text"))).alias("term")
-    return documents.select(*key, terms).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = F.explode(F.concat("_words", pairs)).alias("term")
+    return words.select(*key, terms).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _char_terms(documents: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -101,8 +98,13 @@ ANALYZERS = {"word": _word_terms, "char": _char_terms}
 
 
 def by_document(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
-    """Place documents by key once; term counts and norms then need no other shuffle."""
-    return df.select(*key, F.col(text).alias("_text")).repartition(*key)
+    """Place documents by key once; term counts and norms then need no other shuffle.
+
+    The number of partitions is given, or they would be merged by the size of the
+    texts, which is far below the size of the terms.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*key, F.col(text).alias("_text")).repartition(partitions, *key)
 
 
 def term_counts(documents: DataFrame, key: Sequence[str], analyzer: str) -> DataFrame:
@@ -112,12 +114,13 @@ def term_counts(documents: DataFrame, key: Sequence[str], analyzer: str) -> Data
 
 def vocabulary(
     counts: DataFrame,
-    documents: DataFrame,
+    rows: DataFrame,
     min_documents: int = MIN_DOCUMENTS,
     max_terms: int = MAX_TERMS,
 ) -> DataFrame:
-    """Terms in enough documents, the most frequent `max_terms`, with smoothed IDF."""
-    total = documents.agg(F.count(F.lit(1))).scalar()
+    """Terms in enough documents, the most frequent `max_terms`, with smoothed IDF.
+    `rows` are the documents before they were placed; they are only counted."""
+    total = rows.agg(F.count(F.lit(1))).scalar()
     kept = (
         counts.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -151,7 +154,7 @@ def tfidf(
     """Long-form TF-IDF of a set of documents against its own vocabulary."""
     documents = by_document(df, key, text)
     counts = term_counts(documents, key, analyzer)
-    return tfidf_weights(counts, vocabulary(counts, documents, max_terms=max_terms), key)
+    return tfidf_weights(counts, vocabulary(counts, df, max_terms=max_terms), key)
 
 
 @dataclass(frozen=True)
@@ -174,7 +177,7 @@ class TfidfVectorizer:
         tables: dict[str, DataFrame] = {}
         size = 0
         for analyzer in ANALYZERS:
-            learned = vocabulary(term_counts(documents, key, analyzer), documents, max_terms=max_terms)
+            learned = vocabulary(term_counts(documents, key, analyzer), df, max_terms=max_terms)
             # At most max_terms rows, so one ordered numbering is small.
             numbered = learned.withColumn("slot", F.row_number().over(Window.orderBy("term")) + F.lit(size - 1))
             tables[analyzer] = settle(numbered, f"terms-{analyzer}")
