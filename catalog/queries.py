@@ -724,9 +724,14 @@ def label_posts_sql() -> str:
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """As many labelers at work as there are cores, however few files the rows are in."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 @check("label_posts", q.query(label_posts_sql(), "raw_posts"))
 def label_posts(spark, sf):
-    rows = fx.raw_posts(spark, sf).select("post_id", "text")
+    rows = spread(fx.raw_posts(spark, sf).select("post_id", "text"))
     return labeling.label_posts(rows, TASKS, rule_labeler(), focal=True).drop("text")
 
 
@@ -739,7 +744,8 @@ def label_posts(spark, sf):
     ),
 )
 def label_focal(spark, sf):
-    return labeling.label_focal(fx.raw_posts(spark, sf).select("post_id", "text"), rule_labeler()).drop("text")
+    rows = spread(fx.raw_posts(spark, sf).select("post_id", "text"))
+    return labeling.label_focal(rows, rule_labeler()).drop("text")
 
 
 def valence_sql(rows: str, key: str) -> str:

@@ -16,8 +16,7 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 FIELD_SEPARATOR = "\x1f"
-KEY_BLANKS = "[ \\t\\n\\f\\r]{2,}|[\\t\\n\\f\\r]"  # a lone space stays as it is
-PARTIAL_WORD = " [^ ]*\\z"
+KEY_BLANKS = ("\t", "\n", "\f", "\r")
 ELLIPSIS = " ..."
 
 
@@ -36,12 +35,18 @@ def has_text(text: Column) -> Column:
     return text.isNotNull() & (F.trim(text) != "")
 
 
+def _one_space(text: Column) -> Column:
+    """Every run of spaces, tabs and line breaks becomes one space. Plain replaces do
+    most of the work; the pattern only runs where a double space is left."""
+    spaced = text
+    for blank in KEY_BLANKS:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
+
+
 def content_key(source: Column, link: Column, date: Column, text: Column) -> Column:
     """SHA-256 hex over the four fields, spaces trimmed and blanks collapsed."""
-    fields = [
-        F.regexp_replace(F.trim(F.coalesce(field, F.lit(""))), KEY_BLANKS, " ")
-        for field in (source, link, date, text)
-    ]
+    fields = [_one_space(F.trim(F.coalesce(field, F.lit("")))) for field in (source, link, date, text)]
     return F.sha2(F.concat_ws(FIELD_SEPARATOR, *fields), 256)
 
 
@@ -51,13 +56,21 @@ def seeded_digest(seed: int | str, *parts: Column) -> Column:
     return F.md5(F.concat_ws(FIELD_SEPARATOR, *texts, F.lit(str(seed))))
 
 
+def _cut(whole: Column, limit: int) -> Column:
+    head = F.substring(whole, 1, limit)
+    partial_word = F.substring_index(head, " ", -1)
+    kept = F.substring(head, F.lit(1), F.lit(limit - 1) - F.char_length(partial_word))
+    shortened = F.when(F.contains(head, F.lit(" ")), kept).otherwise(head)
+    return F.when(F.char_length(whole) <= limit, whole).otherwise(F.concat(shortened, F.lit(ELLIPSIS)))
+
+
 def cut_text(text: Column, limit: int) -> Column:
     """Whole text when short enough, else cut at the last space before `limit`."""
-    whole = strip(text)
-    head = F.regexp_replace(F.substring(whole, 1, limit), PARTIAL_WORD, "")
-    return F.when(F.char_length(whole) <= limit, whole).otherwise(F.concat(head, F.lit(ELLIPSIS)))
+    return _cut(strip(text), limit)
 
 
 def cut_ladder(text: Column, limits: Sequence[int] = TEXT_CUTS) -> Column:
     """The text at each limit, longest first, without repeats."""
-    return F.array_distinct(F.array(*[cut_text(text, limit) for limit in limits]))
+    # What is left after one character more than the longest cut is never shown.
+    enough = F.substring(strip(text), 1, max(limits) + 1)
+    return F.array_distinct(F.array(*[_cut(enough, limit) for limit in limits]))

@@ -7,16 +7,17 @@ row: the raw reply, the index of the prompt that was accepted, and an error text
 when the row failed.
 
 Only the prompts travel to Python; everything around the call is column
-expressions. Each pass adds columns to the rows of the pass before, so a row is
-asked once per pass and nothing is joined back. Rows that need no call carry a
-null prompt and cost nothing. Write the result before sorting it or using it
+expressions. There are at most three passes: first answers of all tasks, repairs of
+answers off the list, focal actors. Each pass adds columns to the rows of the pass
+before, so a row is asked once per pass and nothing is joined back. Rows that need
+no call carry a null prompt and cost nothing. Write the result before sorting it or using it
 twice: Spark would run the labeler again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from functools import partial
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -95,81 +96,105 @@ def output_columns(input_columns: Sequence[str], labels: Sequence[str]) -> list[
 # --- one pass -----------------------------------------------------------------------
 
 
-def ask(prompts: Column, task: str, labeler: Labeler) -> Column:
-    """Struct of reply, cut and error; all null where the prompts are null."""
+def ask(prompts: Mapping[str, Column], labeler: Labeler, suffix: str = "") -> Column:
+    """Ask the prompts of several tasks in one Python stage.
 
-    @F.pandas_udf("reply string, cut int, error string")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        answer = labeler(task)
+    Gives a struct with `reply_<task>`, `cut_<task>` and `error_<task>`, null where
+    the prompts are null. A row that failed is not asked for its later tasks.
+    """
+    tasks = list(prompts)
+    fields = ", ".join(f"reply_{task} string, cut_{task} int, error_{task} string" for task in tasks)
+
+    @F.pandas_udf(fields)
+    def call(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        answerers = [labeler(task + suffix) for task in tasks]
         for batch in batches:
-            asked = batch[batch.notna()]
-            answers = answer([list(prompts) for prompts in asked]) if len(asked) else []
-            table = pd.DataFrame(answers, index=asked.index, columns=["reply", "cut", "error"])
-            yield table.astype({"cut": "Int32"}).reindex(batch.index)
+            # a single column arrives as itself and not as a tuple of one
+            ladders = batch if isinstance(batch, tuple) else (batch,)
+            failed = pd.Series(False, index=ladders[0].index)
+            columns = []
+            for answer, series, task in zip(answerers, ladders, tasks):
+                asked = series[series.notna() & ~failed]
+                answers = answer([list(ladder) for ladder in asked]) if len(asked) else []
+                names = [f"reply_{task}", f"cut_{task}", f"error_{task}"]
+                table = pd.DataFrame(answers, index=asked.index, columns=names).reindex(failed.index)
+                failed |= table[names[2]].notna()
+                columns.append(table.astype({names[1]: "Int32"}))
+            yield pd.concat(columns, axis=1)
 
     # Replies cost money and may differ: the optimizer must not repeat the call.
-    return call.asNondeterministic()(prompts)
+    return call.asNondeterministic()(*prompts.values())
+
 
+def _answered(task: str) -> Column:
+    return F.col(f"_first.error_{task}").isNull() & F.col(f"_first.reply_{task}").isNotNull()
 
-def _prompt_ladder(cuts: Column, render: Callable[[Column], Column], when: Column) -> Column:
-    return F.when(when, F.transform(cuts, render))
+
+def _any(conditions: Iterable[Column]) -> Column:
+    return reduce(Column.__or__, conditions, F.lit(False))
 
 
 def _ask_with_repair(
     df: DataFrame,
-    task: str,
-    allowed: Sequence[str],
+    renders: Mapping[str, Callable[[Column], Column]],
+    allowed: Mapping[str, Sequence[str]],
     labeler: Labeler,
-    render: Callable[[Column], Column],
-    when: Column,
 ) -> DataFrame:
-    """Add `_label` (matched, or null) and `_status` of one allow-listed task.
+    """Add `_label_<task>` (matched, or null), `_status_<task>` and `_error`.
 
     Expects the text ladder in `_cuts`. An answer off the list is asked again
     once, with the text cut that was accepted and, if need be, shorter ones.
     """
-    first = df.withColumn("_prompts", _prompt_ladder(F.col("_cuts"), render, when)).withColumn(
-        "_first", ask(F.col("_prompts"), task, labeler)
+    prompts = {task: F.transform(F.col("_cuts"), render) for task, render in renders.items()}
+    return _repair(df.withColumn("_first", ask(prompts, labeler)), allowed, labeler)
+
+
+def _repair(df: DataFrame, allowed: Mapping[str, Sequence[str]], labeler: Labeler) -> DataFrame:
+    tasks = list(allowed)
+    read = df.withColumns({f"_read_{task}": read_reply(F.col(f"_first.reply_{task}")) for task in tasks})
+    matched = read.withColumns(
+        {
+            f"_match_{task}": F.when(_answered(task), match_label(F.col(f"_read_{task}"), allowed[task]))
+            for task in tasks
+        }
+    )
+    lost = _any(F.col(f"_first.error_{task}").isNotNull() for task in tasks)
+    again = {}
+    for task in tasks:
+        start = F.coalesce(F.col(f"_first.cut_{task}"), F.lit(0)) + 1
+        render = partial(_repair_text, task, allowed[task])
+        again[task] = F.when(
+            ~lost & _answered(task) & F.col(f"_match_{task}").isNull(),
+            F.transform(F.slice("_cuts", start, F.size("_cuts")), render),
+        )
+    asked = matched.withColumn("_second", ask(again, labeler, REPAIR))
+    labels, statuses, errors = {}, {}, []
+    for task in tasks:
+        reply, error = F.col(f"_second.reply_{task}"), F.col(f"_second.error_{task}")
+        second = F.when(error.isNull() & reply.isNotNull(), match_label(read_reply(reply), allowed[task]))
+        error = F.coalesce(F.col(f"_first.error_{task}"), error)
+        labels[f"_label_{task}"] = F.coalesce(F.col(f"_match_{task}"), second)
+        statuses[f"_status_{task}"] = (
+            F.when(F.col(f"_match_{task}").isNotNull(), "ok")
+            .when(F.col(f"_label_{task}").isNotNull(), "repaired")
+            .when(error.isNotNull(), "error")
+            .when(_answered(task), "invalid")
+        )
+        errors.append(error)
+    done = asked.withColumns(labels).withColumns({**statuses, "_error": F.coalesce(*errors)})
+    return done.drop(
+        "_first", "_second", *[f"_read_{task}" for task in tasks], *[f"_match_{task}" for task in tasks]
     )
-    return _repair(first, task, allowed, labeler).drop("_prompts", "_first")
 
 
-def _repair(df: DataFrame, task: str, allowed: Sequence[str], labeler: Labeler) -> DataFrame:
-    answered = F.col("_first.error").isNull() & F.col("_first.reply").isNotNull()
-    read = df.withColumn("_read", read_reply(F.col("_first.reply"))).withColumn(
-        "_matched", F.when(answered, match_label(F.col("_read"), allowed))
-    )
-    shorter = F.slice(F.col("_cuts"), F.coalesce(F.col("_first.cut"), F.lit(0)) + 1, F.size("_cuts"))
-    again = _prompt_ladder(
-        shorter,
-        lambda text: repair_prompt(task, allowed, F.col("_read"), text),
-        answered & F.col("_matched").isNull(),
-    )
-    asked = read.withColumn("_again", again).withColumn(
-        "_second", ask(F.col("_again"), task + REPAIR, labeler)
-    )
-    second = F.when(
-        F.col("_second.error").isNull() & F.col("_second.reply").isNotNull(),
-        match_label(read_reply(F.col("_second.reply")), allowed),
-    )
-    status = (
-        F.when(F.col("_matched").isNotNull(), "ok")
-        .when(F.col("_label").isNotNull(), "repaired")
-        .when(F.coalesce(F.col("_first.error"), F.col("_second.error")).isNotNull(), "error")
-        .when(answered, "invalid")
-    )
-    error = F.coalesce(F.col("_first.error"), F.col("_second.error"))
-    return (
-        asked.withColumn("_label", F.coalesce(F.col("_matched"), second))
-        .withColumn("_status", status)
-        .withColumn("_error", error)
-        .drop("_read", "_matched", "_again", "_second")
-    )
+def _repair_text(task: str, allowed: Sequence[str], text: Column) -> Column:
+    return repair_prompt(task, allowed, F.col(f"_read_{task}"), text)
 
 
-def _fail(task: str, status: Column, error: Column) -> Column:
-    message = F.concat_ws(" ", F.lit(f"{task} labeling failed:"), status, error)
-    return F.raise_error(message).cast("string")
+def _stop(failed: Column, error: Column) -> Column:
+    """`failed`, as a test that stops the job instead of being true."""
+    message = F.concat_ws(" ", F.lit("Labeling failed:"), F.coalesce(error, F.lit("answer not on the list")))
+    return F.when(failed, F.raise_error(message).cast("boolean")).otherwise(F.lit(False))
 
 
 def validate_and_repair(
@@ -180,12 +205,16 @@ def validate_and_repair(
     Adds `label` (null if still not on the list) and `status`: ok, repaired,
     invalid or error.
     """
-    given = F.struct(F.col(reply).alias("reply"), F.lit(0).alias("cut"), F.lit(None).cast("string").alias("error"))
+    given = F.struct(
+        F.col(reply).alias(f"reply_{task}"),
+        F.lit(0).alias(f"cut_{task}"),
+        F.lit(None).cast("string").alias(f"error_{task}"),
+    )
     ready = df.withColumns({"_cuts": cut_ladder(F.col(text)), "_first": given})
     return (
-        _repair(ready, task, allowed, labeler)
-        .withColumnsRenamed({"_label": "label", "_status": "status"})
-        .drop("_cuts", "_first", "_error")
+        _repair(ready, {task: allowed}, labeler)
+        .withColumnsRenamed({f"_label_{task}": "label", f"_status_{task}": "status"})
+        .drop("_cuts", "_error")
     )
 
 
@@ -216,38 +245,19 @@ def label_posts(
     job. A row that failed is not asked for its remaining labels.
     """
     columns = label_columns(tasks, focal, prefix)
-    rows = df.withColumns(
-        {"_cuts": cut_ladder(F.coalesce(F.col(text), F.lit("")), cuts), "_failed": F.lit(False)}
-    )
-    for number, task in enumerate(tasks):
-        failed = F.col("_failed") | F.col("_label").isNull()
-        if on_error == "raise":
-            failed = F.when(F.col("_label").isNull(), _fail(task, F.col("_status"), F.col("_error")).isNull())
-            failed = F.coalesce(failed, F.lit(False))
-        rows = (
-            _ask_with_repair(
-                rows,
-                task,
-                allowed_labels(task),
-                labeler,
-                partial(task_prompt, task),
-                ~F.col("_failed"),
-            )
-            .withColumns({f"_label_{number}": F.col("_label"), "_failed": failed})
-            .drop("_label", "_status", "_error")
-        )
-    found = [F.col(f"_label_{number}") for number in range(len(tasks))]
+    ready = df.withColumn("_cuts", cut_ladder(F.coalesce(F.col(text), F.lit("")), cuts))
+    renders = {task: partial(task_prompt, task) for task in tasks}
+    rows = _ask_with_repair(ready, renders, {task: allowed_labels(task) for task in tasks}, labeler)
+    found = [F.col(f"_label_{task}") for task in tasks]
+    failed = _any(label.isNull() for label in found)
+    rows = rows.withColumn("_failed", _stop(failed, F.col("_error")) if on_error == "raise" else failed)
     if focal:
         gate = ~F.col("_failed") & wants_focal(found)
-        rows = rows.withColumn(
-            "_answer", ask(_prompt_ladder(F.col("_cuts"), focal_prompt, gate), FOCAL_TASK, labeler)
-        )
-        error = F.col("_answer.error").isNotNull()
-        if on_error == "raise":
-            error = F.when(error, _fail(FOCAL_TASK, F.lit("error"), F.col("_answer.error")).isNull())
-            error = F.coalesce(error, F.lit(False))
-        rows = rows.withColumn("_failed", F.col("_failed") | error)
-        found = [*found, read_reply(F.col("_answer.reply"))]
+        rows = _ask_focal(rows, labeler, gate)
+        error = F.col("_answer.error_FOCAL")
+        lost = _stop(error.isNotNull(), error) if on_error == "raise" else error.isNotNull()
+        rows = rows.withColumn("_failed", F.col("_failed") | lost)
+        found = [*found, read_reply(F.col("_answer.reply_FOCAL"))]
     shown = {
         name: F.when(F.col("_failed"), "").otherwise(F.coalesce(value, F.lit("")))
         for name, value in zip(columns, found)
@@ -255,20 +265,21 @@ def label_posts(
     return rows.withColumns(shown).select(*output_columns(df.columns, columns))
 
 
+def _ask_focal(df: DataFrame, labeler: Labeler, when: Column) -> DataFrame:
+    prompts = F.when(when, F.transform(F.col("_cuts"), focal_prompt))
+    return df.withColumn("_answer", ask({FOCAL_TASK: prompts}, labeler))
+
+
 def label_focal(
     df: DataFrame, labeler: Labeler, text: str = "text", prefix: str = "", on_error: str = "raise"
 ) -> DataFrame:
     """Focal actors of every row, without a gate and without an allow-list."""
     column = prefix + FOCAL_COLUMN
-    cuts = cut_ladder(F.coalesce(F.col(text), F.lit("")))
-    asked = df.withColumn("_cuts", cuts).withColumn(
-        "_answer", ask(F.transform(F.col("_cuts"), focal_prompt), FOCAL_TASK, labeler)
-    )
-    value = read_reply(F.col("_answer.reply"))
-    if on_error == "raise":
-        value = F.when(
-            F.col("_answer.error").isNotNull(), _fail(FOCAL_TASK, F.lit("error"), F.col("_answer.error"))
-        ).otherwise(value)
+    ready = df.withColumn("_cuts", cut_ladder(F.coalesce(F.col(text), F.lit(""))))
+    asked = _ask_focal(ready, labeler, F.lit(True))
+    error = F.col("_answer.error_FOCAL")
+    failed = _stop(error.isNotNull(), error) if on_error == "raise" else error.isNotNull()
+    value = F.when(failed, "").otherwise(read_reply(F.col("_answer.reply_FOCAL")))
     return asked.withColumn(column, value).select(*output_columns(df.columns, [column]))
 
 
@@ -284,10 +295,10 @@ def label_valence(
             piece, F.col("focal_actor"), F.col("source_country"), F.col("account_type"), VALENCE_ANSWERS
         )
 
-    asked = _ask_with_repair(ready, VALENCE_TASK, VALENCE_ANSWERS, labeler, render, F.lit(True))
-    valence = F.coalesce(canonical_valence(F.col("_label")), F.lit(default))
+    asked = _ask_with_repair(ready, {VALENCE_TASK: render}, {VALENCE_TASK: VALENCE_ANSWERS}, labeler)
+    valence = F.coalesce(canonical_valence(F.col(f"_label_{VALENCE_TASK}")), F.lit(default))
     kept = output_columns(df.columns, [VALENCE_COLUMN])
-    extra = [F.col("_status").alias("status")] if status else []
+    extra = [F.col(f"_status_{VALENCE_TASK}").alias("status")] if status else []
     return asked.withColumn(VALENCE_COLUMN, valence).select(*kept, *extra)
 
 
