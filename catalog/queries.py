@@ -773,7 +773,7 @@ FULL_ROWS = (
 
 @check("label_full", q.query(valence_sql(FULL_ROWS, "merge_key, key_occurrence"), "posts"))
 def label_full(spark, sf):
-    rows = applications.full_posts(fx.posts(spark, sf))
+    rows = applications.full_posts(fx.posts(spark, sf), ordered=False)
     return labeling.label_valence(rows, rule_labeler()).select("merge_key", "key_occurrence", "focal_valence")
 
 

@@ -69,8 +69,8 @@ def eligible_applications(posts: DataFrame) -> DataFrame:
     return frame_applications(posts.filter(known))
 
 
-def full_posts(posts: DataFrame) -> DataFrame:
-    """Every state-account post with text, one row each, in key order."""
+def full_posts(posts: DataFrame, ordered: bool = True) -> DataFrame:
+    """Every state-account post with text, one row each, in key order if `ordered`."""
     columns = [
         "merge_key",
         "key_occurrence",
@@ -85,11 +85,10 @@ def full_posts(posts: DataFrame) -> DataFrame:
         "text",
     ]
     kept = posts.filter(has_text(F.col("text")) & is_state_account(F.col("category")))
-    return (
-        with_account(kept)
-        .select(*columns, F.lit("").alias("frame_domain"), F.lit("").alias("frame_subframe"))
-        .orderBy("merge_key", "key_occurrence")
+    rows = with_account(kept).select(
+        *columns, F.lit("").alias("frame_domain"), F.lit("").alias("frame_subframe")
     )
+    return rows.orderBy("merge_key", "key_occurrence") if ordered else rows
 
 
 def corpus_counts(posts: DataFrame) -> DataFrame:

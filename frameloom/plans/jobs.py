@@ -143,11 +143,12 @@ def full_valence(
     """Job 3, whole corpus: one label per eligible post, continuing after `out`."""
     posts = read_corpus(spark, corpus)
     applications.require_none_posts(posts)
-    rows = applications.full_posts(posts)
+    # Rows are told apart by key, so the corpus need not be sorted to be labeled.
+    rows = applications.full_posts(posts, ordered=False)
     if limit is not None:
         if limit <= 0:
             raise ValueError("limit must be greater than 0")
-        rows = rows.limit(limit)
+        rows = sampling.first_n(rows, POST_KEY, limit).repartition(spark.sparkContext.defaultParallelism)
     if files.exists(spark, out):
         done = settle(sources.read_strict_csv(spark, out).select(*POST_KEY), "done")
         typed = done.select("merge_key", F.col("key_occurrence").cast("long").alias("key_occurrence"))
