@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import byte_bpe
+from frameloom.llm import byte_bpe, gray_simhash, line_crf, mixing, toxicity
+from frameloom.llm.training import agreed_labels, id_remainder
+from frameloom.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +34,96 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sizes = settle(mixing.sized(docs).drop("text"), "sizes")
+    return mixing.mix(sizes, mixing.plan(sizes)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op9_mixing"] = """
+with sizes as (
+  select doc_id, source,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+    ('0x' || md5(coalesce(doc_id::varchar, ''))[1:15])::bigint as place
+  from documents),
+totals as (
+  select source, sum(size)::bigint as source_size,
+    [5, 2, 1][(row_number() over (order by source is null, source) - 1) % 3 + 1] as weight
+  from sizes group by source),
+levels as (
+  select *, sum(source_size) over () as total,
+    coalesce(sum(3 * source_size) over (order by 3 * source_size / weight, source nulls last
+      rows between unbounded preceding and 1 preceding), 0) as lower_full,
+    sum(weight) over (order by 3 * source_size / weight, source nulls last
+      rows between current row and unbounded following) as upper_weight
+  from totals),
+flags as (
+  select *, 3 * source_size <= weight * ((total - lower_full)::double / upper_weight) as full_up from levels),
+shared as (
+  select sum(case when full_up then 3 * source_size else 0 end) as taken_full,
+    sum(case when full_up then 0 else weight end) as open_weight, max(total) as total from flags),
+goals as (
+  select source, source_size,
+    case when total = 0 then 0.0::double when full_up then (3 * source_size)::double
+      else weight * ((total - taken_full)::double / open_weight) end as target
+  from flags cross join (select taken_full, open_weight from shared)),
+budgets as (
+  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as copies from goals),
+first_pass as (
+  select s.*, b.source_size, b.target, b.copies, floor(b.target - b.copies * b.source_size)::bigint as rest0,
+    sum(size) over (partition by s.source order by place) as upto
+  from sizes s join budgets b on s.source is not distinct from b.source),
+first_rest as (
+  select *, upto <= rest0 as in1,
+    rest0 - coalesce(max(case when upto <= rest0 then upto end) over (partition by source), 0) as rest1
+  from first_pass),
+second_pass as (
+  select *, sum(case when not in1 and size <= rest1 then size else 0 end) over (partition by source order by place) as upto2
+  from first_rest),
+second_rest as (
+  select *, not in1 and size <= rest1 and upto2 <= rest1 as in2,
+    rest1 - coalesce(max(case when upto2 <= rest1 then upto2 end) over (partition by source), 0) as rest2,
+    upto2 > rest1 as beyond
+  from second_pass),
+third_pass as (
+  select *, sum(case when not in1 and beyond and size <= rest2 then size else 0 end)
+    over (partition by source order by place) as upto3
+  from second_rest)
+select doc_id, size, source_size, target,
+  (size * (copies + (in1 or in2 or (not in1 and beyond and size <= rest2 and upto3 <= rest2))::int))::bigint as taken
+from third_pass
+"""
+
+
+@query
+def op8_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and the groups that near-equal ones link."""
+    return gray_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def held_out(column: str, by: int, remainder: int):
+    return id_remainder(F.col(column), by) == remainder
+
+
+@query
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = agreed_labels(table(spark, sf_dir, "labels"), "doc_id", "quality")
+    field = line_crf.fit(docs, labels.filter(~held_out("_id", 4, 2)))
+    scored = line_crf.classify(docs, field)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = agreed_labels(table(spark, sf_dir, "labels"), "doc_id", "toxic")
+    model = toxicity.fit(docs, labels.filter(~held_out("_id", 3, 1)))
+    scored = toxicity.classify(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
