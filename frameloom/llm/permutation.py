@@ -39,7 +39,7 @@ LENGTH = 128
 #: Vectors of a block.
 BLOCK = 4096
 #: Part of a block, and number of its vectors at least, that is ranked again.
-SHARE, LEAST = 0.05, 100
+SHARE, LEAST = 0.08, 200
 #: Queries of one pass.
 GROUP = 4096
 NEAREST = 10
