@@ -146,13 +146,14 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     text_of = F.coalesce(text, F.lit(""))
     half = F.floor(F.length(text_of) / 2).cast("int")
     ids = docs.select(key.alias("key"), half.alias("need")).groupBy("key").agg(F.max("need").alias("need"))
-    wanted = settle(followers(ids).select(F.col("next").alias("key"), F.col("key").alias("_asks"), "need"), "followers")
-    rows = docs.withColumn("key", key)
-    start = F.struct(F.left(text_of, F.col("need")).alias("start"), "fingerprint")
-    starts = rows.join(wanted, "key").select("_asks", start.alias("_start")).groupBy("_asks").agg(F.min("_start").alias("_start"))
-    return rows.join(starts, F.col("key") == F.col("_asks")).withColumns(
+    asks = followers(ids).select(F.col("next").alias("_next"), F.col("key").alias("_asks"), F.col("need").alias("_need"))
+    wanted = settle(asks, "followers")
+    rows = docs.withColumn("_key", key)
+    start = F.struct(F.left(text_of, F.col("_need")).alias("start"), "fingerprint")
+    starts = rows.join(wanted, F.col("_key") == F.col("_next")).select("_asks", start.alias("_start")).groupBy("_asks").agg(F.min("_start").alias("_start"))
+    return rows.join(starts, F.col("_key") == F.col("_asks")).withColumns(
         {"next_start": F.col("_start.start"), "next_fingerprint": F.col("_start.fingerprint")}
-    ).drop("_asks", "_start", "key")
+    ).drop("_asks", "_start", "_key")
 
 
 def edited(text: Column, next_start: Column) -> Column:
