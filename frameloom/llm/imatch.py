@@ -135,25 +135,24 @@ def followers(ids: DataFrame) -> DataFrame:
     )
 
 
-def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with `next_start` and `next_fingerprint` of the next document in descending id.
+def with_next(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """`docs` with `next_start` and `next_fingerprint` of the next document in descending `key`.
 
-    `docs` holds a `fingerprint`. `next_start` has half as many characters as the longest
-    text of the id, or all that there are. A null id comes last. Rows of one id have the
-    same next one; of several rows with the next id, the smallest start counts.
+    `docs` holds a `fingerprint`, and neither key nor text is null. `next_start` has half
+    as many characters as the longest text of the key, or all that there are. Rows of one
+    key have the same next one; of several rows with the next key, the smallest start counts.
+    If `docs` has these three columns only, both joins share one shuffle of it.
     """
-    key = F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID))
-    text_of = F.coalesce(text, F.lit(""))
-    half = F.floor(F.length(text_of) / 2).cast("int")
-    ids = docs.select(key.alias("key"), half.alias("need")).groupBy("key").agg(F.max("need").alias("need"))
+    half = F.floor(F.length(text) / 2).cast("int")
+    ids = docs.select(F.col(key).alias("key"), half.alias("need")).groupBy("key").agg(F.max("need").alias("need"))
     asks = followers(ids).select(F.col("next").alias("_next"), F.col("key").alias("_asks"), F.col("need").alias("_need"))
     wanted = settle(asks, "followers")
-    rows = docs.withColumn("_key", key)
-    start = F.struct(F.left(text_of, F.col("_need")).alias("start"), "fingerprint")
-    starts = rows.join(wanted, F.col("_key") == F.col("_next")).select("_asks", start.alias("_start")).groupBy("_asks").agg(F.min("_start").alias("_start"))
-    return rows.join(starts, F.col("_key") == F.col("_asks")).withColumns(
+    start = F.struct(F.left(text, F.col("_need")).alias("start"), "fingerprint")
+    starts = docs.join(wanted, F.col(key) == F.col("_next")).select("_asks", start.alias("_start"))
+    starts = starts.groupBy("_asks").agg(F.min("_start").alias("_start"))
+    return docs.join(starts, F.col(key) == F.col("_asks")).withColumns(
         {"next_start": F.col("_start.start"), "next_fingerprint": F.col("_start.fingerprint")}
-    ).drop("_asks", "_start", "_key")
+    ).drop("_asks", "_start")
 
 
 def edited(text: Column, next_start: Column) -> Column:
@@ -163,13 +162,17 @@ def edited(text: Column, next_start: Column) -> Column:
 
 
 def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of all texts and their edited texts, and how alike they and the next ones are."""
-    chosen = docs.select(id, F.coalesce(text, F.lit("")).alias("text"))
+    """Fingerprints of all texts and their edited texts, and how alike they and the next ones are.
+
+    A null id comes last.
+    """
+    key = F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("_key")
+    chosen = docs.select(key, F.coalesce(text, F.lit("")).alias("text"))
     band = lexicon(chosen)
-    paired = with_next(with_fingerprint(chosen, band), id).withColumn("edited", edited(F.col("text"), F.col("next_start")))
+    paired = with_next(with_fingerprint(chosen, band), "_key").withColumn("edited", edited(F.col("text"), F.col("next_start")))
     paired = with_fingerprint(paired.drop("next_start"), band, "edited", "edited_fingerprint")
     return paired.select(
-        id,
+        F.nullif("_key", F.lit(NO_ID)).alias(id),
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint",
