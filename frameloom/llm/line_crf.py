@@ -112,7 +112,7 @@ def _long(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         counts, codes = count_lines(block if block.endswith(b"\n") else block + b"\n")
         if not whole:
             parts[-1][0][-1] += counts[0]
-            parts[-1][1][-1] += codes[0]
+            parts[-1][1][-1:] += codes[:1]
             counts, codes = counts[1:], codes[1:]
         parts.append((counts, codes)) if len(counts) else None
         whole = block.endswith(b"\n")
