@@ -36,7 +36,8 @@ def label_csv(
     """Job 1: label the posts of a CSV, continuing after what `out` already holds.
 
     Posts are told apart by content key and occurrence, so a restart asks only for
-    posts without a complete row, whatever order the files come in.
+    posts without a complete row, whatever order the files come in. A restart writes
+    the output anew beside the old one and swaps them: one row per post.
     """
     chosen = labeling.parse_tasks(tasks)
     if limit is not None and limit <= 0:
@@ -50,16 +51,21 @@ def label_csv(
         keyed = sampling.random_n(keyed, key, limit, seed) if random_sample else sampling.first_n(keyed, key, limit)
     labels = labeling.label_columns(chosen, focal, prefix)
     columns = labeling.output_columns(keyed.columns, labels)
-    todo = keyed
+    todo, kept = keyed, None
     if files.exists(spark, out):
-        # The done rows are read completely before the first new row is written.
-        done = settle(sources.read_strict_csv(spark, out), "done")
-        todo = labeling.unfinished(keyed, done, key, chosen, focal, prefix)
+        before = labeled_rows(spark, out, key, chosen, focal, prefix)
+        todo = labeling.unfinished(keyed, before, key, chosen, focal, prefix)
+        kept = before.join(todo.select(*key), list(key), "left_anti")
     if parallelism:
         todo = todo.repartition(parallelism)
     labeled = labeling.label_posts(todo, chosen, labeler, focal, text, prefix).select(*columns)
-    files.write_labeled_csv(labeled, out)
-    return labeled_rows(spark, out, key, chosen, focal, prefix)
+    if kept is None:
+        files.write_labeled_csv(labeled, out)
+    else:
+        # A post that failed before gets its new row in place of the old one.
+        files.require_header(labeled, out)
+        files.replace_labeled_csv(kept.select(*columns).unionByName(labeled), out)
+    return sources.read_strict_csv(spark, out)
 
 
 def _keyed(posts: DataFrame, text: str) -> DataFrame:
@@ -78,11 +84,15 @@ def _keyed(posts: DataFrame, text: str) -> DataFrame:
 def labeled_rows(
     spark: SparkSession, out: str, key: Sequence[str], tasks: Sequence[str], focal: bool = False, prefix: str = ""
 ) -> DataFrame:
-    """The output with one row per post: a complete row replaces failed ones."""
+    """The output with one row per post: a complete row goes before failed ones, and
+    among equals the largest in column order."""
     rows = sources.read_strict_csv(spark, out)
-    complete = labeling.is_complete(tasks, focal, prefix)
-    best = rows.groupBy(*key).agg(F.max_by(F.struct(*[f"`{name}`" for name in rows.columns]), complete).alias("_row"))
-    return best.select("_row.*")
+    missing = [name for name in labeling.label_columns(tasks, focal, prefix) if name not in rows.columns]
+    if missing:
+        raise ValueError(f"The existing output lacks {', '.join(missing)}; choose another output.")
+    whole = F.struct(*[f"`{name}`" for name in rows.columns])
+    best = F.max(F.struct(labeling.is_complete(tasks, focal, prefix).alias("done"), whole.alias("row")))
+    return rows.groupBy(*key).agg(best.alias("_best")).select("_best.row.*")
 
 
 def rebuild_corpus(

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 BYTE_ORDER_MARK = "﻿"
 
 
-def _reader(spark: SparkSession) -> DataFrameReader:
+def _reader(spark: SparkSession, stream: bool = False) -> DataFrameReader:
     return (
-        spark.read.option("header", True)
+        (spark.readStream if stream else spark.read)
+        .option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
@@ -22,9 +23,9 @@ def _reader(spark: SparkSession) -> DataFrameReader:
     )
 
 
-def csv_columns(spark: SparkSession, path: str) -> list[str]:
-    """Header of a CSV, without reading its rows."""
-    names = _reader(spark).csv(path).columns
+def csv_columns(spark: SparkSession, path: str, nested: bool = False) -> list[str]:
+    """Header of a CSV, without reading its rows; `nested` looks into folders too."""
+    names = _reader(spark).option("recursiveFileLookup", nested).csv(path).columns
     return [name.lstrip(BYTE_ORDER_MARK).strip('"') for name in names]
 
 
@@ -43,16 +44,28 @@ def read_posts_csv(spark: SparkSession, path: str, columns: Sequence[str] | None
     """All columns as strings, blanks kept as blanks, rows with too many fields
     skipped and rows with too few filled up."""
     names = list(columns) if columns else csv_columns(spark, path)
-    rows = (
-        _reader(spark)
-        .schema(string_schema([*names, "_bad"]))
+    return fitting_rows(_reader(spark), names).csv(path).transform(keep_fitting, names)
+
+
+def stream_posts_csv(spark: SparkSession, folder: str, columns: Sequence[str] | None, max_files: int) -> DataFrame:
+    """The files of a folder as a stream, by the rules of `read_posts_csv`."""
+    names = list(columns) if columns else csv_columns(spark, folder)
+    reader = _reader(spark, stream=True).option("maxFilesPerTrigger", max_files)
+    return fitting_rows(reader, names).csv(folder).transform(keep_fitting, names)
+
+
+def fitting_rows(reader: DataFrameReader, names: Sequence[str]) -> DataFrameReader:
+    """A reader that puts the text of every row of another width into `_bad`."""
+    return (
+        reader.schema(string_schema([*names, "_bad"]))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
         .option("columnPruning", False)
-        .csv(path)
     )
-    # `_bad` holds the text of a row of another width; its separators outside
-    # quotes tell a row that is too short from one that is too long.
+
+
+def keep_fitting(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Skip rows that are too long; the separators outside quotes tell them from short ones."""
     bare = F.regexp_replace("_bad", '"[^"]*"', "")
     separators = F.char_length(F.regexp_replace(bare, "[^,]", ""))
     fits = F.col("_bad").isNull() | (separators < len(names))
@@ -65,11 +78,12 @@ def _quoted(names: Sequence[str]) -> list[str]:
     return [f"`{name}`" for name in names]
 
 
-def read_strict_csv(spark: SparkSession, path: str, blank: bool = True) -> DataFrame:
+def read_strict_csv(spark: SparkSession, path: str, blank: bool = True, nested: bool = False) -> DataFrame:
     """All columns as strings; a row of another width stops the job."""
     rows = (
         _reader(spark)
-        .schema(string_schema(csv_columns(spark, path)))
+        .option("recursiveFileLookup", nested)
+        .schema(string_schema(csv_columns(spark, path, nested)))
         .option("mode", "FAILFAST")
         .option("columnPruning", False)
         .csv(path)
@@ -92,10 +106,16 @@ def read_labels_csv(spark: SparkSession, path: str, schema: str | T.StructType |
     return reader.schema(schema).csv(path)
 
 
+#: Where an append to an actor map goes; the number orders the appends.
+MAP_BATCH = "batch-"
+
+
 def read_actor_map(spark: SparkSession, path: str) -> DataFrame:
-    """Map entries with their order: entries of later files and lines come later."""
-    rows = read_strict_csv(spark, path)
+    """Map entries with their order: the files of the map, then its appends by number."""
+    rows = read_strict_csv(spark, path, nested=True)
     require_columns(rows, ["label", "canonical"])
-    order = F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
+    file = F.input_file_name()
+    batch = F.coalesce(F.regexp_extract(file, f"/{MAP_BATCH}(\\d+)/[^/]*$", 1).try_cast("int"), F.lit(0))
+    order = F.struct(batch.alias("batch"), file.alias("file"), F.monotonically_increasing_id().alias("line"))
     numbered = rows.withColumn("seq", order)
     return numbered if "occurrences" in rows.columns else numbered.withColumn("occurrences", F.lit("0"))

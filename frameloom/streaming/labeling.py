@@ -9,25 +9,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from frameloom.operators.labeling import Labeler, label_posts
-from frameloom.sources.csv import csv_columns, string_schema
+from frameloom.sources.csv import stream_posts_csv
 
 
 def stream_posts(
     spark: SparkSession, folder: str, columns: Sequence[str] | None = None, max_files: int = 100
 ) -> DataFrame:
-    """CSV files of a folder as a stream, `max_files` per batch. All strings,
-    blanks kept."""
-    names = list(columns) if columns else csv_columns(spark, folder)
-    rows = (
-        spark.readStream.schema(string_schema(names))
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("maxFilesPerTrigger", max_files)
-        .csv(folder)
-    )
-    return rows.na.fill("")
+    """CSV files of a folder as a stream, `max_files` per batch, read like a batch of them."""
+    return stream_posts_csv(spark, folder, columns, max_files)
 
 
 def stream_corpus(

@@ -77,6 +77,20 @@ def test_actor_map_keeps_the_order_of_entries(spark, tmp_path):
     assert [tuple(r) for r in actor_map_clean(entries).collect()] == [("g7", "new")]
 
 
+def test_the_last_append_to_an_actor_map_wins(spark, tmp_path):
+    from frameloom.operators.actors import actor_map_clean
+
+    kinds = "label string, canonical string, occurrences int"
+    for n in range(20):
+        path = str(tmp_path / f"map{n}") + "/" * (n % 2)
+        if n % 3 == 0:
+            spark.createDataFrame([("g7", "start", 9)], kinds).write.option("header", True).csv(path)
+        for canonical in ("first", "last"):
+            files.append_actor_map(spark.createDataFrame([("G-7", canonical, 1)], kinds), path)
+        cleaned = actor_map_clean(sources.read_actor_map(spark, path))
+        assert [tuple(row) for row in cleaned.collect()] == [("g7", "last")]
+
+
 def test_labeled_csv_appends_and_refuses_another_header(spark, tmp_path):
     out = str(tmp_path / "labeled.csv")
     first = spark.createDataFrame([("1", 'a "b"\nc', "")], "id string, text string, aut string")
@@ -104,6 +118,14 @@ def test_rebuild_swaps_only_when_allowed(spark, tmp_path):
         files.rebuild_parquet(spark.range(1), out, overwrite=True)
 
 
+def test_rebuild_takes_a_path_that_ends_in_a_slash(spark, tmp_path):
+    out = f"{tmp_path}/corpus/"
+    files.rebuild_parquet(spark.range(3), out)
+    files.rebuild_parquet(read_corpus(spark, out).withColumn("id", F.col("id") + 1), out, overwrite=True)
+    assert sorted(row["id"] for row in read_corpus(spark, out).collect()) == [1, 2, 3]
+    assert sorted(path.name for path in tmp_path.iterdir()) == ["corpus", "corpus.old1"]
+
+
 def test_predictions_never_overwrite(spark, tmp_path):
     out = str(tmp_path / "predictions")
     files.write_predictions(spark.range(2), out)

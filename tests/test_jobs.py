@@ -11,6 +11,7 @@ from frameloom.operators import features
 from frameloom.operators.applications import eligible_applications
 from frameloom.operators.labeling import try_shorter
 from frameloom.plans import jobs
+from frameloom.sources.csv import read_posts_csv, read_strict_csv
 from frameloom.streaming.labeling import label_stream, stream_posts
 
 ELECTIONS = TASK_LABELS["DEM"][1]
@@ -44,6 +45,11 @@ def test_labeling_resumes_by_key(spark, tmp_path):
     second = jobs.label_csv(spark, str(path), out, flaky(log), ["dem"])
     assert sorted(open(log).read().splitlines()) == ["new", "post 4"]
     assert second.count() == 7 and second.filter("dem = ''").count() == 0
+    # what lies on disk has one row per post as well
+    assert read_strict_csv(spark, out).select("text").distinct().count() == read_strict_csv(spark, out).count() == 7
+    open(log, "w").close()
+    third = jobs.label_csv(spark, str(path), out, flaky(log), ["dem"])
+    assert open(log).read() == "" and third.count() == 7
 
 
 def test_limits_of_the_labeling_job(spark, tmp_path):
@@ -167,3 +173,20 @@ def test_stream_continues_without_loss_or_repeats(spark, tmp_path):
     (inbox / "b.csv").write_text("id,text\n3,three\n")
     (inbox / "c.csv").write_text("id,text\n4,\n")
     assert run() == [1, 2, 3, 4]
+
+
+def test_stream_reads_rows_like_a_batch(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.csv").write_text('id,text\n1,2\n3,4,5\n6\n"7","x, ""y""\nz"\n"8","x,y",9\n')
+    batch = sorted(map(tuple, read_posts_csv(spark, str(inbox)).collect()))
+    query = (
+        stream_posts(spark, str(inbox))
+        .writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == batch
+    assert batch == [("1", "2"), ("6", ""), ("7", 'x, "y"\nz')]
