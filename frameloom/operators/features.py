@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from frameloom.contract import (
     APPLICATION_KEY,
@@ -24,6 +25,13 @@ WORD = "([\\p{L}\\p{N}_]{2,})"
 CHAR_GRAMS = (3, 4, 5)
 MIN_DOCUMENTS = 2
 
+# Characters of text whose terms make one partition, and terms that may be broadcast.
+PARTITION_CHARS = 4_000_000
+MAX_VOCABULARY = 1_000_000
+
+#: Writes a table and reads it back, as `frameloom.session.settle` does.
+Settle = Callable[..., DataFrame]
+
 
 def prepare_features(df: DataFrame) -> DataFrame:
     """Fill the structured columns and add the post group and the model text."""
@@ -97,14 +105,16 @@ def _char_terms(documents: DataFrame, key: Sequence[str]) -> DataFrame:
 ANALYZERS = {"word": _word_terms, "char": _char_terms}
 
 
-def by_document(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
+def by_document(df: DataFrame, key: Sequence[str], text: str, carry: Sequence[str] = ()) -> DataFrame:
     """Place documents by key once; term counts and norms then need no other shuffle.
 
-    The number of partitions is given, or they would be merged by the size of the
-    texts, which is far below the size of the terms.
+    The number of partitions follows from the characters, as terms take far more
+    room than the texts that adaptive execution would merge partitions by.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(*key, F.col(text).alias("_text")).repartition(partitions, *key)
+    chars = df.agg(F.sum(F.char_length(F.col(text)))).first()[0] or 0
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = df.select(*key, *carry, F.col(text).alias("_text"))
+    return columns.repartition(max(least, -(-chars // PARTITION_CHARS)), *key)
 
 
 def term_counts(documents: DataFrame, key: Sequence[str], analyzer: str) -> DataFrame:
@@ -112,15 +122,27 @@ def term_counts(documents: DataFrame, key: Sequence[str], analyzer: str) -> Data
     return ANALYZERS[analyzer](documents, key)
 
 
+def count_terms(
+    df: DataFrame,
+    settle: Settle,
+    key: Sequence[str] = APPLICATION_KEY,
+    text: str = "model_text",
+    carry: Sequence[str] = (),
+) -> dict[str, DataFrame]:
+    """The term counts of every analyzer as written tables. They do not depend on
+    other documents, so one count serves the folds of a cross-validation; columns to
+    tell the documents apart come along as `carry`."""
+    documents = by_document(df, key, text, carry)
+    return {name: settle(term_counts(documents, [*key, *carry], name), f"counts-{name}") for name in ANALYZERS}
+
+
 def vocabulary(
-    counts: DataFrame,
-    rows: DataFrame,
-    min_documents: int = MIN_DOCUMENTS,
-    max_terms: int = MAX_TERMS,
+    counts: DataFrame, documents: int | Column, min_documents: int = MIN_DOCUMENTS, max_terms: int = MAX_TERMS
 ) -> DataFrame:
-    """Terms in enough documents, the most frequent `max_terms`, with smoothed IDF.
-    `rows` are the documents before they were placed; they are only counted."""
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    """Terms in enough documents, the most frequent `max_terms`, with smoothed IDF."""
+    if max_terms > MAX_VOCABULARY:
+        raise ValueError(f"max_terms must not exceed {MAX_VOCABULARY}; the vocabulary is broadcast.")
+    total = F.lit(documents) if isinstance(documents, int) else documents
     kept = (
         counts.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -132,14 +154,16 @@ def vocabulary(
     return kept.select("term", "df", smoothed.alias("idf"))
 
 
+def _raw_weight() -> Column:
+    return (F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")
+
+
 def tfidf_weights(counts: DataFrame, terms: DataFrame, key: Sequence[str]) -> DataFrame:
     """Unit-length weights `(1 + ln tf) * idf` per document and vocabulary term.
 
     The vocabulary is limited to `max_terms` rows, so it is broadcast.
     """
-    raw = counts.join(F.broadcast(terms), "term").withColumn(
-        "_raw", (F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")
-    )
+    raw = counts.join(F.broadcast(terms), "term").withColumn("_raw", _raw_weight())
     length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*key)))
     return raw.withColumn("weight", F.col("_raw") / length).drop("_raw", "idf", "df")
 
@@ -154,7 +178,8 @@ def tfidf(
     """Long-form TF-IDF of a set of documents against its own vocabulary."""
     documents = by_document(df, key, text)
     counts = term_counts(documents, key, analyzer)
-    return tfidf_weights(counts, vocabulary(counts, df, max_terms=max_terms), key)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return tfidf_weights(counts, vocabulary(counts, total, max_terms=max_terms), key)
 
 
 @dataclass(frozen=True)
@@ -167,38 +192,74 @@ class TfidfVectorizer:
     @staticmethod
     def fit(
         df: DataFrame,
-        settle,
+        settle: Settle,
         key: Sequence[str] = APPLICATION_KEY,
         text: str = "model_text",
         max_terms: int = MAX_TERMS,
     ) -> TfidfVectorizer:
-        """`settle` writes each vocabulary once; both blocks share one vector."""
-        documents = by_document(df, key, text)
+        return TfidfVectorizer.learn(count_terms(df, settle, key, text), df.count(), settle, max_terms)
+
+    @staticmethod
+    def learn(
+        counts: Mapping[str, DataFrame], documents: int, settle: Settle, max_terms: int = MAX_TERMS
+    ) -> TfidfVectorizer:
+        """From the counts of the training documents; `settle` writes each vocabulary
+        once, and both blocks share one vector."""
         tables: dict[str, DataFrame] = {}
         size = 0
         for analyzer in ANALYZERS:
-            learned = vocabulary(term_counts(documents, key, analyzer), df, max_terms=max_terms)
+            learned = vocabulary(counts[analyzer], documents, max_terms=max_terms)
             # At most max_terms rows, so one ordered numbering is small.
             numbered = learned.withColumn("slot", F.row_number().over(Window.orderBy("term")) + F.lit(size - 1))
             tables[analyzer] = settle(numbered, f"terms-{analyzer}")
             size += tables[analyzer].count()
         return TfidfVectorizer(tables, size)
 
-    def transform(
-        self, df: DataFrame, key: Sequence[str] = APPLICATION_KEY, text: str = "model_text", target: str = "features"
+    def vectorize(
+        self, documents: DataFrame, counts: Mapping[str, DataFrame], key: Sequence[str] = APPLICATION_KEY
     ) -> DataFrame:
-        """Add the sparse vector of both blocks. A row without any known term gets
-        an empty vector."""
-        documents = by_document(df, key, text)
+        """`key` and `features` of every document: the fields of a sparse vector, each
+        block of unit length. A document without any known term gets an empty one."""
         blocks = None
-        for analyzer, terms in self.terms.items():
-            counts = term_counts(documents, key, analyzer)
-            block = tfidf_weights(counts, terms, key).select(*key, "slot", "weight")
+        for number, (analyzer, terms) in enumerate(self.terms.items()):
+            raw = counts[analyzer].join(F.broadcast(terms), "term")
+            block = raw.select(*key, F.lit(number).alias("_block"), "slot", _raw_weight().alias("_raw"))
             blocks = block if blocks is None else blocks.unionByName(block)
-        size = self.size
-        to_vector = F.udf(lambda pairs: Vectors.sparse(size, sorted((p[0], p[1]) for p in pairs or [])), VectorUDT())
-        vectors = blocks.groupBy(*key).agg(F.collect_list(F.struct("slot", "weight")).alias("_pairs"))
-        return df.join(vectors, list(key), "left").withColumn(target, to_vector("_pairs")).drop("_pairs")
+        square = F.col("_raw") * F.col("_raw")
+        lengths = [F.sqrt(F.sum(F.when(F.col("_block") == n, square))) for n in range(len(self.terms))]
+        pair = F.struct(F.col("slot").cast("int").alias("slot"), F.col("_raw").alias("raw"), F.col("_block").alias("block"))
+        grouped = blocks.groupBy(*key).agg(
+            F.array_sort(F.collect_list(pair)).alias("_pairs"), F.array(*lengths).alias("_lengths")
+        )
+        joined = documents.select(*key).join(grouped, list(key), "left")
+        pairs = F.coalesce("_pairs", F.array().cast(grouped.schema["_pairs"].dataType))
+        return joined.select(
+            *key,
+            F.struct(
+                F.lit(0).cast("tinyint").alias("type"),
+                F.lit(self.size).alias("size"),
+                F.transform(pairs, lambda p: p["slot"]).alias("indices"),
+                F.transform(pairs, lambda p: p["raw"] / F.get("_lengths", p["block"])).alias("values"),
+            ).alias("features"),
+        )
+
+    def transform(
+        self,
+        df: DataFrame,
+        settle: Settle,
+        key: Sequence[str] = APPLICATION_KEY,
+        text: str = "model_text",
+        target: str = "features",
+        counts: Mapping[str, DataFrame] | None = None,
+    ) -> DataFrame:
+        """Add the sparse vector of both blocks as `target`. The vectors' fields are
+        written by `settle` and read as vectors. `key` must be unique."""
+        if counts is None:
+            counts = count_terms(df, settle, key, text)
+        fields = self.vectorize(df, counts, key)
+        kinds = StructType([StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in fields.schema])
+        vectors = settle(fields, "vectors", kinds).withColumnRenamed("features", target)
+        return df.drop(target).join(vectors, list(key))
 
 
 # --- structured columns and classes ----------------------------------------------------

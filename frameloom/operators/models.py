@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,23 +20,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.contract import MAX_TERMS, NO_ACTOR, NOT_APPLICABLE, STRUCTURED_COLUMNS, VALENCE_COLUMN
-from frameloom.operators.features import TfidfVectorizer, embedding_vector, with_class_weight
+from frameloom.operators.features import Settle, TfidfVectorizer, count_terms, embedding_vector, with_class_weight
 from frameloom.operators.folds import require_no_leak
 from frameloom.operators.metrics import best_model, confusion, metric_rows, metric_summary
-from frameloom.session import settle
+from frameloom.session import Scratch, settle
 
 # Training settings.
 MAX_ITERATIONS = 1500
 REGULARIZATION_C = 1.0
 HIDDEN_LAYERS = (256, 64)
 MLP_ITERATIONS = 200
-SVM_ITERATIONS = 100
+SVM_ITERATIONS = 1000
 TOLERANCE = 1e-4
 
 BASELINE = "majority_baseline"
 TFIDF_MODELS = ("tfidf_logistic_regression", "tfidf_linear_svm")
 EMBEDDING_MODELS = ("embedding_logistic_regression", "embedding_linear_svm", "embedding_mlp")
 MODELS = (BASELINE, *TFIDF_MODELS, *EMBEDDING_MODELS)
+#: What the models read.
+INPUTS = {"none": (BASELINE,), "tfidf": TFIDF_MODELS, "embedding": EMBEDDING_MODELS}
+#: Classes of a target at most, and training rows that are worth a task.
+MAX_CLASSES = 1000
+ROWS_PER_TASK = 2000
 PREDICTED = "predicted"
 
 
@@ -119,8 +125,13 @@ class Predictor:
     def predict(self, df: DataFrame) -> DataFrame:
         if self.pipeline is None:
             return df.withColumn(PREDICTED, F.lit(self.constant))
-        ready = _with_vector(df, self.vectorizer)
-        return self.pipeline.transform(ready).select(*df.columns, PREDICTED)
+        return self.predict_vectors(_with_vector(df, self.vectorizer, settle)).select(*df.columns, PREDICTED)
+
+    def predict_vectors(self, df: DataFrame) -> DataFrame:
+        """As `predict`, for rows that have their vector as `_v` already."""
+        if self.pipeline is None:
+            return df.withColumn(PREDICTED, F.lit(self.constant))
+        return self.pipeline.transform(df)
 
     def save(self, path: str, spark: SparkSession) -> None:
         """Write the model as a folder: a small record, the pipeline, vocabularies."""
@@ -153,10 +164,18 @@ class Predictor:
         )
 
 
-def _with_vector(df: DataFrame, vectorizer: TfidfVectorizer | None) -> DataFrame:
+def _with_vector(df: DataFrame, vectorizer: TfidfVectorizer | None, settle: Settle) -> DataFrame:
     if vectorizer is None:
         return df.withColumn("_v", embedding_vector(F.col("embedding")))
-    return vectorizer.transform(df, target="_v")
+    return vectorizer.transform(df, settle, target="_v")
+
+
+def class_list(df: DataFrame, target: str = VALENCE_COLUMN) -> list[str]:
+    """The classes in order; they become the label index, so they must be few."""
+    found = [row[0] for row in df.select(target).distinct().orderBy(target).limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"Target {target} has more than {MAX_CLASSES} classes.")
+    return found
 
 
 def fit_model(
@@ -168,24 +187,58 @@ def fit_model(
     max_terms: int = MAX_TERMS,
 ) -> Predictor:
     """Fit one model. Vocabularies, indexers and class weights see `train` alone."""
+    if name == BASELINE:
+        return fit_vectors(train, name, target, structured, seed)
+    with Scratch(train.sparkSession, "fit") as scratch:
+        if name not in TFIDF_MODELS:
+            return fit_vectors(_with_vector(train, None, scratch), name, target, structured, seed)
+        counts = count_terms(train, scratch)
+        vectorizer = TfidfVectorizer.learn(counts, train.count(), settle, max_terms)
+        ready = vectorizer.transform(train.drop("text", "model_text"), scratch, target="_v", counts=counts)
+        return fit_vectors(ready, name, target, structured, seed, vectorizer)
+
+
+def fit_vectors(
+    train: DataFrame,
+    name: str,
+    target: str = VALENCE_COLUMN,
+    structured: Sequence[str] = STRUCTURED_COLUMNS,
+    seed: int = 42,
+    vectorizer: TfidfVectorizer | None = None,
+) -> Predictor:
+    """Fit one model on rows that have their vector as `_v`."""
     if name == BASELINE:
         return Predictor(name, target, constant=train.select(majority_class(train, target)).first()[0])
-    # The class list of a classifier is short; it becomes the label index.
-    classes = [row[0] for row in train.select(target).distinct().orderBy(target).collect()]
-    vectorizer = TfidfVectorizer.fit(train, settle, max_terms=max_terms) if name in TFIDF_MODELS else None
-    ready = settle(_with_vector(with_class_weight(train, target), vectorizer), "train")
+    classes = class_list(train, target)
     extra = [] if name in TFIDF_MODELS else structured
-    prepared = Pipeline(stages=feature_stages(extra, "_v")).fit(ready)
-    inputs = prepared.transform(ready).select("_x").first()["_x"].size
-    labels = StringIndexerModel.from_labels(classes, inputCol=target, outputCol="_y", handleInvalid="error")
-    model = estimator(name, ready.count(), inputs, len(classes), seed)
-    back = IndexToString(inputCol="_p", outputCol=PREDICTED, labels=classes)
-    pipeline = Pipeline(stages=[*prepared.stages, labels, model, back]).fit(ready)
+    with Scratch(train.sparkSession, "train") as scratch:
+        weighted = with_class_weight(train.select(target, "_v", *extra), target)
+        ready = scratch(weighted, "train")
+        rows = ready.count()
+        # A fit reads the rows once per iteration: no more tasks than they are worth.
+        ready = ready.coalesce(max(1, rows // ROWS_PER_TASK))
+        prepared = Pipeline(stages=feature_stages(extra, "_v")).fit(ready)
+        inputs = prepared.transform(ready).select("_x").first()["_x"].size
+        labels = StringIndexerModel.from_labels(classes, inputCol=target, outputCol="_y", handleInvalid="error")
+        model = estimator(name, rows, inputs, len(classes), seed)
+        back = IndexToString(inputCol="_p", outputCol=PREDICTED, labels=classes)
+        pipeline = Pipeline(stages=[*prepared.stages, labels, model, back]).fit(ready)
+    _report_unfinished(name, pipeline.stages[-2], model)
     # The label index is only for fitting; prediction rows have no target.
     fitted = PipelineModel([*pipeline.stages[: len(prepared.stages)], *pipeline.stages[-2:]])
     return Predictor(name, target, pipeline=fitted, vectorizer=vectorizer)
 
 
+def _report_unfinished(name: str, fitted, model) -> None:
+    """Warn of a fit that used all its iterations."""
+    limit = (model.getClassifier() if isinstance(model, OneVsRest) else model).getMaxIter()
+    for part in getattr(fitted, "models", [fitted]):
+        if part.hasSummary:
+            summary = part.summary() if callable(part.summary) else part.summary
+            if summary.totalIterations >= limit:
+                warnings.warn(f"{name} stopped after {limit} iterations without converging.", stacklevel=3)
+
+
 def cross_validate(
     df: DataFrame,
     models: Sequence[str],
@@ -193,27 +246,43 @@ def cross_validate(
     target: str = VALENCE_COLUMN,
     structured: Sequence[str] = STRUCTURED_COLUMNS,
     seed: int = 42,
+    max_terms: int = MAX_TERMS,
 ) -> DataFrame:
     """Metrics of every model on every held-out fold.
 
-    `df` carries a `fold` column. What a fold leaves behind is its confusion
-    counts, a table of classes squared.
+    `df` carries a `fold` column. Terms are counted once; in each fold both TF-IDF
+    models share one vocabulary, learned from its training rows, and one table of
+    vectors. What a fold leaves behind is its confusion counts, a table of classes
+    squared.
     """
-    data = settle(require_no_leak(df), "folds")
     tables = []
-    for fold in range(1, folds + 1):
-        train = data.filter(F.col("fold") != fold).drop("fold")
-        test = data.filter(F.col("fold") == fold)
-        for name in models:
-            predicted = fit_model(train, name, target, structured, seed).predict(test)
-            rows = predicted.select(
-                F.lit(target).alias("target"),
-                F.lit(name).alias("model"),
-                F.lit(fold).alias("fold"),
-                F.col(target).cast("string").alias("y_true"),
-                F.col(PREDICTED).alias("y_pred"),
-            )
-            tables.append(settle(confusion(rows), "confusion"))
+    by_input = {kind: [n for n in models if n in names] for kind, names in INPUTS.items()}
+    with Scratch(df.sparkSession, "folds") as every:
+        data = every(require_no_leak(df), "folds")
+        counts = count_terms(data, every, carry=["fold"]) if by_input["tfidf"] else {}
+        for fold in range(1, folds + 1):
+            learns = F.col("fold") != fold
+            with Scratch(df.sparkSession, f"fold-{fold}") as scratch:
+                for kind, names in by_input.items():
+                    if not names:
+                        continue
+                    ready = data
+                    if kind == "tfidf":
+                        seen = {name: table.filter(learns) for name, table in counts.items()}
+                        learned = TfidfVectorizer.learn(seen, data.filter(learns).count(), scratch, max_terms)
+                        ready = learned.transform(data.drop("text", "model_text"), scratch, target="_v", counts=counts)
+                    elif kind == "embedding":
+                        ready = _with_vector(data, None, scratch)
+                    for name in names:
+                        fitted = fit_vectors(ready.filter(learns), name, target, structured, seed)
+                        rows = fitted.predict_vectors(ready.filter(~learns)).select(
+                            F.lit(target).alias("target"),
+                            F.lit(name).alias("model"),
+                            F.lit(fold).alias("fold"),
+                            F.col(target).cast("string").alias("y_true"),
+                            F.col(PREDICTED).alias("y_pred"),
+                        )
+                        tables.append(settle(confusion(rows), "confusion"))
     return metric_rows(reduce(DataFrame.unionByName, tables))
 
 
@@ -243,10 +312,11 @@ def predict_rest(
         )
         if name in applications.columns
     ]
-    # One pass: scoring a row that does not count is cheaper than reading it twice.
     # The test is null where the actor is null; such rows do not apply either.
-    value = F.when(F.col("focal_actor") != NO_ACTOR, F.col(PREDICTED)).otherwise(NOT_APPLICABLE)
-    return predict(applications).select(*columns, value.alias(f"predicted_{target}"))
+    names_actor = F.coalesce(F.col("focal_actor") != NO_ACTOR, F.lit(False))
+    scored = predict(applications.filter(names_actor)).select(*columns, F.col(PREDICTED).alias(f"predicted_{target}"))
+    rest = applications.filter(~names_actor).select(*columns, F.lit(NOT_APPLICABLE).alias(f"predicted_{target}"))
+    return scored.unionByName(rest)
 
 
 def selected_models_record(selected: dict[str, str]) -> str:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _local_folders: dict[str, str] = {}
 
@@ -44,13 +45,35 @@ def work_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write `df` once into the work folder and read it back.
+def settle(df: DataFrame, name: str = "table", schema: StructType | None = None) -> DataFrame:
+    """Write `df` once into the work folder and read it back, as `schema` if given.
 
     Cuts lineage in a way that outlives lost executors, and fixes the rows of
     steps that would not repeat exactly (labeler replies, range boundaries).
     """
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}", schema)
+
+
+def _written(df: DataFrame, path: str, schema: StructType | None = None) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
+
+class Scratch:
+    """Settled tables of one job, removed with their folder when the job ends.
+
+    Use it as a context; nothing that reads the tables may outlive it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "job"):
+        self.spark, self.path = spark, f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def __call__(self, df: DataFrame, name: str = "table", schema: StructType | None = None) -> DataFrame:
+        return _written(df, f"{self.path}/{name}-{uuid.uuid4().hex}", schema)

@@ -57,7 +57,7 @@ def test_tfidf(spark, analyzer, rule):
 def test_vectorizer_uses_the_training_vocabulary(spark):
     vectorizer = features.TfidfVectorizer.fit(documents(spark), settle, ["id"])
     fresh = spark.createDataFrame([(7, "the cat"), (8, "zebra")], "id int, model_text string")
-    got = {r["id"]: r["features"] for r in vectorizer.transform(fresh, ["id"]).collect()}
+    got = {r["id"]: r["features"] for r in vectorizer.transform(fresh, settle, ["id"]).collect()}
     assert got[7].size == got[8].size == vectorizer.size
     assert got[8].numNonzeros() == 0
     assert got[7].norm(2) == pytest.approx(math.sqrt(2))
