@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -31,6 +32,7 @@ HEADLINE = [
     "audit_accuracy_by_label",
     "grouped_folds",
     "tfidf_word",
+    "tfidf_features",
     "predict_rest",
     "label_posts",
 ]
@@ -53,6 +55,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus if cpus.isdigit() else 8,
         spark__ui__enabled="false",
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="frameloom-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

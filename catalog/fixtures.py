@@ -207,11 +207,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(number % 7 == 5, F.lit("No Categories."))
         .otherwise(F.lit("unknown"))
     )
-    return (
-        table(spark, sf_dir, "conversations")
-        .filter(F.col("role") == "assistant")
-        .select("conv_id", "turn", reply.alias("reply"), "text")
-    )
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", reply.alias("reply"), "text")
 
 
 def truth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,14 @@ from frameloom.contract import (
     STRUCTURED_COLUMNS,
     TEXT_CUTS,
     VALENCE_ALIASES,
+    VALENCE_COLUMN,
     VALENCES,
     allowed_labels,
 )
 from frameloom.functions import labels as lf
 from frameloom.functions import posts as pf
 from frameloom.functions import prompts as pr
-from frameloom.functions.text import cut_text
+from frameloom.functions.text import cut_ladder, cut_text
 from frameloom.operators import actors, applications, audit, features, folds, labeling, metrics, models, profiling
 from frameloom.operators import sampling
 from frameloom.session import settle, work_folder
@@ -174,13 +177,23 @@ def truncate_text(spark, sf):
     return fx.documents(spark, sf).select("doc_id", cut_text(F.col("text"), 400).alias("short"))
 
 
+LADDER = [q.cut("text", n) for n in TEXT_CUTS]
+
+
 @check(
     "truncate_ladder",
-    q.query("select doc_id, " + ", ".join(f"{q.cut('text', n)} as cut_{n}" for n in TEXT_CUTS) + " from documents"),
+    q.query(
+        # a cut that equals the one before it is not repeated
+        "select doc_id, md5(concat_ws(chr(30), "
+        + ", ".join(
+            [LADDER[0], *[f"case when {cut} <> {longer} then {cut} end" for longer, cut in zip(LADDER, LADDER[1:])]]
+        )
+        + ")) as ladder from documents"
+    ),
 )
 def truncate_ladder(spark, sf):
-    cuts = [cut_text(F.col("text"), limit).alias(f"cut_{limit}") for limit in TEXT_CUTS]
-    return fx.documents(spark, sf).select("doc_id", *cuts)
+    ladder = F.array_join(cut_ladder(F.col("text")), "\x1e")
+    return fx.documents(spark, sf).select("doc_id", F.md5(ladder).alias("ladder"))
 
 
 ANSWERS = [*VALENCES, *VALENCE_ALIASES]
@@ -346,9 +359,12 @@ def clean_focal_items(spark, sf):
     return actors.clean_focal_items(fx.focal_rows(spark, sf), clean_map(spark, sf), TOP)
 
 
+def clean_items(spark, sf):
+    return actors.clean_focal_items(fx.focal_rows(spark, sf), clean_map(spark, sf), TOP)
+
+
 def rolled(spark, sf):
-    items = actors.clean_focal_items(fx.focal_rows(spark, sf), clean_map(spark, sf), TOP)
-    return actors.focal_rollup(fx.posts(spark, sf), items)
+    return actors.focal_rollup(fx.posts(spark, sf), clean_items(spark, sf))
 
 
 @check("focal_rollup", q.query("select * from rollup", "rollup"))
@@ -366,7 +382,7 @@ def focal_rollup(spark, sf):
     ),
 )
 def attach_focal(spark, sf):
-    return actors.attach_focal(fx.posts(spark, sf), rolled(spark, sf))
+    return actors.attach_focal(fx.posts(spark, sf), clean_items(spark, sf))
 
 
 @check("focal_audit", q.query("select focal_actor, count(*) as posts from rollup group by 1", "rollup"))
@@ -913,6 +929,11 @@ def tfidf_sql(grams: str, body: str) -> str:
     return q.query("", "target_rows").rstrip() + ",\n" + grams + TFIDF_TAIL + body
 
 
+def tfidf_tables(grams: str) -> str:
+    """The tables of one analyzer, for a query within a query."""
+    return "with " + grams + TFIDF_TAIL
+
+
 @check(
     "tfidf_word",
     tfidf_sql(WORDS, "select merge_key, key_occurrence, frame_domain, term, tf, round(weight, 6) as weight from weights"),
@@ -943,37 +964,59 @@ def tfidf_char(spark, sf):
     )
 
 
-@check("tfidf_features")
+@check(
+    "tfidf_features",
+    q.query("", "target_rows").rstrip()
+    + f"""
+select merge_key, key_occurrence, frame_domain, cast(count(term) as bigint) as terms,
+  coalesce(round(sqrt(sum(weight * weight)), 6), 0) as length
+from (select merge_key, key_occurrence, frame_domain from target_rows) left join (
+  select * from ({tfidf_tables(WORDS)} select * from weights)
+  union all select * from ({tfidf_tables(CHARS)} select * from weights))
+  using (merge_key, key_occurrence, frame_domain) group by 1, 2, 3""",
+)
 def tfidf_features(spark, sf):
     """Both TF-IDF blocks as one sparse vector per application, described."""
     rows = training(spark, sf)
-    vectors = features.TfidfVectorizer.fit(rows, settle).transform(rows)
-    describe = F.udf(lambda v: (int(v.numNonzeros()), float(v.norm(2))), "terms long, length double")
-    return vectors.withColumn("d", describe("features")).select(
-        *APPLICATION, F.col("d.terms").alias("terms"), F.round("d.length", 6).alias("length")
+    counts = features.count_terms(rows, settle)
+    vectors = features.TfidfVectorizer.learn(counts, rows.count(), settle).vectorize(rows, counts)
+    values = F.col("features.values")
+    length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda total, value: total + value * value))
+    return vectors.select(
+        *APPLICATION, F.size("features.indices").cast("long").alias("terms"), F.round(length, 6).alias("length")
     )
 
 
 @check(
     "one_hot",
     q.query(
-        "select merge_key, key_occurrence, frame_domain, feature, category from ("
+        "select fold, merge_key, key_occurrence, frame_domain, feature, category from ("
         + " union all ".join(
             f"select merge_key, key_occurrence, frame_domain, '{name}' as feature, {name} as category, fold from fr"
             for name in STRUCTURED_COLUMNS
         )
-        + ") l where fold = 1 and exists (select 1 from ("
+        + ") l where exists (select 1 from ("
         + " union all ".join(f"select '{name}' as feature, {name} as category, fold from fr" for name in STRUCTURED_COLUMNS)
-        + ") k where k.fold <> 1 and k.feature = l.feature and k.category = l.category)",
+        + ") k where k.fold <> l.fold and k.feature = l.feature and k.category = l.category)",
         "target_rows",
         "folds",
         extra={"fr": "select t.*, f.fold from target_rows t join folds f using (group_id)"},
     ),
 )
 def one_hot(spark, sf):
-    """Slots of the first fold against the categories of the other folds."""
-    rows = folds.with_folds(training(spark, sf), 5, SEED)
-    return features.one_hot_long(rows.filter("fold = 1"), rows.filter("fold <> 1"), APPLICATION)
+    """The slots that each fold's rows take in the encoding fitted on the other folds."""
+    rows = settle(folds.with_folds(training(spark, sf), 5, SEED).withColumn("_v", features.embedding_vector(F.array(F.lit(0.0)))), "folds")
+    tables = []
+    for fold in range(1, 6):
+        stages = models.Pipeline(stages=models.feature_stages(STRUCTURED_COLUMNS, "_v")).fit(rows.filter(F.col("fold") != fold))
+        slots = []
+        for name, labels in zip(STRUCTURED_COLUMNS, stages.stages[0].labelsArray):
+            taken = F.array_position(vector_to_array(f"_s_{name}"), 1.0)
+            category = F.get(F.array(*[F.lit(label) for label in labels]), taken.cast("int") - 1)
+            slots.append(F.struct(F.lit(name).alias("feature"), category.alias("category")))
+        encoded = stages.transform(rows.filter(F.col("fold") == fold))
+        tables.append(encoded.select("fold", *APPLICATION, F.inline(F.array(*slots))).filter("category is not null"))
+    return reduce(DataFrame.unionByName, tables)
 
 
 @check(
@@ -988,7 +1031,28 @@ def one_hot(spark, sf):
     ),
 )
 def majority_baseline(spark, sf):
-    return models.majority_by_fold(folds.with_folds(training(spark, sf), 5, SEED), 5)
+    rows = settle(folds.with_folds(training(spark, sf), 5, SEED).select("fold", VALENCE_COLUMN), "folds")
+    tables = []
+    for fold in range(1, 6):
+        train = rows.filter(F.col("fold") != fold)
+        counted = train.agg(F.count(F.lit(1)).alias("train_rows"))
+        tables.append(counted.select(F.lit(fold).alias("fold"), models.majority_class(train).alias("predicted"), "train_rows"))
+    return reduce(DataFrame.unionByName, tables)
+
+
+@check(
+    "fold_overlap",
+    q.query(
+        f"""select distinct group_id from target_rows where substring({ROW_FOLD}, 1, 1) < '8'
+        intersect select group_id from target_rows where substring({ROW_FOLD}, 1, 1) >= '8'""",
+        "target_rows",
+    ),
+)
+def fold_overlap(spark, sf):
+    """The posts on both sides of a split by row."""
+    rows = training(spark, sf)
+    half = F.substring(sampling.seeded_digest(SEED, *[F.col(name) for name in APPLICATION]), 1, 1) < "8"
+    return folds.overlapping_groups(rows.filter(half), rows.filter(~half))
 
 
 @check(
@@ -1074,38 +1138,67 @@ def best_model(spark, sf):
 EMBEDDING_COLUMNS = ["source_country", "focal_actor"]
 
 
-@check("embedding_features")
+@check(
+    "embedding_features",
+    f"""with rows as (select vec_id, {q.pick('vec_id', ["China", "Russia", "Russia", "China"])} as source_country,
+      case when (vec_id // 2) % 40 = 0 then 'rare'
+        else {q.pick('vec_id', ["eu", "usa", "china", "None", "russia", "Other"])} end as focal_actor, embedding
+      from embeddings)
+    select vec_id, cast(len(embedding) + (select count(distinct source_country) + count(distinct focal_actor) from rows)
+      as integer) as width, 2 as slots from rows""",
+)
 def embedding_features(spark, sf):
     """Embedding and one-hot columns as one vector, with its width and slots in use."""
     rows = fx.vectors(spark, sf).withColumn("_v", features.embedding_vector(F.col("embedding")))
     fitted = models.Pipeline(stages=models.feature_stages(EMBEDDING_COLUMNS, "_v")).fit(rows)
-    describe = F.udf(lambda v: (v.size, int((v.toArray()[64:] > 0).sum())), "width int, slots int")
-    return fitted.transform(rows).withColumn("d", describe("_x")).select("vec_id", "d.width", "d.slots")
+    described = fitted.transform(rows).select("vec_id", F.size("embedding").alias("n"), vector_to_array("_x").alias("x"))
+    slots = F.filter(F.slice("x", F.col("n") + 1, F.size("x")), lambda value: value > 0)
+    return described.select("vec_id", F.size("x").alias("width"), F.size(slots).alias("slots"))
 
 
-CV_MODELS = ["majority_baseline", "embedding_logistic_regression", "embedding_linear_svm"]
+FOLDS = 5
 
 
-def cv_metrics(spark, sf, names, k):
-    rows = folds.with_folds(fx.vectors(spark, sf), k, SEED, target="topic")
-    return models.cross_validate(rows, names, k, target="topic", structured=EMBEDDING_COLUMNS, seed=SEED)
+def cv_metrics(spark, sf, names):
+    rows = folds.with_folds(fx.vectors(spark, sf), FOLDS, SEED, target="topic")
+    return models.cross_validate(rows, names, FOLDS, target="topic", structured=EMBEDDING_COLUMNS, seed=SEED)
 
 
 @check("cross_validate")
 def cross_validate(spark, sf):
-    return cv_metrics(spark, sf, CV_MODELS, 2)
+    return cv_metrics(spark, sf, ["majority_baseline", "embedding_logistic_regression", "embedding_linear_svm"])
 
 
 @check("cross_validate_mlp")
 def cross_validate_mlp(spark, sf):
-    return cv_metrics(spark, sf, ["embedding_mlp"], 2)
+    return cv_metrics(spark, sf, ["embedding_mlp"])
+
+
+@check(
+    "cross_validate_baseline",
+    q.query(
+        """select 'focal_valence' as target, 'majority_baseline' as model, fold, y_true as label,
+          count(*) as support, max(case when y_true = guess then 1 else 0 end)::double as recall
+        from (select r.focal_valence as y_true, r.fold, (
+            select arg_min(v, (-n, v)) from (select focal_valence as v, count(*) as n from fr t
+              where t.fold <> r.fold group by 1)) as guess from fr r) group by fold, y_true""",
+        "target_rows",
+        "folds",
+        extra={"fr": "select t.focal_valence, f.fold from target_rows t join folds f using (group_id)"},
+    ),
+)
+def cross_validate_baseline(spark, sf):
+    """What is exact of a cross-validation: the rows of every class and fold, and the baseline's recall."""
+    rows = folds.with_folds(training(spark, sf), FOLDS, SEED)
+    scores = models.cross_validate(rows, ["majority_baseline"], FOLDS, seed=SEED)
+    recall = scores.filter("metric = 'recall'")
+    return recall.select("target", "model", "fold", "label", "support", F.col("value").alias("recall"))
 
 
 @check("predict_selected")
 def predict_selected(spark, sf):
-    """Pick the best model by cross-validation, fit it on all rows, predict all rows."""
-    names = ["majority_baseline", "embedding_logistic_regression"]
-    best = models.select_model(cv_metrics(spark, sf, names, 2))
+    """Pick the best embedding model by cross-validation, fit it on all rows, predict all rows."""
+    best = models.select_model(cv_metrics(spark, sf, ["majority_baseline", *models.EMBEDDING_MODELS]))
     rows = fx.vectors(spark, sf)
     fitted = models.fit_model(rows, best, "topic", EMBEDDING_COLUMNS, SEED)
     return fitted.predict(rows).select("vec_id", "topic", "predicted", F.lit(best).alias("model"))
@@ -1113,9 +1206,7 @@ def predict_selected(spark, sf):
 
 @check("predict_rest_tfidf")
 def predict_rest_tfidf(spark, sf):
-    """Fit the TF-IDF logistic regression on the labeled rows, predict the rest. The
-    vocabulary limit is the model's; all rows and whole texts are read."""
-    fitted = models.fit_model(training(spark, sf), "tfidf_logistic_regression", seed=SEED, max_terms=2000)
+    """Fit the TF-IDF logistic regression on the labeled rows, predict the rest."""
+    fitted = models.fit_model(training(spark, sf), "tfidf_logistic_regression", seed=SEED)
     rest = features.prepare_features(fx.unlabeled(spark, sf))
     return models.predict_rest(rest, fitted.predict).select(*APPLICATION, "focal_actor", "predicted_focal_valence")
-

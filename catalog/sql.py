@@ -278,7 +278,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           when 2 then 'Answer: [' || label || ', other]' when 3 then '"' || label || '"'
           when 4 then replace(upper(label), ' ', '  ') when 5 then 'No Categories.' else 'unknown' end as reply
         from (select *, {pick('n', TASK_LABELS['DEM'])} as label
-          from (select *, conv_id * 10 + turn as n from conversations where role = 'assistant'))""",
+          from (select *, conv_id * 10 + turn as n from conversations))""",
     ),
     "truth_labels": (
         (),

@@ -82,6 +82,15 @@ def render(template: str, fields: Mapping[str, Column]) -> Column:
     return F.concat(*parts)
 
 
+#: Stands for the post in a frame; what is behind its last place is fixed text.
+POST_MARK = "\0"
+
+
+def frame(template: str) -> str:
+    """A template without other fields than the post, as a frame."""
+    return "".join(fixed + (POST_MARK if field == "text" else "") for fixed, field in pieces(template))
+
+
 def strict(template: str, labels: Sequence[str]) -> str:
     """The template with the allow-list instruction added at its end."""
     return template.rstrip() + "\n" + STRICT_SUFFIX.replace("{labels}", label_lines(labels))
@@ -131,6 +140,7 @@ __all__ = [
     "REPAIR_TEMPLATE",
     "allowed_labels",
     "focal_prompt",
+    "frame",
     "label_lines",
     "pieces",
     "render",

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from frameloom.contract import NO_ACTOR, OTHER_ACTOR, POST_KEY, TOP_ACTORS, TOP_REPORTED
 from frameloom.functions.names import fold_names
 from frameloom.functions.posts import source_actor
-from frameloom.operators.ranking import BROADCAST_ROWS, lookup_join
+from frameloom.operators.ranking import BROADCAST_BYTES, lookup_join
 from frameloom.session import settle
 
 SEPARATOR = ";"
 BLANK_NAMES = ("", "none")
+MAX_TOP = 100_000
 
 
 def focal_items(rows: DataFrame, column: str = "focal") -> DataFrame:
@@ -39,9 +40,14 @@ def folded_item_counts(rows: DataFrame, column: str = "focal") -> DataFrame:
 
 
 def fold_actor_map(entries: DataFrame) -> DataFrame:
-    """Fold label and canonical of every map entry; blank labels are dropped."""
-    folded = fold_names(fold_names(entries, "label", "label"), "canonical", "canonical")
-    return folded.filter(F.col("label") != "")
+    """Fold label and canonical of every map entry; blank labels are dropped.
+
+    The log grows with every decision, the names in it hardly: each is folded once.
+    """
+    for name in ("label", "canonical"):
+        folded = fold_names(entries.select(name).distinct(), name, "_folded")
+        entries = entries.join(folded, name, "left").withColumn(name, F.coalesce("_folded", F.lit(""))).drop("_folded")
+    return entries.filter(F.col("label") != "")
 
 
 def actor_map_clean(entries: DataFrame, order: str = "seq") -> DataFrame:
@@ -121,7 +127,9 @@ def _names_an_actor() -> Column:
 
 
 def top_actors(names: DataFrame, n: int = TOP_ACTORS) -> DataFrame:
-    """The most mentioned canonical actors, ties by name."""
+    """The most mentioned canonical actors, ties by name. They are broadcast, so `n` is limited."""
+    if n > MAX_TOP:
+        raise ValueError(f"At most {MAX_TOP} actors can be kept.")
     return (
         names.filter(_names_an_actor())
         .groupBy("canonical")
@@ -159,11 +167,11 @@ def slot_totals(counts: DataFrame, catch_all: str = OTHER_ACTOR) -> DataFrame:
 
 
 def mapped_focal_items(
-    rows: DataFrame, actor_map: DataFrame, column: str = "focal", max_broadcast_rows: int = BROADCAST_ROWS
+    rows: DataFrame, actor_map: DataFrame, column: str = "focal", max_broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Every mention with its folded label and canonical actor (null if unmapped)."""
-    names = settle(mapped_names(rows, actor_map, column).drop("mentions"), "names")
-    return lookup_join(focal_items(rows, column), names, "item", max_broadcast_rows)
+    names = settle(mapped_names(rows, actor_map, column), "names")
+    return lookup_join(focal_items(rows, column), names, "item", max_broadcast_bytes)
 
 
 def name_components(names: DataFrame, n: int = TOP_ACTORS) -> DataFrame:
@@ -174,7 +182,7 @@ def name_components(names: DataFrame, n: int = TOP_ACTORS) -> DataFrame:
         .when(F.col("_top"), F.col("canonical"))
         .otherwise(OTHER_ACTOR)
     )
-    return names.join(top, "canonical", "left").select("item", component.alias("focal_component"))
+    return names.join(top, "canonical", "left").select("item", "mentions", component.alias("focal_component"))
 
 
 def clean_focal_items(
@@ -182,13 +190,13 @@ def clean_focal_items(
     actor_map: DataFrame,
     n: int = TOP_ACTORS,
     column: str = "focal",
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Every mention with its component. The names are folded, mapped, ranked and
     classified once each; the mentions themselves see a single lookup."""
     names = settle(mapped_names(rows, actor_map, column), "names")
     components = settle(name_components(names, n), "components")
-    return lookup_join(focal_items(rows, column), components, "item", max_broadcast_rows).drop("item")
+    return lookup_join(focal_items(rows, column), components, "item", max_broadcast_bytes).drop("item")
 
 
 def roll_up_items(items: DataFrame, key: Sequence[str] = POST_KEY) -> DataFrame:
@@ -201,29 +209,33 @@ def roll_up_items(items: DataFrame, key: Sequence[str] = POST_KEY) -> DataFrame:
     )
 
 
-def focal_rollup(posts: DataFrame, items: DataFrame, key: Sequence[str] = POST_KEY) -> DataFrame:
-    """One focal actor string per post. An account's own country is left out when
-    the post names anyone else; a post nobody labeled counts as `None`."""
-    rolled = roll_up_items(items, key)
+def rolled_actor() -> Column:
+    """One focal actor string from `category` and the rolled-up columns. An account's
+    own country is left out when the post names anyone else; a post nobody labeled
+    counts as `None`."""
     own = F.coalesce(source_actor(F.col("category")), F.lit(""))
     known = F.coalesce(F.col("known_actors"), F.array().cast("array<string>"))
     others = F.array_remove(known, own)
-    named = F.size(known) > 0
-    names_self = F.array_contains(known, own)
     has_other = F.coalesce(F.col("has_other"), F.lit(False))
-    actor = (
-        F.when(named & (F.size(others) > 0), F.array_join(others, SEPARATOR))
-        .when(names_self & ~has_other, own)
+    return (
+        F.when((F.size(known) > 0) & (F.size(others) > 0), F.array_join(others, SEPARATOR))
+        .when(F.array_contains(known, own) & ~has_other, own)
         .when(has_other, OTHER_ACTOR)
         .otherwise(NO_ACTOR)
     )
-    return posts.select(*key, "category").join(rolled, list(key), "left").select(*key, actor.alias("focal_actor"))
 
 
-def attach_focal(posts: DataFrame, focal: DataFrame, key: Sequence[str] = POST_KEY) -> DataFrame:
-    """Replace the focal columns of the corpus with freshly rolled-up ones."""
+def focal_rollup(posts: DataFrame, items: DataFrame, key: Sequence[str] = POST_KEY) -> DataFrame:
+    """The key and the focal actor of every post."""
+    joined = posts.select(*key, "category").join(roll_up_items(items, key), list(key), "left")
+    return joined.select(*key, rolled_actor().alias("focal_actor"))
+
+
+def attach_focal(posts: DataFrame, items: DataFrame, key: Sequence[str] = POST_KEY) -> DataFrame:
+    """Replace the focal columns of the corpus with ones rolled up from `items`, in one join."""
     kept = posts.drop("focal_actor", "has_focal_actor")
-    return kept.join(focal, list(key), "left").withColumn("has_focal_actor", F.col("focal_actor") != NO_ACTOR)
+    joined = kept.join(roll_up_items(items, key), list(key), "left").withColumn("focal_actor", rolled_actor())
+    return joined.drop("known_actors", "has_other").withColumn("has_focal_actor", F.col("focal_actor") != NO_ACTOR)
 
 
 def focal_audit(posts: DataFrame) -> DataFrame:

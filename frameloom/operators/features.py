@@ -265,23 +265,6 @@ class TfidfVectorizer:
 # --- structured columns and classes ----------------------------------------------------
 
 
-def one_hot_long(
-    df: DataFrame, fitted: DataFrame, key: Sequence[str], columns: Sequence[str] = STRUCTURED_COLUMNS
-) -> DataFrame:
-    """Long form of the one-hot block: the slots that are 1, for values that occur
-    in the fitting rows; unseen values have no slot."""
-    slots = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("feature"), F.col(name).cast("string").alias("category"))
-                for name in columns
-            ]
-        )
-    ).alias("_slot")
-    known = fitted.select(slots).select("_slot.*").distinct()
-    return df.select(*key, slots).select(*key, "_slot.*").join(known, ["feature", "category"], "left_semi")
-
-
 def class_weights(df: DataFrame, target: str = VALENCE_COLUMN) -> DataFrame:
     """Balanced weight n / (classes * n_class) per class."""
     counts = df.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))

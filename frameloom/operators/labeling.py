@@ -1,13 +1,14 @@
 """Labeling posts with an injected labeler, as one linear Spark job.
 
 A labeler is a picklable function `labeler(task)` that is called once per
-partition and returns `answer(prompts)`. `answer` gets a batch, one list of
+partition and returns `answer(prompts)`. `answer` gets a batch, one sequence of
 prompts per row, longest text first, and returns one `(reply, cut, error)` per
 row: the raw reply, the index of the prompt that was accepted, and an error text
-when the row failed.
+when the row failed. A prompt is put together when it is looked at.
 
-Only the prompts travel to Python; everything around the call is column
-expressions. There are at most three passes: first answers of all tasks, repairs of
+A row's cuts travel to Python once, whatever the number of tasks, and beside them
+the frame of each prompt, unless it is the same for all rows; everything around the
+call is column expressions. There are at most three passes: first answers of all tasks, repairs of
 answers off the list, focal actors. Each pass adds columns to the rows of the pass
 before, so a row is asked once per pass and nothing is joined back. Rows that need
 no call carry a null prompt and cost nothing. Write the result before sorting it or using it
@@ -17,7 +18,7 @@ twice: Spark would run the labeler again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from functools import partial, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -35,17 +36,40 @@ from frameloom.contract import (
     allowed_labels,
 )
 from frameloom.functions.labels import canonical_valence, match_label, normalize_label, read_reply
-from frameloom.functions.prompts import focal_prompt, repair_prompt, task_prompt, valence_prompt
+from frameloom.functions.prompts import (
+    FOCAL_TEMPLATE,
+    POST_MARK,
+    TASK_TEMPLATES,
+    frame,
+    repair_prompt,
+    valence_prompt,
+)
 from frameloom.functions.text import cut_ladder, strip
 
 Answer = tuple[str | None, int, str | None]
-Answerer = Callable[[list[list[str]]], list[Answer]]
+Answerer = Callable[[Sequence[Sequence[str]]], list[Answer]]
 Labeler = Callable[[str], Answerer]
 
 FOCAL_TASK, VALENCE_TASK, REPAIR = "FOCAL", "VALENCE", ":repair"
 VALENCE_ANSWERS = (*VALENCES, *VALENCE_ALIASES)
 
 
+class Prompts(Sequence):
+    """A frame with each of a row's cuts from `start` on in the place of the post."""
+
+    def __init__(self, frame: str, cuts: Sequence[str], start: int = 0):
+        self.before, _, self.after = frame.rpartition(POST_MARK)
+        self.cuts, self.start = cuts, start
+
+    def __len__(self) -> int:
+        return len(self.cuts) - self.start
+
+    def __getitem__(self, at: int) -> str:
+        if not 0 <= at < len(self):
+            raise IndexError(at)
+        return f"{self.before}{self.cuts[self.start + at]}{self.after}"
+
+
 class TextTooLong(Exception):
     """Raised by an ask function when the prompt does not fit the model."""
 
@@ -54,7 +78,7 @@ def try_shorter(ask: Callable[[str], str]) -> Answerer:
     """Turn `ask(prompt) -> reply` into an answerer that falls back to the next
     shorter prompt when one is too long. Any other error fails the row at once."""
 
-    def answer_row(prompts: list[str]) -> Answer:
+    def answer_row(prompts: Sequence[str]) -> Answer:
         failure = "no prompt"
         for cut, prompt in enumerate(prompts):
             try:
@@ -96,13 +120,19 @@ def output_columns(input_columns: Sequence[str], labels: Sequence[str]) -> list[
 # --- one pass -----------------------------------------------------------------------
 
 
-def ask(prompts: Mapping[str, Column], labeler: Labeler, suffix: str = "") -> Column:
+def ask(
+    frames: Mapping[str, str | Column], labeler: Labeler, suffix: str = "", starts: Mapping[str, Column] | None = None
+) -> Column:
     """Ask the prompts of several tasks in one Python stage.
 
-    Gives a struct with `reply_<task>`, `cut_<task>` and `error_<task>`, null where
-    the prompts are null. A row that failed is not asked for its later tasks.
+    A task's frame is one for all rows, or a column that is null where nothing is
+    asked; `starts` says from which of the cuts in `_cuts` on. Gives a struct with
+    `reply_<task>`, `cut_<task>` and `error_<task>`, null where nothing was asked. A
+    row that failed is not asked for its later tasks.
     """
-    tasks = list(prompts)
+    tasks = list(frames)
+    fixed = {task: frame for task, frame in frames.items() if isinstance(frame, str)}
+    sent = [task for task in tasks if task not in fixed]
     fields = ", ".join(f"reply_{task} string, cut_{task} int, error_{task} string" for task in tasks)
 
     @F.pandas_udf(fields)
@@ -110,20 +140,25 @@ def ask(prompts: Mapping[str, Column], labeler: Labeler, suffix: str = "") -> Co
         answerers = [labeler(task + suffix) for task in tasks]
         for batch in batches:
             # a single column arrives as itself and not as a tuple of one
-            ladders = batch if isinstance(batch, tuple) else (batch,)
-            failed = pd.Series(False, index=ladders[0].index)
+            cuts, *rest = batch if isinstance(batch, tuple) else (batch,)
+            given = dict(zip(sent, rest))
+            begin = dict(zip(sent, rest[len(sent) :]))
+            failed = pd.Series(False, index=cuts.index)
             columns = []
-            for answer, series, task in zip(answerers, ladders, tasks):
-                asked = series[series.notna() & ~failed]
-                answers = answer([list(ladder) for ladder in asked]) if len(asked) else []
+            for answer, task in zip(answerers, tasks):
+                frame = given.get(task, pd.Series(fixed.get(task), index=cuts.index, dtype=object))
+                asked = frame.index[frame.notna() & ~failed]
+                prompts = [Prompts(frame[i], cuts[i], int(begin[task][i]) if task in begin else 0) for i in asked]
+                answers = answer(prompts) if prompts else []
                 names = [f"reply_{task}", f"cut_{task}", f"error_{task}"]
-                table = pd.DataFrame(answers, index=asked.index, columns=names).reindex(failed.index)
+                table = pd.DataFrame(answers, index=asked, columns=names).reindex(failed.index)
                 failed |= table[names[2]].notna()
                 columns.append(table.astype({names[1]: "Int32"}))
             yield pd.concat(columns, axis=1)
 
+    columns = [F.col("_cuts"), *(frames[task] for task in sent), *(starts[task] for task in sent if starts)]
     # Replies cost money and may differ: the optimizer must not repeat the call.
-    return call.asNondeterministic()(*prompts.values())
+    return call.asNondeterministic()(*columns)
 
 
 def _answered(task: str) -> Column:
@@ -136,7 +171,7 @@ def _any(conditions: Iterable[Column]) -> Column:
 
 def _ask_with_repair(
     df: DataFrame,
-    renders: Mapping[str, Callable[[Column], Column]],
+    frames: Mapping[str, str | Column],
     allowed: Mapping[str, Sequence[str]],
     labeler: Labeler,
 ) -> DataFrame:
@@ -145,8 +180,7 @@ def _ask_with_repair(
     Expects the text ladder in `_cuts`. An answer off the list is asked again
     once, with the text cut that was accepted and, if need be, shorter ones.
     """
-    prompts = {task: F.transform(F.col("_cuts"), render) for task, render in renders.items()}
-    return _repair(df.withColumn("_first", ask(prompts, labeler)), allowed, labeler)
+    return _repair(df.withColumn("_first", ask(frames, labeler)), allowed, labeler)
 
 
 def _repair(df: DataFrame, allowed: Mapping[str, Sequence[str]], labeler: Labeler) -> DataFrame:
@@ -159,15 +193,12 @@ def _repair(df: DataFrame, allowed: Mapping[str, Sequence[str]], labeler: Labele
         }
     )
     lost = _any(F.col(f"_first.error_{task}").isNotNull() for task in tasks)
-    again = {}
+    again, starts = {}, {}
     for task in tasks:
-        start = F.coalesce(F.col(f"_first.cut_{task}"), F.lit(0)) + 1
-        render = partial(_repair_text, task, allowed[task])
-        again[task] = F.when(
-            ~lost & _answered(task) & F.col(f"_match_{task}").isNull(),
-            F.transform(F.slice("_cuts", start, F.size("_cuts")), render),
-        )
-    asked = matched.withColumn("_second", ask(again, labeler, REPAIR))
+        starts[task] = F.coalesce(F.col(f"_first.cut_{task}"), F.lit(0))
+        repair = repair_prompt(task, allowed[task], F.col(f"_read_{task}"), F.lit(POST_MARK))
+        again[task] = F.when(~lost & _answered(task) & F.col(f"_match_{task}").isNull(), repair)
+    asked = matched.withColumn("_second", ask(again, labeler, REPAIR, starts))
     labels, statuses, errors = {}, {}, []
     for task in tasks:
         reply, error = F.col(f"_second.reply_{task}"), F.col(f"_second.error_{task}")
@@ -187,10 +218,6 @@ def _repair(df: DataFrame, allowed: Mapping[str, Sequence[str]], labeler: Labele
     )
 
 
-def _repair_text(task: str, allowed: Sequence[str], text: Column) -> Column:
-    return repair_prompt(task, allowed, F.col(f"_read_{task}"), text)
-
-
 def _stop(failed: Column, error: Column) -> Column:
     """`failed`, as a test that stops the job instead of being true."""
     message = F.concat_ws(" ", F.lit("Labeling failed:"), F.coalesce(error, F.lit("answer not on the list")))
@@ -246,8 +273,8 @@ def label_posts(
     """
     columns = label_columns(tasks, focal, prefix)
     ready = df.withColumn("_cuts", cut_ladder(F.coalesce(F.col(text), F.lit("")), cuts))
-    renders = {task: partial(task_prompt, task) for task in tasks}
-    rows = _ask_with_repair(ready, renders, {task: allowed_labels(task) for task in tasks}, labeler)
+    frames = {task: frame(TASK_TEMPLATES[task]) for task in tasks}
+    rows = _ask_with_repair(ready, frames, {task: allowed_labels(task) for task in tasks}, labeler)
     found = [F.col(f"_label_{task}") for task in tasks]
     failed = _any(label.isNull() for label in found)
     rows = rows.withColumn("_failed", _stop(failed, F.col("_error")) if on_error == "raise" else failed)
@@ -266,8 +293,7 @@ def label_posts(
 
 
 def _ask_focal(df: DataFrame, labeler: Labeler, when: Column) -> DataFrame:
-    prompts = F.when(when, F.transform(F.col("_cuts"), focal_prompt))
-    return df.withColumn("_answer", ask({FOCAL_TASK: prompts}, labeler))
+    return df.withColumn("_answer", ask({FOCAL_TASK: F.when(when, F.lit(frame(FOCAL_TEMPLATE)))}, labeler))
 
 
 def label_focal(
@@ -290,12 +316,10 @@ def label_valence(
     whose labeling failed gets `default`."""
     ready = df.withColumn("_cuts", cut_ladder(F.col("text")))
 
-    def render(piece: Column) -> Column:
-        return valence_prompt(
-            piece, F.col("focal_actor"), F.col("source_country"), F.col("account_type"), VALENCE_ANSWERS
-        )
-
-    asked = _ask_with_repair(ready, {VALENCE_TASK: render}, {VALENCE_TASK: VALENCE_ANSWERS}, labeler)
+    shown = valence_prompt(
+        F.lit(POST_MARK), F.col("focal_actor"), F.col("source_country"), F.col("account_type"), VALENCE_ANSWERS
+    )
+    asked = _ask_with_repair(ready, {VALENCE_TASK: shown}, {VALENCE_TASK: VALENCE_ANSWERS}, labeler)
     valence = F.coalesce(canonical_valence(F.col(f"_label_{VALENCE_TASK}")), F.lit(default))
     kept = output_columns(df.columns, [VALENCE_COLUMN])
     extra = [F.col(f"_status_{VALENCE_TASK}").alias("status")] if status else []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -51,24 +52,6 @@ def majority_class(df: DataFrame, target: str = VALENCE_COLUMN) -> Column:
     return counts.agg(F.min_by("label", F.struct(-F.col("n"), F.col("label")))).scalar()
 
 
-def majority_by_fold(df: DataFrame, folds: int, target: str = VALENCE_COLUMN) -> DataFrame:
-    """Majority class of the training rows of every fold, from one count per class
-    and fold: training rows are all rows less those of the fold."""
-    inside = df.groupBy("fold", F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    every = F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold")
-    total = inside.groupBy("label").agg(F.sum("n").alias("total")).select("label", "total", every)
-    train = F.col("total") - F.coalesce(F.col("n"), F.lit(0))
-    return (
-        total.join(inside, ["fold", "label"], "left")
-        .withColumn("train", train)
-        .groupBy("fold")
-        .agg(
-            F.min_by("label", F.struct(-F.col("train"), F.col("label"))).alias(PREDICTED),
-            F.sum("train").alias("train_rows"),
-        )
-    )
-
-
 def feature_stages(structured: Sequence[str], vector: str) -> list:
     """One-hot structured columns beside a vector column, as `features`.
 
@@ -247,21 +230,22 @@ def cross_validate(
     structured: Sequence[str] = STRUCTURED_COLUMNS,
     seed: int = 42,
     max_terms: int = MAX_TERMS,
+    parallelism: int = 5,
 ) -> DataFrame:
-    """Metrics of every model on every held-out fold.
+    """Metrics of every model on every held-out fold, `parallelism` folds at a time.
 
     `df` carries a `fold` column. Terms are counted once; in each fold both TF-IDF
     models share one vocabulary, learned from its training rows, and one table of
     vectors. What a fold leaves behind is its confusion counts, a table of classes
     squared.
     """
-    tables = []
     by_input = {kind: [n for n in models if n in names] for kind, names in INPUTS.items()}
     with Scratch(df.sparkSession, "folds") as every:
         data = every(require_no_leak(df), "folds")
         counts = count_terms(data, every, carry=["fold"]) if by_input["tfidf"] else {}
-        for fold in range(1, folds + 1):
-            learns = F.col("fold") != fold
+
+        def run(fold: int) -> list[DataFrame]:
+            learns, tables = F.col("fold") != fold, []
             with Scratch(df.sparkSession, f"fold-{fold}") as scratch:
                 for kind, names in by_input.items():
                     if not names:
@@ -283,6 +267,10 @@ def cross_validate(
                             F.col(PREDICTED).alias("y_pred"),
                         )
                         tables.append(settle(confusion(rows), "confusion"))
+            return tables
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            tables = [table for part in pool.map(run, range(1, folds + 1)) for table in part]
     return metric_rows(reduce(DataFrame.unionByName, tables))
 
 

@@ -14,19 +14,14 @@ DEFAULT_COLUMNS = (*TASK_COLUMNS.values(), FOCAL_COLUMN)
 
 
 def detect_label_columns(df: DataFrame, prefix: str = "", columns: Sequence[str] | None = None) -> list[str]:
-    """The asked columns, else the default ones (prefixed) that exist."""
-    if columns:
-        missing = [name for name in columns if name not in df.columns]
-        if missing:
-            raise ValueError(f"Missing columns: {', '.join(missing)}")
-        return list(columns)
-    found = [prefix + name for name in DEFAULT_COLUMNS if prefix + name in df.columns]
-    if found:
+    """The asked columns, all of them; else those of the prefixed defaults that exist, at least one."""
+    wanted = list(columns or (prefix + name for name in DEFAULT_COLUMNS))
+    found, missing = ([name for name in wanted if (name in df.columns) is there] for there in (True, False))
+    if found and not (columns and missing):
         return found
-    plain = [name for name in DEFAULT_COLUMNS if name in df.columns]
-    hint = f" Columns without the prefix exist: {', '.join(plain)}." if prefix and plain else ""
-    wanted = ", ".join(prefix + name for name in DEFAULT_COLUMNS)
-    raise ValueError(f"No label columns found; looked for {wanted}.{hint}")
+    unprefixed = [name for name in DEFAULT_COLUMNS if prefix and name in df.columns]
+    hint = f" Columns without the prefix exist: {', '.join(unprefixed)}." if unprefixed and not columns else ""
+    raise ValueError(f"Missing columns: {', '.join(missing)}.{hint}")
 
 
 def profile_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:

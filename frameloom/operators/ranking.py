@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from frameloom.session import settle
 
 HOT_GROUP_ROWS = 1_000_000
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+#: A key is hot if it makes more than one in so many of all facts.
+HOT_SHARE = 1000
 
 
 def number_within(
@@ -98,16 +100,12 @@ def bucket_counts(df: DataFrame, keys: Sequence[str], digest: str, digits: int =
     )
 
 
-def digest_cut(counts: DataFrame, quotas: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add to each quota row the bucket that holds its last wanted row."""
-    running = Window.partitionBy(*keys).orderBy("_bucket")
-    reached = (
-        counts.withColumn("_running", F.sum("_rows").over(running))
-        .join(F.broadcast(quotas.select(*keys, "requested")), list(keys))
-        .groupBy(*keys)
-        .agg(F.min(F.when(F.col("_running") >= F.col("requested"), F.col("_bucket"))).alias("_cut"))
-    )
-    return quotas.join(F.broadcast(reached), list(keys), "left")
+def wanted_buckets(counts: DataFrame, quotas: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The buckets that hold wanted rows, with the quota's columns and the rows of the
+    key in lower buckets as `_before`. `quotas` has one row per key value."""
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    return before.join(quotas, list(keys)).filter(F.col("_before") < F.col("requested"))
 
 
 def lowest_by_digest(
@@ -122,40 +120,65 @@ def lowest_by_digest(
 ) -> DataFrame:
     """Per key, the `requested` rows with the lowest digest, numbered from 1.
 
-    A histogram of digest buckets says which bucket holds the last wanted row.
-    Rows above it are dropped while scanning, so what reaches the ranking is the
-    wanted rows plus at most one bucket, however large the group is. `quotas` has
-    one row per key value and must be small.
+    A histogram of digest buckets says which buckets hold wanted rows and how many
+    rows of the key come before each. All other rows are dropped before the ranking,
+    and every bucket is ranked by itself, so no task sees a whole group, however
+    large the group or the quota is. `quotas` has one row per key value.
     """
     counts = bucket_counts(df, keys, digest, digits) if counts is None else counts
-    limits = digest_cut(counts, quotas, keys)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest, *ties)).cast("long")
+    wanted = wanted_buckets(counts, quotas, keys)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(digest, *ties)
     return (
-        df.join(F.broadcast(limits), list(keys))
-        .filter(leading_digits(F.col(digest), digits) <= F.coalesce(F.col("_cut"), F.lit("g")))
-        .withColumn(name, rank)
+        df.withColumn("_bucket", leading_digits(F.col(digest), digits))
+        .join(wanted, [*keys, "_bucket"])
+        .withColumn(name, (F.row_number().over(within) + F.col("_before")).cast("long"))
         .filter(F.col(name) <= F.col("requested"))
-        .drop("_cut")
+        .drop("_bucket", "_before")
+    )
+
+
+def first_by_range(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first `n` rows by `order`, whose values tell rows apart, for an `n` of any size.
+
+    Only the order columns are written in ranges; ranges are counted, and the rows of
+    the range in which the last wanted row lies are numbered.
+    """
+    keys = df.select(*order)
+    ranged = settle(keys.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = sizes.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(*order)
+    first = (
+        # one row per partition
+        ranged.join(F.broadcast(before.filter(F.col("_before") < n)), "_range")
+        .withColumn("_at", F.row_number().over(within) + F.col("_before"))
+        .filter(F.col("_at") <= n)
     )
+    return df.join(first.select(*order), list(order), "left_semi")
 
 
 def lookup_join(
     facts: DataFrame,
     dimension: DataFrame,
     key: str,
-    max_broadcast_rows: int = BROADCAST_ROWS,
-    copies: int = 64,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
+    heat: str = "mentions",
 ) -> DataFrame:
-    """Left join to a table with one row per key.
+    """Left join to a written table with one row per key, whose `heat` counts the facts.
 
-    Broadcast when the counted size allows it. Otherwise each dimension row is
-    repeated under `copies` salts and fact rows pick one by content, so that a
-    key with a third of all facts spreads over `copies` tasks.
+    Broadcast when the counted size allows it. Otherwise the keys that make more than
+    one in `HOT_SHARE` of all facts, at most so many, are broadcast by themselves, and
+    all other facts take the ordinary join. `heat` does not come along.
     """
-    if dimension.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        return facts.join(F.broadcast(dimension), key, "left")
-    salted = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    spread = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(copies)).cast("int")
-    )
-    return spread.join(salted, [key, "_salt"], "left").drop("_salt")
+    plain = dimension.drop(heat)
+    size = F.lit(0)
+    for name, kind in plain.dtypes:
+        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else F.lit(0)) + 16
+    total, bytes_ = dimension.agg(F.sum(heat), F.sum(size)).first()
+    if (bytes_ or 0) <= max_broadcast_bytes:
+        return facts.join(F.broadcast(plain), key, "left")
+    hot = F.broadcast(dimension.filter(F.col(heat) * HOT_SHARE > total).drop(heat))
+    heated = facts.join(hot, key)
+    rest = facts.join(hot, key, "left_anti").join(plain, key, "left")
+    return heated.unionByName(rest)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from frameloom.contract import APPLICATION_KEY, STRATUM_COLUMNS
 from frameloom.functions.text import seeded_digest
-from frameloom.operators.ranking import bucket_counts, lowest_by_digest
+from frameloom.operators.ranking import bucket_counts, first_by_range, lowest_by_digest
+
+#: So many rows may meet in one place to be sorted.
+ORDERED_LIMIT = 10_000
 
 
 def _number_strata(sizes: DataFrame) -> DataFrame:
@@ -77,7 +80,9 @@ def sample_totals(sample: DataFrame) -> DataFrame:
 
 
 def first_n(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
-    """First rows in key order; files have no row order of their own."""
+    """First rows in key order; files have no row order of their own. The key must be unique."""
+    if n > ORDERED_LIMIT:
+        return first_by_range(df, key, n)
     return df.orderBy(*key).limit(n)
 
 

@@ -121,8 +121,8 @@ def rebuild_corpus(
         "focal",
     )
     cleaned = actors.actor_map_clean(sources.read_actor_map(spark, actor_map))
-    focal = actors.focal_rollup(posts, actors.clean_focal_items(keyed, cleaned, top))
-    rebuilt = files.rebuild_parquet(actors.attach_focal(posts, focal), out, overwrite)
+    items = actors.clean_focal_items(keyed, cleaned, top)
+    rebuilt = files.rebuild_parquet(actors.attach_focal(posts, items), out, overwrite)
     if audit_folder:
         files.write_summaries({"canonical_focal_audit": actors.focal_audit(rebuilt)}, audit_folder)
     return rebuilt

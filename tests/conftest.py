@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -19,6 +20,7 @@ def test_session():
         spark__sql__shuffle__partitions=8,
         spark__ui__enabled="false",
         spark__driver__memory="8g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="frameloom-tests-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -49,12 +49,12 @@ def test_counts_put_the_rest_in_one_place(spark):
     assert [r["label"] for r in pending.collect()] == ["atlantis", "nobody", "usa"]
 
 
-@pytest.mark.parametrize("max_broadcast_rows", [1000, 1])
-def test_roll_up_precedence(spark, max_broadcast_rows):
+@pytest.mark.parametrize("max_broadcast_bytes", [1_000_000, 0])
+def test_roll_up_precedence(spark, max_broadcast_bytes):
     focals = ["China", "China;USA", "USA;EU;usa", "China;Atlantis", "Atlantis", "None", "", "Nobody", "Russia;Atlantis"]
     labels = rows(spark, *focals)
     known = actor_map(spark, china="china", usa="usa", eu="eu", russia="russia", nobody="none")
-    items = actors.clean_focal_items(labels, known, 10, max_broadcast_rows=max_broadcast_rows)
+    items = actors.clean_focal_items(labels, known, 10, max_broadcast_bytes=max_broadcast_bytes)
     posts = spark.createDataFrame(
         [(f"p{n}", 1, "China_Media") for n in range(10)], "merge_key string, key_occurrence long, category string"
     )
@@ -65,7 +65,7 @@ def test_roll_up_precedence(spark, max_broadcast_rows):
     other = posts.withColumn("category", F.lit("US_Media"))
     got = {r["merge_key"]: r["focal_actor"] for r in actors.focal_rollup(other, items).collect()}
     assert [got["p0"], got["p1"], got["p3"]] == ["china", "china;usa", "china"]
-    attached = actors.attach_focal(posts.withColumn("focal_actor", F.lit("old")), actors.focal_rollup(posts, items))
+    attached = actors.attach_focal(posts.withColumn("focal_actor", F.lit("old")), items)
     assert attached.columns == [*KEY, "category", "focal_actor", "has_focal_actor"]
     assert attached.filter("has_focal_actor").count() == 6
 

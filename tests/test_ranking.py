@@ -87,18 +87,40 @@ def test_random_n_is_exact_ordered_and_repeatable(spark):
     assert random_n(df, ["id"], 10_000, 1).count() == 600
 
 
-def test_lookup_join_gives_the_same_rows_either_way(spark):
+def test_lookup_join_gives_the_same_rows_either_way(spark, monkeypatch):
+    from frameloom.operators import ranking
+
     facts = skewed(spark)
-    names = facts.select("key").distinct().filter("key <> 'k5'").withColumn("value", F.upper("key"))
+    names = facts.groupBy("key").agg(F.count("*").alias("mentions")).filter("key <> 'k5'").withColumn("value", F.upper("key"))
     small = lookup_join(facts, names, "key")
-    large = lookup_join(facts, names, "key", max_broadcast_rows=2, copies=8)
-    assert Counter(map(tuple, small.collect())) == Counter(map(tuple, large.select(small.columns).collect()))
-    assert large.count() == 600
+    assert set(small.columns) == {*facts.columns, "value"}
+    for share in (2, 1000):  # one hot key, and only hot keys
+        monkeypatch.setattr(ranking, "HOT_SHARE", share)
+        large = lookup_join(facts, names, "key", max_broadcast_bytes=0)
+        assert Counter(map(tuple, small.collect())) == Counter(map(tuple, large.select(small.columns).collect()))
+        assert large.count() == 600
     assert small.filter("key = 'k5'").filter("value is not null").count() == 0
 
 
-def test_salted_lookup_spreads_the_hot_key(spark):
-    facts = skewed(spark, 5000)
-    names = facts.select("key").distinct().withColumn("value", F.upper("key"))
-    joined = lookup_join(facts, names, "key", max_broadcast_rows=2, copies=8).hint("merge")
-    assert "_salt" in joined._jdf.queryExecution().toString()
+def test_a_quota_above_the_group_is_ranked_in_many_partitions(spark):
+    df = skewed(spark, 5000)
+    wanted = df.select("key").distinct().withColumn("requested", F.lit(10_000).cast("long"))
+    ranked = lowest_by_digest(with_digest(df), wanted, ["key"], "digest", ["id"], "n", 2)
+    numbers = expected_numbers(df.collect(), digest)
+    assert {r["id"]: r["n"] for r in ranked.collect()} == numbers
+    hot = df.groupBy("key").count().orderBy(F.desc("count")).first()["key"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        places = ranked.filter(F.col("key") == hot).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert places > 4
+
+
+def test_first_rows_by_range_are_those_of_a_sort(spark):
+    from frameloom.operators.ranking import first_by_range
+
+    df = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("k"), (F.col("id") % 3).alias("o"), F.col("id").alias("v"))
+    for n in (1, 1700, 3000, 9000):
+        got = {r["v"] for r in first_by_range(df.repartition(7), ["k", "o"], n).collect()}
+        assert got == {r["v"] for r in df.orderBy("k", "o").limit(n).collect()}
