@@ -206,9 +206,13 @@ def fit_vectors(
         model = estimator(name, rows, inputs, len(classes), seed)
         back = IndexToString(inputCol="_p", outputCol=PREDICTED, labels=classes)
         pipeline = Pipeline(stages=[*prepared.stages, labels, model, back]).fit(ready)
-    _report_unfinished(name, pipeline.stages[-2], model)
-    # The label index is only for fitting; prediction rows have no target.
-    fitted = PipelineModel([*pipeline.stages[: len(prepared.stages)], *pipeline.stages[-2:]])
+        _report_unfinished(name, pipeline.stages[-2], model)
+        # The label index is only for fitting; prediction rows have no target.
+        fitted = PipelineModel([*pipeline.stages[: len(prepared.stages)], *pipeline.stages[-2:]])
+        # A fitted model keeps a summary with its session, which cannot be sent to tasks
+        # once the session has observed a query; a stored model has none.
+        fitted.write().save(f"{scratch.path}/model")
+        fitted = PipelineModel.load(f"{scratch.path}/model")
     return Predictor(name, target, pipeline=fitted, vectorizer=vectorizer)
 
 

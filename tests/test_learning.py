@@ -180,6 +180,17 @@ def test_tfidf_model_learns_words(spark, tmp_path):
     assert again.predict(rows.drop("focal_valence")).filter("predicted is null").count() == 0
 
 
+def test_models_predict_in_a_session_that_has_observed(spark):
+    from pyspark.sql import Observation
+
+    watch = Observation("rows")
+    spark.range(3).observe(watch, F.count(F.lit(1)).alias("n")).collect()
+    rows = spark.createDataFrame([([float(n % 2), 1.0], "ab"[n % 2]) for n in range(20)], "embedding array<double>, topic string")
+    for name in models.EMBEDDING_MODELS[:2]:
+        fitted = models.fit_model(rows, name, "topic", [])
+        assert fitted.predict(rows).filter("predicted <> topic").count() == 0
+
+
 def test_rest_without_actor_does_not_apply(spark):
     rows = spark.createDataFrame([(1, "china"), (2, "None"), (3, None)], "key_occurrence int, focal_actor string")
     out = models.predict_rest(rows, lambda df: df.withColumn("predicted", F.lit("Pro")))
