@@ -16,23 +16,30 @@ gives an empty result. Columns that have the name of an output are replaced.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.session import settle
+from frameloom.session import Scratch, settle
+
+log = logging.getLogger(__name__)
 
 DAMPING = 0.85
+#: The log tells how far trust has spread after each so many rounds; nothing ends there.
 ROUNDS = 20
-#: Rounds end when no host's trust or distrust changes by more.
-CHANGE = 1e-4
+#: Rounds end when no host's trust or distrust changes by a larger part of itself, and what
+#: may still come cannot turn a verdict; or when it is a part that doubles hardly hold.
+CHANGE, EXACT = 1e-6, 1e-12
 MARGIN = 0.0
 
 HOST = r"(?s)^.*?://([^/?#]*)"
 PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 LINK = r"(?i)\b(?:href|src)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]*)"
+KINDS = ("trust", "distrust")
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,7 +89,11 @@ def seeds(ruled: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
-    """`host`, `trust` and `distrust` of every host that is a seed or in a link."""
+    """`host`, `trust` and `distrust` of every host that is a seed or in a link.
+
+    Round n adds what arrives over paths of n links, so scores only grow. A host that is
+    reached for the first time has changed by all it has, so rounds go on while any is.
+    """
     links = settle(links, "links")
     out = links.groupBy("source").agg(F.sum("count").alias("out"))
     into = links.groupBy("target").agg(F.sum("count").alias("into"))
@@ -97,28 +108,48 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
     ranks = hosts.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
     if links.isEmpty():
         return ranks
-    for _ in range(ROUNDS):
-        forward = weighted.join(ranks, F.col("source") == F.col("host")).select(
-            F.col("target").alias("to"), (F.col("trust") * F.col("forward")).alias("trust_in"), F.lit(0.0).alias("distrust_in")
+    totals = hosts.agg(F.sum("trust_seed"), F.sum("distrust_seed")).first()
+    first = [((1 - DAMPING) * F.col(f"{kind}_seed")).alias(name.format(kind)) for name in ("{}", "{}_change") for kind in KINDS]
+    ranks = hosts.select("host", *first)
+    written = None
+    for number in count(1):
+        moving = ranks.filter("trust_change > 0 or distrust_change > 0").select("host", "trust_change", "distrust_change")
+        forward = weighted.join(moving, F.col("source") == F.col("host")).select(
+            F.col("target").alias("to"), (F.col("trust_change") * F.col("forward")).alias("trust_in"), F.lit(0.0).alias("distrust_in")
         )
-        backward = weighted.join(ranks, F.col("target") == F.col("host")).select(
-            F.col("source").alias("to"), F.lit(0.0).alias("trust_in"), (F.col("distrust") * F.col("backward")).alias("distrust_in")
+        backward = weighted.join(moving, F.col("target") == F.col("host")).select(
+            F.col("source").alias("to"), F.lit(0.0).alias("trust_in"), (F.col("distrust_change") * F.col("backward")).alias("distrust_in")
         )
         got = forward.unionByName(backward).groupBy("to").agg(F.sum("trust_in").alias("trust_in"), F.sum("distrust_in").alias("distrust_in"))
-
-        def mixed(kind: str) -> Column:
-            return (1 - DAMPING) * F.col(f"{kind}_seed") + DAMPING * F.coalesce(f"{kind}_in", F.lit(0.0))
-
-        new = hosts.join(got, F.col("host") == F.col("to"), "left").select(
-            "host", mixed("trust").alias("trust"), mixed("distrust").alias("distrust")
+        more = {kind: DAMPING * F.coalesce(f"{kind}_in", F.lit(0.0)) for kind in KINDS}
+        new = ranks.join(got, F.col("host") == F.col("to"), "left").select(
+            "host",
+            *[(F.col(kind) + more[kind]).alias(kind) for kind in KINDS],
+            *[more[kind].alias(f"{kind}_change") for kind in KINDS],
         )
-        last = ranks.select(F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
-        change = F.greatest(F.abs(F.col("trust") - F.col("_trust")), F.abs(F.col("distrust") - F.col("_distrust")))
-        both = settle(new.join(last, F.col("host") == F.col("_host")).withColumn("_change", change), "ranks")
-        ranks = both.select("host", "trust", "distrust")
-        if both.agg(F.max("_change")).first()[0] <= CHANGE:
+        work = Scratch(links.sparkSession, "ranks")
+        ranks = work(new, "round")
+        largest, unsure = ranks.agg(
+            F.max(F.greatest(*[F.when(F.col(kind) > 0, F.col(f"{kind}_change") / F.col(kind)).otherwise(0.0) for kind in KINDS])),
+            F.count_if(_open(DAMPING ** (number + 1) * max(totals))),
+        ).first()
+        if written:
+            written.__exit__()
+        written = work
+        if largest <= EXACT or (largest <= CHANGE and not unsure):
             break
-    return ranks
+        if number % ROUNDS == 0:
+            log.info("round %d of trust: the largest relative change is %g, %d hosts are not decided", number, largest, unsure)
+    return ranks.select("host", *KINDS)
+
+
+def _open(rest: float) -> Column:
+    """Whether a host's verdict may turn if its trust and its distrust grow by at most `rest` yet.
+
+    Once no host is reached for the first time, a host that only one kind reaches is decided.
+    """
+    both = (F.least("trust", "distrust") > 0) | F.lit(MARGIN != 0)
+    return both & (F.abs(F.col("distrust") - F.col("trust") - MARGIN) <= rest)
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html") -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,34 @@ def test_trust_and_distrust_spread_over_links(spark):
 
 def test_empty_table(spark):
     assert h.judge(spark.createDataFrame([], KINDS), RULES).count() == 0
+
+
+def solved(seed, links):
+    """Trust and distrust of every host, by solving the equations of both."""
+    hosts = sorted(set(seed) | {x for pair in links for x in pair})
+    at, found = {x: i for i, x in enumerate(hosts)}, []
+    for kind in (0, 1):
+        matrix, sums = np.eye(len(hosts)), Counter()
+        for pair, n in links.items():
+            sums[pair[kind]] += n
+        for pair, n in links.items():
+            matrix[at[pair[1 - kind]], at[pair[kind]]] -= h.DAMPING * n / sums[pair[kind]]
+        found.append(np.linalg.solve(matrix, [(1 - h.DAMPING) * seed.get(x, (0, 0))[kind] for x in hosts]))
+    return {x: (found[0][i], found[1][i]) for x, i in at.items()}
+
+
+def test_chains_are_followed_to_their_end_behind_a_large_hub(spark):
+    hub, length = 20_000, 24  # 0.85 / 20,000 is what a linker gets
+    chain = [f"c{i}" for i in range(length)]
+    links = {(f"l{i}", "bad"): 1 for i in range(hub)} | {("c0", "l0"): 1} | dict.fromkeys(zip(chain[1:], chain, strict=False), 1)
+    links |= {("good", "x"): 2, ("x", "y"): 1, ("y", "x"): 3, ("y", "z"): 1, ("z", "bad2"): 1}  # a ring, in a part of its own
+    seed = {"bad": (0.0, 1.0), "good": (1.0, 0.0), "bad2": (0.0, 0.7)}
+    seeds = spark.createDataFrame([(x, *both) for x, both in seed.items()], "host string, trust_seed double, distrust_seed double")
+    table = spark.createDataFrame([(*pair, n) for pair, n in links.items()], "source string, target string, count bigint")
+    got = {row.host: (row.trust, row.distrust) for row in h.propagate(seeds, table).collect()}
+    few = {pair: n for pair, n in links.items() if not re.match("l[1-9]", pair[0])}
+    weights = solved({x: v for x, v in seed.items() if x != "bad"} | {"l0": (0.0, 0.85 * 1.0 / hub)}, {p: n for p, n in few.items() if p[1] != "bad"})
+    assert len(got) == len({x for pair in links for x in pair})
+    for host, both in weights.items():
+        assert got[host] == pytest.approx(both, rel=1e-4, abs=1e-30)
+    assert all(got[host][1] > got[host][0] for host in ["bad", "l0", "l19999", *chain])
