@@ -80,3 +80,27 @@ def test_many_sources_without_broadcast(documents, monkeypatch):
     usual = sorted(map(tuple, mixed(documents(*rows)).select("doc_id", "taken").collect()))
     monkeypatch.setattr(common.small, "__defaults__", (3,))
     assert sorted(map(tuple, mixed(documents(*rows)).select("doc_id", "taken").collect())) == usual
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_rows_of_one_id_do_not_stand_together(documents, same):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(900)]
+    rows += [(None, "x y z" if same else f"n{i} " + "w " * (i % 5), f"s{i % 3}") for i in range(450)]  # about a third of the words
+    size, taken, goal = Counter(), Counter(), {}
+    for row in mixed(documents(*rows).repartition(5)).collect():
+        size[row.source] += row["size"]
+        taken[row.source] += row.taken
+        goal[row.source] = row.target
+        assert row.taken % row["size"] == 0 and row.taken <= 3 * row["size"]
+    assert all(goal[s] - 7 < taken[s] <= goal[s] for s in goal) and sum(size.values()) == pytest.approx(sum(goal.values()))
+
+
+def test_equal_rows_are_taken_by_count(documents):
+    docs = documents(*[(None, "a b c", "one")] * 50, *[(None, "a b c", "two")] * 90, *[(7, "a b", None)] * 40)
+    rows = mixed(docs.repartition(4)).collect()
+    taken, goal = Counter(), {}
+    for row in rows:
+        taken[row.source] += row.taken
+        goal[row.source] = row.target
+    assert len(rows) == 180 and all(goal[s] - 3 < taken[s] <= goal[s] for s in goal)
+    assert len(mixing.mixed_rows(docs).collect()) == sum(taken[s] // (2 if s is None else 3) for s in goal)
