@@ -10,7 +10,7 @@ version 3" is one detection and not three.
 
 Apart from that, all places of a few base phrases are counted; their labels always stay.
 
-The rules are made from a table of licenses (names, versions) by five patterns, and
+The rules are made from a table of licenses (names, versions) by six patterns, and
 from a table of sentences of license texts. `score` is the confidence of the surest
 detection kept, at least `BASE_SCORE` if there is a base phrase, else 0.
 
@@ -116,7 +116,10 @@ LICENSES = [
     ("creative-commons", ["creative commons ~", "creative commons"], []),
 ]
 
-#: Sentences of license texts, with the words that they are looked up by.
+#: Short names that are also written as one word with a version ("gplv3", "lgpl2 1").
+JOINED = {"gpl", "lgpl", "agpl", "gfdl", "asl", "mpl", "cddl", "eupl", "lppl", "wtfpl"}
+
+#: Sentences of license texts, with words that they are looked up by: every match has them.
 SENTENCES = [
     ("mit", "hereby granted free", r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("bsd", "source and binary forms", r"redistribution and use in source and binary forms with or without modification are permitted"),
@@ -131,7 +134,9 @@ SENTENCES = [
     ("unlicense", "unencumbered software", r"this is free and unencumbered software released into the public domain"),
     ("zlib", "as is without any express", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("boost", "person or organization", r"any person or organization obtaining a copy of the software and accompanying documentation"),
-    ("cc0", "waive all copyright", r"to the extent possible under law .{1,80}? (?:has|have) waived all copyright|waive all copyright and related"),
+    ("cc0", "waived all copyright", r"to the extent possible under law .{1,80}? (?:has|have) waived all copyright"),
+    ("cc0", "waived all copyright", r"(?:has|have) waived all copyright and related"),
+    ("cc0", "waive all copyright", r"waive all copyright and related"),
     ("public-domain", "public domain", r"(?:placed|released|dedicated|is) (?:in|into|to) the public domain"),
     ("all-rights-reserved", "rights reserved", r"all rights reserved"),
     ("proprietary", "confidential and proprietary", r"confidential and proprietary(?: information)?"),
@@ -169,6 +174,20 @@ def _whole(pattern: str) -> re.Pattern:
     return re.compile(rf"(?<=[ ]){pattern}(?=[ ])")
 
 
+def _joined(label: str, name: str, versions: list[str]) -> Iterator[Rule]:
+    """The rules of a short name that ends in its version, known or not."""
+    for version in versions:
+        numbered = f"{label}-{version.replace(' ', '.')}"
+        for joint in ("v", ""):
+            exact = rf"{name}{joint}{version}(?: {LICENSE})?(?! [0-9])"
+            keyword = f" {name}{joint}{version.split()[0]} "
+            yield Rule(numbered, "version", keyword, _whole(exact + LATER))
+            yield Rule(numbered, "grant", keyword, _whole(GRANT + TERMS + exact + LATER))
+    written = rf"{name}v?[0-9]+(?: {LICENSE})?"
+    yield Rule(label, "name", f" {name}", _whole(written))
+    yield Rule(label, "grant", f" {name}", _whole(GRANT + TERMS + written + LATER))
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules, in the order of priority, then of the tables."""
@@ -189,6 +208,8 @@ def rules() -> tuple[Rule, ...]:
                 exact = rf"{written}{VERSION}{version}(?! [0-9])"
                 found.append(Rule(numbered, "version", keyword, _whole(exact + LATER)))
                 found.append(Rule(numbered, "grant", keyword, _whole(GRANT + TERMS + exact + LATER)))
+            if name.split()[-1] in JOINED:
+                found += _joined(label, name, versions)
     return tuple(sorted(found, key=lambda rule: -KINDS[rule.kind][0]))
 
 

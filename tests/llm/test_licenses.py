@@ -1,5 +1,6 @@
 """Base phrases against brute force; signatures, suppression and odd texts."""
 
+import random
 import re
 
 import pytest
@@ -87,3 +88,61 @@ def test_odd_documents(documents):
     ]
     assert len(rows[2].detections) == 40_000 and rows[2].detections[-1].start == 119_997
     assert licenses.scan_documents(docs.limit(0)).count() == 0
+
+
+def sample(tree, rng):
+    """A text that a parsed pattern matches, without what it looks ahead or back for."""
+    text = ""
+    for op, value in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            text += chr(value)
+        elif kind == "ANY":
+            text += "x"
+        elif kind == "IN":
+            text += chr(value[0][1] if str(value[0][0]) == "LITERAL" else rng.randint(*value[0][1]))
+        elif kind == "BRANCH":
+            text += sample(rng.choice(value[1]), rng)
+        elif kind == "SUBPATTERN":
+            text += sample(value[-1], rng)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = value
+            text += "".join(sample(inner, rng) for _ in range(rng.randint(low, min(high, low + 6))))
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT")
+    return text
+
+
+def test_what_a_rule_matches_passes_the_prefilter():
+    rng = random.Random(1)
+    for number, rule in enumerate(licenses.rules()):
+        parsed = re._parser.parse(rule.regex.pattern)
+        for _ in range(25):
+            words = licenses.normalized(sample(parsed, rng))
+            if rule.regex.search(words):
+                assert any(number in numbers for _, numbers in licenses._prefilter().iter(words)), (rule, words)
+                break
+        else:
+            raise AssertionError(rule)
+        for _ in range(25):
+            words = licenses.normalized(sample(parsed, rng))
+            assert not rule.regex.search(words) or any(number in n for _, n in licenses._prefilter().iter(words)), (rule, words)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("To the extent possible under law, Ann Example has waived all copyright and related or neighboring rights", "cc0"),
+        (f"To the extent possible under law, {'The Very Long Society ' * 9} has waived all copyright and related rights", "cc0"),
+        ("Affirmer hereby agrees to waive all copyright and related rights", "cc0"),
+        ("This is GPLv3 code", "gpl-3"),
+        ("LGPLv2.1+", "lgpl-2.1"),
+        ("released under the GNU AGPLv3 or later", "agpl-3"),
+        ("licensed under GPLv2", "gpl-2"),
+        ("GPLv2 2009 Ann Example", "gpl"),
+        ("MPL2.0", "mpl-2.0"),
+        ("gplx vgpl3", ""),
+    ],
+)
+def test_waivers_and_joined_versions(text, labels):
+    assert licenses.scan(text)["labels"] == labels
