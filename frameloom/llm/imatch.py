@@ -1,7 +1,7 @@
 """I-Match fingerprints with randomised lexicon subsets.
 
 A text's terms are its distinct runs of ASCII letters, digits and other characters above
-ASCII, lower-cased and hashed to `TERM_BITS` bits. The lexicon holds the terms that at
+ASCII, lower-cased and hashed to `TERM_BITS` bits, so that terms hardly ever share a hash. The lexicon holds the terms that at
 least `LEAST` documents and at most the share `MOST` of all documents contain: a band of
 inverse document frequencies. A document keeps its terms in the lexicon, or all of them
 where none is in it, sorted. The first part of its fingerprint is the hash of what it
@@ -11,8 +11,9 @@ holds a term of the document, and the hash of the terms in it. The likeness of t
 fingerprints is 1 if their first parts are equal, else the part of the orders on which
 they agree.
 
-Since terms are hashed, the lexicon is a bit map of a fixed size whatever the corpus. Null texts count as empty and have no terms; texts without terms
-share a fingerprint. Equal texts have equal fingerprints. An empty table gives an empty
+The lexicon is a table with a row for each counted term, and the terms of texts are joined
+with it; only terms above the band, of which there are few, are broadcast. Null texts count
+as empty and have no terms; texts without terms share a fingerprint. Equal texts have equal fingerprints. An empty table gives an empty
 result. Columns that have the name of an output are replaced.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import ranged
 from frameloom.session import settle
 
-TERM_BITS = 21
+TERM_BITS = 63
 #: Documents that hold a term of the lexicon: at least so many, at most this share of all.
 LEAST, MOST = 2, 0.1
 #: Random orders of the lexicon.
@@ -42,15 +43,11 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: float = MOST) -> DataFrame:
-    """One row, `bits`: the lexicon as 2^TERM_BITS bits in longs."""
+    """The terms of at least `least` documents as `term`, and whether they are `above` the share `most`."""
     total = docs.count()
     counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").count()
-    band = counts.filter((F.col("count") >= least) & (F.col("count") <= total * most))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("term").bitwiseAND(F.lit(63)).cast("int"))
-    words = band.groupBy(F.shiftright("term", 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
-    every = docs.sparkSession.range(1 << (TERM_BITS - 6)).join(words, "id", "left")
-    row = F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
-    return settle(every.agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["bits"]).alias("bits")), "lexicon")
+    above = F.col("count") > total * most
+    return settle(counts.filter(above | (F.col("count") >= least)).select("term", above.alias("above")), "lexicon")
 
 
 def _place(term: Column, family: int) -> Column:
@@ -86,24 +83,32 @@ def _fingerprint(kept: Column, subsets: Column, bounds: Column) -> Column:
     return F.when(F.size(kept) > 0, parts).otherwise(F.lit("-"))
 
 
-def with_fingerprint(docs: DataFrame, lexicon: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """`docs` with the fingerprint of a text as column `name`.
+def digest(text: Column) -> Column:
+    """What stands for a text in joins."""
+    return F.unhex(F.md5(text.cast("binary")))
 
-    The lexicon is a single row of `2^TERM_BITS` bits whatever the corpus, so it is broadcast.
-    """
 
-    def inside(term: Column) -> Column:
-        return F.getbit(F.get("_bits", F.shiftright(term, 6).cast("int")), term.bitwiseAND(F.lit(63)).cast("int")) == 1
+def fingerprints(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Each `digest` of `terms` with its `fingerprint`, which depends on its `terms` alone.
 
-    found = docs.withColumn("_terms", terms(F.col(text))).join(F.broadcast(lexicon.select(F.col("bits").alias("_bits"))))
-    banded = found.withColumn("_banded", F.filter("_terms", inside)).drop("_bits")
-    kept = F.sort_array(F.when(F.size("_banded") > 0, F.col("_banded")).otherwise(F.col("_terms")))
-    chosen = banded.withColumn("_kept", kept).drop("_terms", "_banded")
+    Digests without terms are left out. Terms above the band are found by broadcast (at most
+    a document's mean number of terms, divided by `MOST`) and do not meet in one place.
+    """
+    above = F.broadcast(lexicon.filter("above").select(F.col("term").alias("_above")))
+    band = lexicon.filter("not above").select(F.col("term").alias("_band"))
+    pairs = terms.select("digest", F.explode("terms").alias("term")).join(above, F.col("term") == F.col("_above"), "left")
+    nowhere = -1 - F.xxhash64("digest", "term").bitwiseAND(F.lit((1 << 63) - 1))
+    asked = pairs.withColumn("_ask", F.when(F.col("_above").isNull(), F.col("term")).otherwise(nowhere)).drop("_above")
+    known = asked.join(band, F.col("_ask") == F.col("_band"), "left")
+    code = F.when(F.col("_band").isNull(), -1 - F.col("term")).otherwise(F.col("term"))  # outside the lexicon: below 0
+    found = known.select("digest", code.alias("code")).groupBy("digest").agg(F.collect_set("code").alias("codes"))
+    banded = found.withColumn("_banded", F.filter("codes", lambda c: c >= 0))
+    kept = F.when(F.size("_banded") > 0, F.col("_banded")).otherwise(F.transform("codes", lambda c: -1 - c))
+    chosen = banded.select("digest", F.sort_array(kept).alias("_kept"))
     drawn = chosen.withColumn("_subsets", _subsets(F.col("_kept")))
     power = F.transform("_subsets", lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n * 2))
     bounded = drawn.withColumn("_bounds", power)
-    found = _fingerprint(F.col("_kept"), F.col("_subsets"), F.col("_bounds"))
-    return bounded.withColumn(name, found).drop("_kept", "_subsets", "_bounds")
+    return bounded.select("digest", _fingerprint(F.col("_kept"), F.col("_subsets"), F.col("_bounds")).alias("fingerprint"))
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -114,11 +119,6 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when(left == right, 1.0).when(either_none, 0.0).otherwise(agree / F.lit(float(FAMILIES)))
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `fingerprint`, by a lexicon of all of them."""
-    return with_fingerprint(docs, lexicon(docs, text), text)
-
-
 def followers(ids: DataFrame) -> DataFrame:
     """Each `key` with its `next` key in descending order; the first follows the last.
 
@@ -136,9 +136,9 @@ def followers(ids: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """`docs` with `next_start` and `next_fingerprint` of the next document in descending `key`.
+    """`docs` with `next_start` and `next_digest` of the next document in descending `key`.
 
-    `docs` holds a `fingerprint`, and neither key nor text is null. `next_start` has half
+    `docs` holds a `digest`, and neither key nor text is null. `next_start` has half
     as many characters as the longest text of the key, or all that there are. Rows of one
     key have the same next one; of several rows with the next key, the smallest start counts.
     If `docs` has these three columns only, both joins share one shuffle of it.
@@ -147,11 +147,11 @@ def with_next(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     ids = docs.select(F.col(key).alias("key"), half.alias("need")).groupBy("key").agg(F.max("need").alias("need"))
     asks = followers(ids).select(F.col("next").alias("_next"), F.col("key").alias("_asks"), F.col("need").alias("_need"))
     wanted = settle(asks, "followers")
-    start = F.struct(F.left(text, F.col("_need")).alias("start"), "fingerprint")
+    start = F.struct(F.left(text, F.col("_need")).alias("start"), "digest")
     starts = docs.join(wanted, F.col(key) == F.col("_next")).select("_asks", start.alias("_start"))
     starts = starts.groupBy("_asks").agg(F.min("_start").alias("_start"))
     return docs.join(starts, F.col(key) == F.col("_asks")).withColumns(
-        {"next_start": F.col("_start.start"), "next_fingerprint": F.col("_start.fingerprint")}
+        {"next_start": F.col("_start.start"), "next_digest": F.col("_start.digest")}
     ).drop("_asks", "_start")
 
 
@@ -169,12 +169,34 @@ def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     key = F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("_key")
     chosen = docs.select(key, F.coalesce(text, F.lit("")).alias("text"))
     band = lexicon(chosen)
-    paired = with_next(with_fingerprint(chosen, band), "_key").withColumn("edited", edited(F.col("text"), F.col("next_start")))
-    paired = with_fingerprint(paired.drop("next_start"), band, "edited", "edited_fingerprint")
-    return paired.select(
-        F.nullif("_key", F.lit(NO_ID)).alias(id),
-        F.length("text").cast("bigint").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+    own = chosen.select(digest(F.col("text")).alias("digest"), terms(F.col("text")).alias("terms"))
+    own = settle(fingerprints(own, band), "fingerprints")
+    paired = with_next(chosen.withColumn("digest", digest(F.col("text"))), "_key")
+    paired = paired.withColumn("edited", edited(F.col("text"), F.col("next_start")))
+    rows = settle(
+        paired.select(
+            F.nullif("_key", F.lit(NO_ID)).alias(id),
+            F.length("text").cast("bigint").alias("n_chars"),
+            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+            "digest",
+            "next_digest",
+            digest(F.col("edited")).alias("edited_digest"),
+            terms(F.col("edited")).alias("edited_terms"),
+        ),
+        "edited",
+    )
+    changed = fingerprints(rows.select(F.col("edited_digest").alias("digest"), F.col("edited_terms").alias("terms")), band)
+    rows = rows.drop("edited_terms")
+    for name, prints in (("", own), ("next_", own), ("edited_", changed)):
+        prints = prints.select(F.col("digest").alias("_digest"), F.col("fingerprint").alias("_fingerprint"))
+        rows = rows.join(prints, F.col(f"{name}digest") == F.col("_digest"), "left").withColumn(
+            f"{name}fingerprint", F.coalesce("_fingerprint", F.lit("-"))
+        )
+        rows = rows.drop("_digest", "_fingerprint", f"{name}digest")
+    return rows.select(
+        id,
+        "n_chars",
+        "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),

@@ -104,3 +104,10 @@ def test_followers_over_many_ranges(spark):
     got = {row.key: row.next for row in imatch.followers(ids.repartition(13)).collect()}
     keys = sorted(got)
     assert got == dict(zip(keys, [keys[-1], *keys[:-1]], strict=True))
+
+
+def test_the_band_is_counted_by_term(documents):
+    few = 1 << 11  # 2^21 and more terms of one document, which leave the lexicon
+    rows = [(i, f"near{i // 2} copy{i // 2} " + " ".join(f"u{n}" for n in range(i * 1100, i * 1100 + 1100))) for i in range(few)]
+    out = {row.doc_id: row.fingerprint for row in imatch.compare_with_next(documents(*rows)).collect()}
+    assert all(out[i] == out[i + 1] for i in range(0, few, 2)) and len(set(out.values())) == few // 2
