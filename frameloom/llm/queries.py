@@ -13,6 +13,7 @@ from frameloom.llm import (
     gray_simhash,
     host_trust,
     imatch,
+    laesa_codes,
     licenses,
     line_crf,
     mixing,
@@ -207,3 +208,53 @@ def op4_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and how alike they are."""
     return imatch.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, their errors, and the digest of the codebooks."""
+    coded = laesa_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Codebooks and codes by plain comparison with every entry."""
+
+    def nearest(n: int) -> str:
+        apart = "list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+        return f"""found{n} as (
+  select vec_id, part, v, min(d) as d, arg_min(entry, (d, entry)) as entry from (
+    select p.*, b.entry, coalesce({apart}, 0)::bigint as d from parts p join book{n} b using (part))
+  group by all)"""
+
+    def moved(n: int) -> str:
+        return f"""book{n + 1} as (
+  select b.part, b.entry, coalesce(m.v, b.v) as v from book{n} b left join (
+    select part, entry, list(floor_mean order by pos) as v from (
+      select part, entry, pos, (sum(x) // count(*) - (sum(x) % count(*) < 0)::int)::bigint as floor_mean from (
+        select part, entry, unnest(v) as x, generate_subscripts(v, 1) as pos from found{n}) group by part, entry, pos)
+    group by part, entry) m on b.part = m.part and b.entry = m.entry)"""
+
+    steps = ",\n".join(x for n in range(rounds) for x in (nearest(n), moved(n)))
+    return f"""
+with usable as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 1024)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (
+  select vec_id, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] as v
+  from usable cross join range({parts}) r(part)),
+first_ids as (select vec_id, row_number() over (order by vec_id) - 1 as entry from usable order by vec_id limit {entries}),
+book0 as (select part, entry, v from parts join first_ids using (vec_id)),
+{steps},
+{nearest(rounds)},
+coded as (
+  select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error
+  from found{rounds} group by vec_id),
+digest as (
+  select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from coded join usable using (vec_id) cross join digest
+"""
+
+
+ORACLES["op11_laesa_codes"] = _codes_sql()
