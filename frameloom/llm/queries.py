@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import (
+    alignment,
     byte_bpe,
     chat,
     gray_simhash,
@@ -258,3 +259,11 @@ from coded join usable using (vec_id) cross join digest
 
 
 ORACLES["op11_laesa_codes"] = _codes_sql()
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of two tokenizers over all texts: groups, links, and how common the links are."""
+    return alignment.align(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
