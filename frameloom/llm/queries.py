@@ -19,6 +19,7 @@ from frameloom.llm import (
     line_crf,
     mixing,
     permutation,
+    prefix_doubling,
     toxicity,
 )
 from frameloom.llm.training import agreed_labels, id_remainder
@@ -267,3 +268,10 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )
+
+
+@query
+def op12_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that also start elsewhere."""
+    rest = prefix_doubling.remove_repeats(table(spark, sf_dir, "documents"))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
