@@ -4,7 +4,7 @@ A byte goes if a string of `LENGTH` bytes covers it that starts at any other pla
 table, the same text included. Overlaps count, and strings are judged on the input.
 
 Doubling over every byte would sort many times the corpus, so it runs on marks: places
-whose hash of the `BLOCK` bytes from there is below that of the `REACH` places on either
+whose hash of the `BLOCK` bytes from there is not above that of the `REACH` places on either
 side. A mark depends on bytes near it only, so equal strings have equal marks inside. The
 letters that are doubled are the bytes from one mark to the next, with what decides both:
 - Spark sorts all letters in ranges; equal ones share a rank, letters that are there once
@@ -14,8 +14,7 @@ letters that are doubled are the bytes from one mark to the next, with what deci
   place, so that rows of one common letter spread over ranges; a group that crosses ranges
   is known by the ranges' ends, two rows each.
 - If the last pair of a mark repeats, so does every string that begins between it and the
-  next mark. Only near the ends of repeats, and where text is too even to hold marks, are
-  single strings compared: those whose inner runs of letters all repeat, and those of the
+  next mark. Only near the ends of repeats are single strings compared: those whose inner runs of letters all repeat, and those of the
   first mark of each group of equal last pairs, are sorted by a 128-bit digest.
 
 Equal texts count once in all this: a text with copies loses all its bytes if it is long
@@ -46,8 +45,8 @@ from frameloom.session import Scratch, settle
 
 #: Bytes of a string that must not be elsewhere.
 LENGTH = 400
-#: Bytes that a place's hash covers, and places on either side that a mark's hash is below.
-BLOCK, REACH = 16, 24
+#: Bytes that a place's hash covers, and places on either side that a mark's hash is not above.
+BLOCK, REACH = 16, 32
 #: Places that are looked at at once.
 STRETCH = 1 << 20
 #: What rows about a text say of a mark: its runs of 2^n letters repeat (n), its last pair
@@ -78,7 +77,7 @@ def _least(numbers: np.ndarray, width: int) -> np.ndarray:
 
 
 def marks(data: np.ndarray, reach: int = REACH, stretch: int = STRETCH) -> np.ndarray:
-    """The places whose hash is below all hashes within reach."""
+    """The places whose hash is not above any hash within reach."""
     places, found = len(data) - BLOCK + 1, []
     for start in range(reach, places - reach, stretch):
         end = min(start + stretch, places - reach)
@@ -86,7 +85,7 @@ def marks(data: np.ndarray, reach: int = REACH, stretch: int = STRETCH) -> np.nd
         sides = _least(near, reach)  # of the places from each on
         own = near[reach : reach + end - start]
         before, behind = sides[: end - start], sides[reach + 1 : reach + 1 + end - start]
-        found.append(np.flatnonzero((own < before) & (own < behind)) + start)
+        found.append(np.flatnonzero((own <= before) & (own <= behind)) + start)
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
@@ -152,12 +151,9 @@ class Letters:
         return np.cumsum(edges[:size]) > 0
 
 
-_TEXT = "d1 bigint, d2 bigint"
-
-
 def distinct_texts(docs: DataFrame, length: int, path: str) -> str:
     """Name of a table of each distinct text that is long enough: its digest as `d1` and `d2`,
-    `sha`, the text as bytes, and its copies; in buckets by digest."""
+    `sha`, the text as bytes, its copies and a number; in buckets by digest."""
     long = docs.filter(F.octet_length("text") >= length)
     half = [F.conv(F.substring(F.hex("sha"), at, 16), 16, -10).cast("bigint") for at in (1, 17)]
     keyed = long.select(half[0].alias("d1"), half[1].alias("d2"), "sha", "text")
@@ -165,7 +161,8 @@ def distinct_texts(docs: DataFrame, length: int, path: str) -> str:
         F.first("sha").alias("sha"), F.first("text").cast("binary").alias("text"), F.count("*").alias("copies")
     )
     name, buckets = f"texts_{uuid.uuid4().hex}", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one.write.bucketBy(buckets, "d1", "d2").option("path", path).saveAsTable(name)
+    numbered = one.withColumn("uid", F.monotonically_increasing_id())
+    numbered.write.bucketBy(buckets, "d1", "d2").option("path", path).option("compression", "zstd").saveAsTable(name)
     return name
 
 
@@ -184,7 +181,7 @@ def _letters(texts: DataFrame, length: int) -> DataFrame:
             pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_pydict(
                 {
-                    **{name: np.repeat(batch.column(name).to_numpy(), sizes) for name in ("d1", "d2")},
+                    "uid": np.repeat(batch.column("uid").to_numpy(), sizes),
                     "at": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)]),
                     "span": np.concatenate(spans or [np.zeros(0)]).astype(np.int32),
                     "most": np.repeat(np.array(most, np.int32), sizes),
@@ -194,7 +191,7 @@ def _letters(texts: DataFrame, length: int) -> DataFrame:
                 }
             )
 
-    return texts.select("d1", "d2", "text").mapInArrow(run, f"{_TEXT}, at int, span int, most int, a bigint, b bigint, c int")
+    return texts.select("uid", "text").mapInArrow(run, "uid bigint, at int, span int, most int, a bigint, b bigint, c int")
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
@@ -203,7 +200,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.Recor
     Rows of a group of one are left out, but for the range's first and last group. Two
     more rows, without a text, tell the keys and sizes of these two groups.
     """
-    names = ["d1", "d2", "at", "span", "most", "c"]
+    names = ["uid", "at", "span", "most", "c"]
     base, seen, key, first, size, held, edge = part << 40, 0, None, 0, 0, None, None
 
     def out(batch: pa.RecordBatch, rank: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
@@ -212,7 +209,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.Recor
         return pa.RecordBatch.from_arrays(columns + nothing, names=[*names, "rank", "first", "a", "b", "n"]).filter(pa.array(keep))
 
     def end(which: tuple[int, int, int], rank: int, n: int) -> pa.RecordBatch:
-        row = {"d1": None, "d2": None, "at": None, "span": None, "most": None, "c": int(which[2]), "rank": rank, "first": None}
+        row = {"uid": None, "at": None, "span": None, "most": None, "c": int(which[2]), "rank": rank, "first": None}
         return pa.RecordBatch.from_pylist([row | {"a": int(which[0]), "b": int(which[1]), "n": n}], _RANKED)
 
     for batch in batches:
@@ -260,11 +257,11 @@ def _numbered(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.Recor
 
 _RANKED = pa.schema(
     [
-        ("d1", pa.int64()), ("d2", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("most", pa.int32()), ("c", pa.int32()),
+        ("uid", pa.int64()), ("at", pa.int32()), ("span", pa.int32()), ("most", pa.int32()), ("c", pa.int32()),
         ("rank", pa.int64()), ("first", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()),
     ]
 )
-_RANKED_KINDS = f"{_TEXT}, at int, span int, most int, c int, rank bigint, first boolean, a bigint, b bigint, n bigint"
+_RANKED_KINDS = "uid bigint, at int, span int, most int, c int, rank bigint, first boolean, a bigint, b bigint, n bigint"
 
 
 def ranked(rows: DataFrame, keep: Scratch) -> DataFrame:
@@ -278,39 +275,42 @@ def ranked(rows: DataFrame, keep: Scratch) -> DataFrame:
 
         return _numbered(batches, TaskContext.get().partitionId())
 
-    order = ["a", "b", "c", "d1", "d2", "at"]
+    order = ["a", "b", "c", "uid", "at"]
     ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = keep(ranges.select("d1", "d2", "at", "span", "most", "a", "b", "c").mapInArrow(run, _RANKED_KINDS), "ranked")
-    ends = found.filter("d1 is null").select("a", "b", "c", "n", F.col("rank").alias("_old"))
+    found = keep(ranges.select("uid", "at", "span", "most", "a", "b", "c").mapInArrow(run, _RANKED_KINDS), "ranked")
+    ends = found.filter("uid is null").select("a", "b", "c", "n", F.col("rank").alias("_old"))
     whole = ends.groupBy("a", "b", "c").agg(
         F.sum("n").alias("_n"), F.min("_old").alias("_rank"), F.collect_list("_old").alias("_olds")
     )
     known = whole.select(F.explode("_olds").alias("_old"), "_n", "_rank")  # two rows a range at most
-    joined = found.filter("d1 is not null").join(F.broadcast(known), F.col("rank") == F.col("_old"), "left")
+    joined = found.filter("uid is not null").join(F.broadcast(known), F.col("rank") == F.col("_old"), "left")
     return joined.filter("_n is null or _n > 1").select(
-        "d1", "d2", "at", "span", "most", "c", F.coalesce("_rank", "rank").alias("rank"),
+        "uid", "at", "span", "most", "c", F.coalesce("_rank", "rank").alias("rank"),
         (F.col("first") & (F.coalesce("_rank", "rank") == F.col("rank"))).alias("first"),
     )
 
 
+def _level(rows: DataFrame, keep: Scratch) -> DataFrame:
+    with Scratch(rows.sparkSession, "ranks") as passing:
+        return keep(ranked(rows, passing), "level")
+
+
 def doubled(letters: DataFrame, length: int, keep: Scratch) -> DataFrame:
-    """What is known of each mark: `d1, d2, code`, its number * 256 + what."""
-    now = keep(ranked(letters, keep), "level")
+    """What is known of each mark: `uid, code`, its number * 256 + what."""
+    now = _level(letters, keep)
     found = [_last(now.filter("span = 1"))]
     apart, level = 1, 0
     while not now.filter(F.col("most") > apart).isEmpty():
         further = F.when(F.col("most") >= 2 * apart, apart)
         both = F.array(further, F.when(F.col("span").between(apart + 1, 2 * apart - 1), F.col("span") - apart))
-        left = now.select("d1", "d2", "at", "span", "most", F.col("rank").alias("a"), F.explode(both).alias("c")).filter("c is not null")
+        left = now.select("uid", "at", "span", "most", F.col("rank").alias("a"), F.explode(both).alias("c")).filter("c is not null")
         left = left.withColumn("_to", F.col("at") + F.col("c"))
-        right = now.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("at").alias("_at"), F.col("rank").alias("b"))
-        pairs = left.join(
-            right, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("_to") == F.col("_at"))
-        ).select("d1", "d2", "at", "span", "most", "a", "b", "c")
-        next_ones = keep(ranked(pairs, keep), "level")
+        right = now.select(F.col("uid").alias("_uid"), F.col("at").alias("_at"), F.col("rank").alias("b"))
+        pairs = left.join(right, (F.col("uid") == F.col("_uid")) & (F.col("_to") == F.col("_at")))
+        next_ones = _level(pairs.select("uid", "at", "span", "most", "a", "b", "c"), keep)
         found.append(_last(next_ones.filter(F.col("c") < apart)))
         now, apart, level = next_ones.filter(F.col("c") == apart), 2 * apart, level + 1
-        found += [_last(now.filter(F.col("span") == apart)), now.select("d1", "d2", (F.col("at").cast("bigint") * 256 + level).alias("code"))]
+        found += [_last(now.filter(F.col("span") == apart)), now.select("uid", (F.col("at").cast("bigint") * 256 + level).alias("code"))]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -319,13 +319,14 @@ def doubled(letters: DataFrame, length: int, keep: Scratch) -> DataFrame:
 
 def _last(rows: DataFrame) -> DataFrame:
     what = F.when(F.col("first"), FIRST).otherwise(REPEATED)
-    return rows.select("d1", "d2", (F.col("at").cast("bigint") * 256 + what).alias("code"))
+    return rows.select("uid", (F.col("at").cast("bigint") * 256 + what).alias("code"))
 
 
 def _beside(texts: DataFrame, known: DataFrame) -> DataFrame:
     """`texts` with all codes of each; the buckets stay where they are."""
-    codes = known.groupBy("d1", "d2").agg(F.collect_list("code").alias("codes"))
-    return texts.join(codes.hint("shuffle_hash"), ["d1", "d2"], "left")
+    codes = known.groupBy("uid").agg(F.collect_list("code").alias("codes"))
+    keyed = codes.join(texts.select("uid", "d1", "d2"), "uid").drop("uid")
+    return texts.join(keyed.hint("shuffle_hash"), ["d1", "d2"], "left")
 
 
 def _codes(value: pa.Scalar) -> np.ndarray:
@@ -337,7 +338,7 @@ def _strings(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d1, d2, text, copies, codes in zip(*batch.select(["d1", "d2", "text", "copies", "codes"]).columns, strict=True):
+            for uid, text, copies, codes in zip(*batch.select(["uid", "text", "copies", "codes"]).columns, strict=True):
                 letters = Letters(text.as_py(), length)
                 view = memoryview(letters.text)
                 for start, known, maybe, first in letters.strings(_codes(codes)):
@@ -350,13 +351,12 @@ def _strings(texts: DataFrame, length: int) -> DataFrame:
                     sure = known[at] | (copies.as_py() > 1)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "d1": pa.repeat(d1, len(at)), "d2": pa.repeat(d2, len(at)),
-                            "at": (at + start).astype(np.int32), "span": sure.astype(np.int32), "most": np.zeros(len(at), np.int32),
+                            "uid": pa.repeat(uid, len(at)), "at": (at + start).astype(np.int32), "span": sure.astype(np.int32), "most": np.zeros(len(at), np.int32),
                             "a": pairs[:, 0], "b": pairs[:, 1], "c": np.zeros(len(at), np.int32),
                         }
                     )
 
-    return texts.mapInArrow(run, f"{_TEXT}, at int, span int, most int, a bigint, b bigint, c int")
+    return texts.select("uid", "text", "copies", "codes").mapInArrow(run, "uid bigint, at int, span int, most int, a bigint, b bigint, c int")
 
 
 def _kept(texts: DataFrame, length: int) -> DataFrame:
@@ -395,7 +395,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         known = doubled(_letters(texts, length), length, keep)
         strings = keep(ranked(_strings(_beside(texts, known), length), keep), "strings")
         string = (F.col("at").cast("bigint") * 256 + STRING).alias("code")
-        known = known.unionByName(strings.filter("span = 0").select("d1", "d2", string))
+        known = known.unionByName(strings.filter("span = 0").select("uid", string))
         gone = settle(_kept(_beside(texts, known), length), "gone")
         spark.sql(f"drop table {name}")
     docs = own.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), "sha")
