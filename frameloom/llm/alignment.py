@@ -39,8 +39,8 @@ from frameloom.llm.byte_bpe import byte_characters, default_pattern
 from frameloom.llm.common import with_totals
 from frameloom.session import settle
 
-#: Steps of the merged path in a piece.
-PIECE = 1 << 14
+#: Steps of the merged path in a piece: some hundredths of a second, more than it costs to send them.
+PIECE = 1 << 17
 #: So many counted pairs, of 17 bytes each, are sent to every task at most.
 SENT = 1 << 22
 #: Texts that a task tokenizes at once.
@@ -114,6 +114,7 @@ class Tokens:
         names_a = [f"{i}{mark}" for mark in ",|" for i in range(self.a.size)]
         names_b = [f"{i}{mark}" for mark in ",;" for i in range(self.b.size)]
         self.names = np.array(names_a + names_b, object)
+        self.kind = "<u2" if max(self.a.size, self.b.size) <= 1 << 16 else "<u4"
 
     def both(self, text: str, ids_a: list[int], ids_b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of a text, or none if either does not give its bytes back."""
@@ -193,13 +194,13 @@ _CUT = pa.schema(
     [
         ("uid", pa.int64()), ("id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("piece", pa.int32()),
         ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary()),
-        ("ids_a", pa.binary()), ("ids_b", pa.binary()), ("ends_a", pa.binary()), ("ends_b", pa.binary()),
+        ("ids_a", pa.binary()), ("ids_b", pa.binary()),
         ("take_a", pa.int32()), ("take_b", pa.int32()), ("before_a", pa.int64()), ("before_b", pa.int64()),
     ]
 )
 _CUT_KINDS = (
     "uid bigint, id bigint, n_a bigint, n_b bigint, piece int, n_groups bigint, n_links bigint, groups_sha256 string, "
-    "pairs binary, times binary, ids_a binary, ids_b binary, ends_a binary, ends_b binary, take_a int, take_b int, "
+    "pairs binary, times binary, ids_a binary, ids_b binary, take_a int, take_b int, "
     "before_a bigint, before_b bigint"
 )
 _ALIGNED = pa.schema(
@@ -261,10 +262,8 @@ def _cut(docs: DataFrame, a: str, b: str, size: int) -> DataFrame:
                         out.add(
                             **row,
                             piece=piece,
-                            ids_a=_packed(ids_a[a0 : a1 + 1]),
-                            ids_b=_packed(ids_b[b0 : b1 + 1]),
-                            ends_a=_packed(ends_a[a0 : a1 + 1], "<i8"),
-                            ends_b=_packed(ends_b[b0 : b1 + 1], "<i8"),
+                            ids_a=_packed(ids_a[a0 : a1 + 1], at.kind),
+                            ids_b=_packed(ids_b[b0 : b1 + 1], at.kind),
                             take_a=a1 - a0,
                             take_b=b1 - b0,
                             before_a=int(ends_a[a0 - 1]) if a0 else 0,
@@ -282,18 +281,18 @@ def _aligned(pieces: DataFrame, a: str, b: str) -> DataFrame:
         at, out = tokens(a, b), _Rows(_ALIGNED)
         for batch in batches:
             for row in batch.to_pylist():
-                ids = [np.frombuffer(row[name], "<u4").astype(np.int64) for name in ("ids_a", "ids_b")]
-                ends = [np.frombuffer(row[name], "<i8") for name in ("ends_a", "ends_b")]
-                take = row["take_a"], row["take_b"]
-                link_a, link_b, cuts_a, cuts_b = piece_steps(*ends, *take, row["before_a"], row["before_b"])
+                ids = [np.frombuffer(row[name], at.kind).astype(np.int64) for name in ("ids_a", "ids_b")]
+                before, take = (row["before_a"], row["before_b"]), (row["take_a"], row["take_b"])
+                ends = [start + np.cumsum(side.lengths[i]) for start, side, i in zip(before, (at.a, at.b), ids, strict=True)]
+                link_a, link_b, cuts_a, cuts_b = piece_steps(*ends, *take, *before)
                 pairs, times = _distinct(ids[0][link_a], ids[1][link_b], at)
                 out.add(
                     **{name: row[name] for name in ("uid", "id", "n_a", "n_b", "piece")},
                     n_links=len(link_a),
                     pairs=pairs,
                     times=times,
-                    ids_a=_packed(ids[0][: take[0]]),
-                    ids_b=_packed(ids[1][: take[1]]),
+                    ids_a=_packed(ids[0][: take[0]], at.kind),
+                    ids_b=_packed(ids[1][: take[1]], at.kind),
                     cuts_a=_packed(cuts_a),
                     cuts_b=_packed(cuts_b),
                 )
@@ -313,7 +312,7 @@ def _stitched(a: str, b: str):
             for piece in row.as_py():
                 for side, name in enumerate("ab"):
                     cuts[side].append(np.frombuffer(piece[f"cuts_{name}"], "<u4").astype(np.int64) + taken[side])
-                    ids[side].append(np.frombuffer(piece[f"ids_{name}"], "<u4").astype(np.int64))
+                    ids[side].append(np.frombuffer(piece[f"ids_{name}"], at.kind).astype(np.int64))
                     taken[side] += len(ids[side][-1])
             joined = [np.concatenate(x) for x in (*ids, *cuts)]
             out.append({"n_groups": len(joined[2]), "groups_sha256": at.groups(*joined)})
