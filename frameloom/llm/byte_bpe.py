@@ -9,20 +9,26 @@ digest of the column is a digest of the ids. Spans are packed pairs of such numb
 the code points [start, end) that a token touches; a token that holds a part of a
 character spans the whole character.
 
+Pieces between white space and the pattern's matches in them are remembered, so that the
+library merges each but once as long as it is asked for. Spans follow from the ids' bytes
+and the bytes of the text's characters.
+
 Null texts count as empty, and empty texts have no ids. Texts of any length are
-encoded whole. Columns that have the name of an output are replaced.
+encoded whole. Repeated rows are encoded as often as they are there; an empty table gives
+an empty result. Columns that have the name of an output are replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain, islice
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
@@ -33,10 +39,8 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces between which the split pattern always restarts.
 PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: A worker remembers so many pieces, each of at most so many characters.
-KEPT_PIECES, KEPT_LENGTH = 1 << 19, 64
-#: New pieces go to the library in groups of about so many characters.
-GROUP = 1 << 18
+#: A worker remembers so many pieces and matches in a generation, each of at most so many characters.
+KEPT_PIECES, KEPT_LENGTH = 1 << 18, 64
 
 
 def default_ranks() -> str:
@@ -73,6 +77,25 @@ def halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+class Kept(dict):
+    """Packed ids of short strings: those asked for lately, at most two generations of `KEPT_PIECES`."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self.ask, self.old = ask, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.old.get(piece)
+        if value is None:
+            value = self.ask(piece)
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = value
+        return value
+
+
 class ByteBpe:
     """One vocabulary with its split pattern."""
 
@@ -80,7 +103,7 @@ class ByteBpe:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models
 
         ranks, characters = read_ranks(path), byte_characters()
 
@@ -94,61 +117,45 @@ class ByteBpe:
             if len(token) > 1
         ]
         self.tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, cache_capacity=0))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
-            [
-                pre_tokenizers.Split(Regex(pattern), "isolated"),
-                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-            ]
-        )
         byte = {character: b for b, character in enumerate(characters)}
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in vocabulary.items():
             self.bytes[rank] = bytes(byte[c] for c in token)
-        self.kept: dict[str, dict[str, bytes]] = {"ids": {}, "offsets": {}}
-
-    def _ask(self, pieces: list[str], what: str) -> dict[str, bytes]:
-        found = {}
-        while pieces:
-            size, some = 0, []
-            while pieces and size < GROUP:
-                some.append(pieces.pop())
-                size += len(some[-1])
-            for piece, encoding in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                values = encoding.ids if what == "ids" else list(chain.from_iterable(encoding.offsets))
-                found[piece] = pack(f"<{len(values)}I", *values)
-        return found
-
-    def look_up(self, pieces: list[str], what: str) -> dict[str, bytes]:
-        """The packed ids or offsets of each piece."""
-        kept = self.kept[what]
-        new = self._ask([piece for piece in set(pieces) if piece not in kept], what)
-        if not new:
-            return kept
-        if any(len(piece) > KEPT_LENGTH for piece in new) or len(kept) + len(new) > KEPT_PIECES:
-            known = new | {piece: kept[piece] for piece in set(pieces) if piece in kept}
-            if len(kept) + len(new) > KEPT_PIECES:
-                kept.clear()
-            short = (piece for piece in new if len(piece) <= KEPT_LENGTH)
-            kept.update((piece, new[piece]) for piece in islice(short, KEPT_PIECES))
-            return known
-        kept.update(new)
-        return kept
+        lengths = np.array([len(token) for token in self.bytes], np.int64)
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.characters = dict(enumerate(characters))
+        self.match = regex.compile(pattern)
+        self.kept = Kept(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        """The packed ids of a piece: those of the pattern's matches, whose bytes, as characters, the library merges."""
+        matches = self.match.findall(piece)
+        if len(matches) > 1:
+            return b"".join(map(self.kept.__getitem__, matches))  # each match is its own only match
+        written = piece.encode().decode("latin-1").translate(self.characters)
+        ids = [token.id for token in self.tokenizer.model.tokenize(written)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
-        pieces = PIECE.findall(text or "")
-        return b"".join(map(self.look_up(pieces, "ids").__getitem__, pieces))
+        return b"".join(map(self.kept.__getitem__, PIECE.findall(text or "")))
 
-    def spans(self, text: str | None) -> bytes:
-        pieces = PIECE.findall(text or "")
-        known, parts, start = self.look_up(pieces, "offsets"), [], 0
-        for piece in pieces:
-            parts.append(np.frombuffer(known[piece], "<u4") + np.uint32(start))
-            start += len(piece)
-        return np.concatenate(parts).astype("<u4").tobytes() if parts else b""
+    def spans(self, text: str | None, ids: bytes) -> bytes:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        if not len(data):
+            return b""
+        ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+        character = np.cumsum((data & 0xC0) != 0x80) - 1  # of each byte
+        begins = np.concatenate([[0], ends[:-1]])
+        return np.stack([character[begins], character[ends - 1] + 1], axis=1).astype("<u4").tobytes()
 
     def decode(self, ids: bytes | None) -> bytes:
-        table = self.bytes
-        return b"".join([table[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
+        numbers = np.frombuffer(ids or b"", "<u4")
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        if not len(ends):
+            return b""
+        return self.flat[np.repeat(self.starts[numbers] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -172,9 +179,16 @@ def encode(text: Column, ranks: str | None = None, pattern: str | None = None) -
     return _per_row("encode", ranks, pattern)(text)
 
 
-def token_spans(text: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
-    """Packed pairs of code point offsets, one pair for each id of `encode`."""
-    return _per_row("spans", ranks, pattern)(text)
+def token_spans(text: Column, ids: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
+    """Packed pairs of code point offsets, one pair for each of the text's packed ids."""
+    path, pattern = ranks or default_ranks(), pattern or default_pattern()
+
+    @F.arrow_udf(BinaryType())
+    def run(texts: pa.Array, ids: pa.Array) -> pa.Array:
+        one = vocabulary(path, pattern).spans
+        return pa.array((one(text.as_py(), packed.as_py()) for text, packed in zip(texts, ids, strict=True)), pa.binary())
+
+    return run(text, ids)
 
 
 def decode_bytes(ids: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
@@ -198,7 +212,7 @@ def encode_documents(
     """`docs` with `ids` (packed), `n_tokens` and, if wanted, `spans` (packed)."""
     out = docs.withColumn("ids", encode(F.col(text), ranks, pattern))
     if spans:
-        out = out.withColumn("spans", token_spans(F.col(text), ranks, pattern))
+        out = out.withColumn("spans", token_spans(F.col(text), F.col("ids"), ranks, pattern))
     return out.withColumn("n_tokens", F.floor(F.length("ids") / 4).cast("bigint"))
 
 

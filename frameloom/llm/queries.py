@@ -41,12 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the bytes that they decode to."""
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), spans=True)
     return byte_bpe.decode_documents(encoded.drop("text")).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("spans", 256).alias("spans_sha256"),
     )
 
 

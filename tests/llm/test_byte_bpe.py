@@ -29,7 +29,7 @@ def test_same_ids_and_exact_round_trip(bpe, reference, text):
     ids = np.frombuffer(bpe.encode(text), "<u4").tolist()
     assert ids == reference.encode_ordinary(text)
     assert bpe.decode(bpe.encode(text)) == text.encode()
-    spans = np.frombuffer(bpe.spans(text), "<u4").reshape(-1, 2)
+    spans = np.frombuffer(bpe.spans(text, bpe.encode(text)), "<u4").reshape(-1, 2)
     assert len(spans) == len(ids)
     for (a, b), token in zip(spans.tolist(), ids, strict=True):
         assert bpe.bytes[token] in text[a:b].encode()  # a split character is spanned whole
@@ -37,10 +37,10 @@ def test_same_ids_and_exact_round_trip(bpe, reference, text):
 
 def test_forgetting_pieces_changes_nothing(bpe, reference, monkeypatch):
     monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 3)
-    bpe.kept["ids"].clear()
+    bpe.kept.clear()
     for text in ["a b c d e f g", "a b", "x" * 200 + " a q", "h i j k a b c"]:
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
-        assert len(bpe.kept["ids"]) <= 3
+        assert len(bpe.kept) <= 3 and len(bpe.kept.old) <= 3
 
 
 def test_null_empty_long_and_clashing_columns(spark, documents, reference):
@@ -59,3 +59,11 @@ def test_split_characters_decode_to_their_bytes(spark, bpe):
     rows = df.select(byte_bpe.decode_bytes(F.col("ids")).alias("b"), byte_bpe.decode_text(F.col("ids")).alias("t")).collect()
     assert "漢😀".encode().startswith(bytes(rows[0].b)) and "�" in rows[0].t
     assert rows[1].t == "漢😀" and rows[2].t == ""
+
+
+def test_a_whole_table_has_the_ids_of_tiktoken(spark, sf, reference):
+    rows = byte_bpe.encode_documents(spark.read.parquet(f"{sf}/documents.parquet"), spans=True).select("text", "ids", "spans").collect()
+    for row in rows:
+        ids = np.frombuffer(row.ids, "<u4").tolist()
+        assert ids == reference.encode_ordinary(row.text or "")
+        assert len(row.spans) == 8 * len(ids)
