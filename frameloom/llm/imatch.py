@@ -1,24 +1,30 @@
 """I-Match fingerprints with randomised lexicon subsets.
 
 A text's terms are its distinct runs of ASCII letters, digits and other characters above
-ASCII, lower-cased and hashed to `TERM_BITS` bits, so that terms hardly ever share a hash. The lexicon holds the terms that at
-least `LEAST` documents and at most the share `MOST` of all documents contain: a band of
-inverse document frequencies. A document keeps its terms in the lexicon, or all of them
-where none is in it, sorted. The first part of its fingerprint is the hash of what it
-keeps. Each of `FAMILIES` random orders then draws nested subsets of the lexicon, each a
-quarter of the one before; the fingerprint notes for each order the smallest subset that
-holds a term of the document, and the hash of the terms in it. The likeness of two
-fingerprints is 1 if their first parts are equal, else the part of the orders on which
-they agree.
-
-The lexicon is a table with a row for each counted term, and the terms of texts are joined
-with it; only terms above the band, of which there are few, are broadcast. Null texts count
-as empty and have no terms; texts without terms share a fingerprint. Equal texts have equal fingerprints. An empty table gives an empty
-result. Columns that have the name of an output are replaced.
+ASCII, lower-cased and hashed to `TERM_BITS` bits, so that terms hardly ever share a hash.
+The lexicon holds the terms that between the shares `LEAST` and `MOST` of all documents
+contain, and two documents at least: a band of inverse document frequencies. A document
+keeps its terms in the lexicon, or all of them where none is in it, sorted. The first part
+of its fingerprint is the hash of what it keeps. The other parts are the hashes of what it
+keeps in fixed random subsets of the lexicon, the same for all documents: `FAMILIES` random
+orders with a nested subset of each of `SIZES`. A subset that holds none of its terms gives
+`-`. The likeness of two fingerprints is 1 if their first parts are equal, else the part of
+the subsets on which they agree, leaving out those that hold terms of neither.
+
+The lexicon has at most a document's mean number of terms / `LEAST` rows, however many
+documents there are. It reaches all rows as one value, a variable of the session: lists of terms by the leading bits
+of their hash, and each term is looked up in its list: no pairs of documents and terms are
+shuffled but those counted within a task.
+
+Null texts count as empty and have no terms; texts without terms share a fingerprint. Equal
+texts have equal fingerprints. Texts of any length count whole. An empty table gives an
+empty result. Columns that have the name of an output are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +32,12 @@ from frameloom.llm.common import ranged
 from frameloom.session import settle
 
 TERM_BITS = 63
-#: Documents that hold a term of the lexicon: at least so many, at most this share of all.
-LEAST, MOST = 2, 0.1
-#: Random orders of the lexicon.
-FAMILIES = 12
+#: The shares of all documents between which a term of the lexicon is held.
+LEAST, MOST = 0.001, 0.1
+#: Random orders of the lexicon, and of how many of 256 terms a subset of each holds one place.
+FAMILIES, SIZES = 8, (64, 16, 4, 1)
+#: The lexicon is cut into so many lists, as a power of two.
+LIST_BITS = 14
 #: ASCII characters that end a term.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: The id that stands for none, behind all others.
@@ -42,81 +50,57 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << TERM_BITS) - 1))))
 
 
-def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: float = MOST) -> DataFrame:
-    """The terms of at least `least` documents as `term`, and whether they are `above` the share `most`."""
+def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST, most: float = MOST) -> Column:
+    """The terms of the band in lists by their leading bits, as a value."""
     total = docs.count()
     counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").count()
-    above = F.col("count") > total * most
-    return settle(counts.filter(above | (F.col("count") >= least)).select("term", above.alias("above")), "lexicon")
-
-
-def _place(term: Column, family: int) -> Column:
-    """Where a term stands in a random order, from 0 to 2^32."""
-    return F.xxhash64(term, F.lit(family)).bitwiseAND(F.lit((1 << 32) - 1))
-
-
-def _subsets(kept: Column) -> Column:
-    """For each random order the number of the smallest subset that holds a kept term.
-
-    Subset n holds the places below 4^n, so the lowest place tells it.
-    """
+    band = counts.filter(F.col("count").between(F.lit(max(2.0, total * least)), F.lit(total * most)))
+    lists = band.groupBy(_list(F.col("term")).alias("list")).agg(F.collect_list("term").alias("terms"))
+    every = docs.sparkSession.range(1 << LIST_BITS).withColumnRenamed("id", "list").join(settle(lists, "lexicon"), "list", "left")
+    ordered = F.sort_array(F.collect_list(F.struct("list", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms"))))
+    one = every.agg(ordered.alias("lists")).select("lists.terms")
+    spark, name = docs.sparkSession, f"lexicon_{uuid.uuid4().hex}"
+    spark.sql(f"declare variable {name} array<array<bigint>>")
+    spark.sql(f"set var {name} = (select terms from {{one}})", one=one)
+    return F.expr(name)
 
-    def subset(family: int) -> Column:
-        lowest = F.array_min(F.transform(kept, lambda term: _place(term, family)))
-        return F.ceil(F.log2(lowest.cast("double") + 1) / 2).cast("int")
 
-    return F.array(*[subset(n) for n in range(FAMILIES)])
+def _list(term: Column) -> Column:
+    return F.shiftright(term, TERM_BITS - LIST_BITS).cast("int")
 
 
 def _hash(terms: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.xxhash64(terms)), 16, "0"))
 
 
-def _fingerprint(kept: Column, subsets: Column, bounds: Column) -> Column:
-    """The hash of all kept terms, and for each random order its subset and the hash of the terms in it."""
+def fingerprinted(docs: DataFrame, lists: Column, text: str, name: str) -> DataFrame:
+    """`docs` with the fingerprint of a text column as `name`."""
+    all_terms = docs.withColumn("_terms", terms(F.col(text)))
+    banded = all_terms.withColumn("_band", F.filter("_terms", lambda t: F.array_contains(F.get(lists, _list(t)), t)))
+    kept = F.sort_array(F.when(F.size("_band") > 0, F.col("_band")).otherwise(F.col("_terms")))
+    # a byte of a term's hash is its place in each order
+    rows = banded.withColumn("_kept", F.transform(kept, lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("h"))))
+    parts, above = [], {n: F.col("_kept") for n in range(FAMILIES)}
+    for level, size in enumerate(SIZES):
+        drawn = {n: F.filter(above[n], _below(n, size)) for n in range(FAMILIES)}
+        rows = rows.withColumns({f"_{level}_{n}": column for n, column in drawn.items()})
+        above = {n: F.col(f"_{level}_{n}") for n in range(FAMILIES)}
+        parts += [F.when(F.size(above[n]) > 0, _hash(above[n]["t"]).substr(1, 6)).otherwise(F.lit("-")) for n in range(FAMILIES)]
+    whole = F.concat_ws(".", _hash(F.col("_kept")["t"]), *parts)
+    return rows.select(*docs.columns, F.when(F.size("_kept") > 0, whole).otherwise(F.lit("-")).alias(name))
 
-    def part(family: int) -> Column:
-        drawn = F.filter(kept, lambda term: _place(term, family) < F.get(bounds, F.lit(family)))
-        return F.concat(F.lower(F.hex(F.get(subsets, F.lit(family)))).substr(-1, 1), _hash(drawn).substr(1, 7))
 
-    parts = F.concat_ws(".", _hash(kept), *(part(n) for n in range(FAMILIES)))
-    return F.when(F.size(kept) > 0, parts).otherwise(F.lit("-"))
-
-
-def digest(text: Column) -> Column:
-    """What stands for a text in joins."""
-    return F.unhex(F.md5(text.cast("binary")))
-
-
-def fingerprints(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Each `digest` of `terms` with its `fingerprint`, which depends on its `terms` alone.
-
-    Digests without terms are left out. Terms above the band are found by broadcast (at most
-    a document's mean number of terms, divided by `MOST`) and do not meet in one place.
-    """
-    above = F.broadcast(lexicon.filter("above").select(F.col("term").alias("_above")))
-    band = lexicon.filter("not above").select(F.col("term").alias("_band"))
-    pairs = terms.select("digest", F.explode("terms").alias("term")).join(above, F.col("term") == F.col("_above"), "left")
-    nowhere = -1 - F.xxhash64("digest", "term").bitwiseAND(F.lit((1 << 63) - 1))
-    asked = pairs.withColumn("_ask", F.when(F.col("_above").isNull(), F.col("term")).otherwise(nowhere)).drop("_above")
-    known = asked.join(band, F.col("_ask") == F.col("_band"), "left")
-    code = F.when(F.col("_band").isNull(), -1 - F.col("term")).otherwise(F.col("term"))  # outside the lexicon: below 0
-    found = known.select("digest", code.alias("code")).groupBy("digest").agg(F.collect_set("code").alias("codes"))
-    banded = found.withColumn("_banded", F.filter("codes", lambda c: c >= 0))
-    kept = F.when(F.size("_banded") > 0, F.col("_banded")).otherwise(F.transform("codes", lambda c: -1 - c))
-    chosen = banded.select("digest", F.sort_array(kept).alias("_kept"))
-    drawn = chosen.withColumn("_subsets", _subsets(F.col("_kept")))
-    power = F.transform("_subsets", lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n * 2))
-    bounded = drawn.withColumn("_bounds", power)
-    return bounded.select("digest", _fingerprint(F.col("_kept"), F.col("_subsets"), F.col("_bounds")).alias("fingerprint"))
+def _below(family: int, size: int):
+    return lambda x: F.shiftrightunsigned(x["h"], 8 * family).bitwiseAND(F.lit(255)) < size
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """1 for equal fingerprints, else the part of the random orders on which they agree."""
+    """1 for equal fingerprints, else the part of the subsets, but those without terms on both sides, that agree."""
     pairs = F.arrays_zip(F.split(left, "\\.").alias("a"), F.split(right, "\\.").alias("b"))
-    agree = F.size(F.filter(F.slice(pairs, 2, FAMILIES), lambda p: p["a"] == p["b"]))
+    told = F.filter(F.slice(pairs, 2, FAMILIES * len(SIZES)), lambda p: (p["a"] != "-") | (p["b"] != "-"))
+    agree = F.size(F.filter(told, lambda p: p["a"] == p["b"]))
     either_none = (left == "-") | (right == "-")
-    return F.when(left == right, 1.0).when(either_none, 0.0).otherwise(agree / F.lit(float(FAMILIES)))
+    return F.when(left == right, 1.0).when(either_none | (F.size(told) == 0), 0.0).otherwise(agree / F.size(told))
 
 
 def followers(ids: DataFrame) -> DataFrame:
@@ -136,9 +120,9 @@ def followers(ids: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """`docs` with `next_start` and `next_digest` of the next document in descending `key`.
+    """`docs` with `next_start` and `next_fingerprint` of the next document in descending `key`.
 
-    `docs` holds a `digest`, and neither key nor text is null. `next_start` has half
+    `docs` holds a `fingerprint`, and neither key nor text is null. `next_start` has half
     as many characters as the longest text of the key, or all that there are. Rows of one
     key have the same next one; of several rows with the next key, the smallest start counts.
     If `docs` has these three columns only, both joins share one shuffle of it.
@@ -147,11 +131,11 @@ def with_next(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     ids = docs.select(F.col(key).alias("key"), half.alias("need")).groupBy("key").agg(F.max("need").alias("need"))
     asks = followers(ids).select(F.col("next").alias("_next"), F.col("key").alias("_asks"), F.col("need").alias("_need"))
     wanted = settle(asks, "followers")
-    start = F.struct(F.left(text, F.col("_need")).alias("start"), "digest")
+    start = F.struct(F.left(text, F.col("_need")).alias("start"), "fingerprint")
     starts = docs.join(wanted, F.col(key) == F.col("_next")).select("_asks", start.alias("_start"))
     starts = starts.groupBy("_asks").agg(F.min("_start").alias("_start"))
     return docs.join(starts, F.col(key) == F.col("_asks")).withColumns(
-        {"next_start": F.col("_start.start"), "next_digest": F.col("_start.digest")}
+        {"next_start": F.col("_start.start"), "next_fingerprint": F.col("_start.fingerprint")}
     ).drop("_asks", "_start")
 
 
@@ -169,34 +153,13 @@ def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     key = F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("_key")
     chosen = docs.select(key, F.coalesce(text, F.lit("")).alias("text"))
     band = lexicon(chosen)
-    own = chosen.select(digest(F.col("text")).alias("digest"), terms(F.col("text")).alias("terms"))
-    own = settle(fingerprints(own, band), "fingerprints")
-    paired = with_next(chosen.withColumn("digest", digest(F.col("text"))), "_key")
-    paired = paired.withColumn("edited", edited(F.col("text"), F.col("next_start")))
-    rows = settle(
-        paired.select(
-            F.nullif("_key", F.lit(NO_ID)).alias(id),
-            F.length("text").cast("bigint").alias("n_chars"),
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            "digest",
-            "next_digest",
-            digest(F.col("edited")).alias("edited_digest"),
-            terms(F.col("edited")).alias("edited_terms"),
-        ),
-        "edited",
-    )
-    changed = fingerprints(rows.select(F.col("edited_digest").alias("digest"), F.col("edited_terms").alias("terms")), band)
-    rows = rows.drop("edited_terms")
-    for name, prints in (("", own), ("next_", own), ("edited_", changed)):
-        prints = prints.select(F.col("digest").alias("_digest"), F.col("fingerprint").alias("_fingerprint"))
-        rows = rows.join(prints, F.col(f"{name}digest") == F.col("_digest"), "left").withColumn(
-            f"{name}fingerprint", F.coalesce("_fingerprint", F.lit("-"))
-        )
-        rows = rows.drop("_digest", "_fingerprint", f"{name}digest")
+    paired = with_next(fingerprinted(chosen, band, "text", "fingerprint"), "_key")
+    paired = paired.withColumn("_edited", edited(F.col("text"), F.col("next_start"))).drop("next_start")
+    rows = fingerprinted(paired, band, "_edited", "edited_fingerprint")
     return rows.select(
-        id,
-        "n_chars",
-        "edited_sha256",
+        F.nullif("_key", F.lit(NO_ID)).alias(id),
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),

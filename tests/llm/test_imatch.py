@@ -30,27 +30,21 @@ def chained(terms):
     return seed
 
 
-def place(term, family):
-    return hashed(pack("<i", family), long_hash(term)) % (1 << 32)
-
-
 def brute_fingerprint(terms, band):
     kept = sorted(terms & band) or sorted(terms)
     if not kept:
         return "-"
     parts = [format(chained(kept), "016x")]
-    for family in range(imatch.FAMILIES):
-        lowest, n = min(place(t, family) for t in kept), 0
-        while lowest >= 4**n:
-            n += 1
-        drawn = [t for t in kept if place(t, family) < 4**n]
-        parts.append(format(n % 16, "x") + format(chained(drawn), "016x")[:7])
+    for size in imatch.SIZES:
+        for family in range(imatch.FAMILIES):
+            drawn = [t for t in kept if long_hash(t) >> 8 * family & 255 < size]
+            parts.append(format(chained(drawn), "016x")[:6] if drawn else "-")
     return ".".join(parts)
 
 
 def brute_band(texts):
     counts = Counter(term for text in texts for term in brute_terms(text))
-    return {t for t, n in counts.items() if imatch.LEAST <= n <= imatch.MOST * len(texts)}
+    return {t for t, n in counts.items() if max(2, imatch.LEAST * len(texts)) <= n <= imatch.MOST * len(texts)}
 
 
 def brute_likeness(a, b):
@@ -58,7 +52,8 @@ def brute_likeness(a, b):
         return 1.0
     if "-" in (a, b):
         return 0.0
-    return sum(x == y for x, y in zip(a.split(".")[1:], b.split(".")[1:], strict=True)) / imatch.FAMILIES
+    told = [(x, y) for x, y in zip(a.split(".")[1:], b.split(".")[1:], strict=True) if (x, y) != ("-", "-")]
+    return sum(x == y for x, y in told) / len(told) if told else 0.0
 
 
 def test_against_a_restatement(spark, documents):
@@ -108,6 +103,14 @@ def test_followers_over_many_ranges(spark):
 
 def test_the_band_is_counted_by_term(documents):
     few = 1 << 11  # 2^21 and more terms of one document, which leave the lexicon
-    rows = [(i, f"near{i // 2} copy{i // 2} " + " ".join(f"u{n}" for n in range(i * 1100, i * 1100 + 1100))) for i in range(few)]
+    rows = [(i, f"near{i // 4} copy{i // 4} " + " ".join(f"u{n}" for n in range(i * 1100, i * 1100 + 1100))) for i in range(few)]
     out = {row.doc_id: row.fingerprint for row in imatch.compare_with_next(documents(*rows)).collect()}
-    assert all(out[i] == out[i + 1] for i in range(0, few, 2)) and len(set(out.values())) == few // 2
+    assert all(out[i] == out[i // 4 * 4] for i in range(few)) and len(set(out.values())) == few // 4
+
+
+def test_near_copies_are_more_alike_than_others(documents):
+    rows = [(i, " ".join(f"w{(i // 2 * 37 + k * 11) % 997}" for k in range(120 - i % 2))) for i in range(400)]
+    out = imatch.compare_with_next(documents(*rows)).collect()
+    near = [row.near_next for row in out if row.doc_id % 2]  # the next one is the near copy
+    far = [row.near_next for row in out if not row.doc_id % 2]
+    assert sum(near) / len(near) > 0.8 and sum(far) / len(far) < 0.2
