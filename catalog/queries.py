@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog import sql as q
-from catalog.rules import CHOICES, rule_labeler
+from catalog.rules import CHOICES, rule_labeler, short_labeler
 from frameloom.contract import (
     STRUCTURED_COLUMNS,
     TEXT_CUTS,
@@ -32,7 +32,9 @@ from frameloom.functions.text import cut_ladder, cut_text
 from frameloom.operators import actors, applications, audit, features, folds, labeling, metrics, models, profiling
 from frameloom.operators import sampling
 from frameloom.session import settle, work_folder
-from frameloom.streaming.labeling import label_stream, stream_corpus
+from frameloom.sinks import files
+from frameloom.sources import csv as csv_sources
+from frameloom.streaming.labeling import batch_counts, label_stream, stream_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -573,6 +575,39 @@ def label_combinations_content(spark, sf):
     return profiling.label_combinations(fx.labeled(spark, sf), LABEL_COLUMNS, include_no_category=False)
 
 
+def summary_sql() -> str:
+    covered = f"""select 'coverage' as part, "column" as name, '' as label, nonblank_count as count,
+      {q.percent('nonblank_count', 'rows')} as pct from ({COVERAGE})"""
+    spread_out = f"""select 'distribution', "column", {q.display('value')}, count(*),
+      {q.percent('count(*)', 'sum(count(*)) over (partition by "column")')} from long_labels group by "column", value"""
+    combos = [f"select '{part}', combo, '', count, pct_of_rows from ({combos_sql(full)})" for part, full in PARTS.items()]
+    return " union all ".join([covered, spread_out, *combos])
+
+
+PARTS = {"combinations": True, "content": False}
+
+
+@check("profile_summary", q.query(summary_sql(), "clean_labels", "long_labels"))
+def profile_summary(spark, sf):
+    """Coverage, distribution and both tables of combinations from one read of the rows."""
+    n = "label_rows"
+    counted = profiling.counted_labels(fx.labeled(spark, sf), LABEL_COLUMNS, n)
+    none = F.lit("")
+
+    def part(name: str, df: DataFrame, *columns) -> DataFrame:
+        given = [F.lit(name), *columns]
+        return df.select(*(c.alias(to) for c, to in zip(given, ("part", "name", "label", "count", "pct"))))
+
+    tables = [
+        part("coverage", profiling.coverage(counted, LABEL_COLUMNS, n), F.col("column"), none, F.col("nonblank_count"), F.col("nonblank_pct")),
+        part("distribution", profiling.label_distribution(counted, LABEL_COLUMNS, n), *map(F.col, ("column", "label", "count", "pct_of_rows"))),
+    ]
+    for name, full in PARTS.items():
+        combos = profiling.label_combinations(counted, LABEL_COLUMNS, full, n)
+        tables.append(part(name, combos, F.col("combo"), none, F.col("count"), F.col("pct_of_rows")))
+    return reduce(DataFrame.unionByName, tables)
+
+
 @check(
     "top_combinations",
     q.query(
@@ -726,8 +761,8 @@ def task_label_sql(task: str) -> str:
         from (select *, {q.read(answer)} as {name}_answer from {{source}}))"""
 
 
-def label_posts_sql() -> str:
-    source = f"(select *, {q.cut('text', 2500)} as t from raw_posts)"
+def label_posts_sql(rows: str = "raw_posts", key: str = "post_id") -> str:
+    source = f"(select *, {q.cut('text', 2500)} as t from {rows})"
     for task in TASKS:
         source = f"({task_label_sql(task).format(source=source)})"
     names = ["aut", "dem", "west"]
@@ -736,7 +771,7 @@ def label_posts_sql() -> str:
     shown = ", ".join(f"case when {failed} then '' else {name}_label end as {name}" for name in names)
     focal = q.read(answer_sql("FOCAL", q.render(pr.FOCAL_TEMPLATE, {"text": "t"})))
     return (
-        f"select post_id, {shown}, case when {failed} then '' when {gate} then {focal} else '' end as focal from {source}"
+        f"select {key}, {shown}, case when {failed} then '' when {gate} then {focal} else '' end as focal from {source}"
     )
 
 
@@ -809,7 +844,11 @@ def valence_alias(spark, sf):
     return fx.raw_posts(spark, sf).select("post_id", lf.canonical_valence(answer).alias("valence"))
 
 
-@check("label_stream")
+#: How the documents of a stream are labeled, whatever the batches.
+STREAMED = label_posts_sql("(select doc_id, coalesce(text, '') as text from documents)", "doc_id")
+
+
+@check("label_stream", STREAMED)
 def run_label_stream(spark, sf):
     """The documents as an arriving file, labeled by the streaming job."""
     folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -819,6 +858,108 @@ def run_label_stream(spark, sf):
     return spark.read.parquet(f"{folder}/out").drop("text")
 
 
+#: Into how many arriving parts the documents are dealt, by their id.
+ARRIVALS = 4
+
+
+def arrivals(spark, sf, folder: str, parts) -> None:
+    """Parts of the documents, one after the other, as files of a folder."""
+    rows = fx.documents(spark, sf).select("doc_id", "text")
+    for part in parts:
+        rows.filter(F.pmod("doc_id", F.lit(ARRIVALS)) == part).coalesce(1).write.mode("append").parquet(folder)
+
+
+def labeled_stream(spark, folder: str, **how):
+    arriving = stream_corpus(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, **how)
+    query = label_stream(arriving, f"{folder}/out", f"{folder}/state", TASKS, rule_labeler(), focal=True)
+    query.awaitTermination()
+    return query
+
+
+@check("label_stream_restart", STREAMED)
+def label_stream_restart(spark, sf):
+    """A run over half of the files, then another one over all with the first one's state."""
+    folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for part in (range(2), range(2, ARRIVALS)):
+        arrivals(spark, sf, f"{folder}/in", part)
+        labeled_stream(spark, folder)
+    return spark.read.parquet(f"{folder}/out").drop("text")
+
+
+@check(
+    "stream_progress",
+    f"""select (doc_id % {ARRIVALS})::bigint as batch, count(*) as "rows", """
+    + ", ".join(f"count(*) filter ({name} = '') as blank_{name}" for name in LABEL_COLUMNS)
+    + f" from ({STREAMED}) group by 1",
+)
+def stream_progress(spark, sf):
+    """Rows and blank labels of each batch of a running stream, a file a batch."""
+    folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    arrivals(spark, sf, f"{folder}/in", range(ARRIVALS))
+    return batch_counts(spark, labeled_stream(spark, folder, max_files=1))
+
+
+#: So long are the longest prompts that the short labeler takes.
+SHORT = len(pr.TASK_TEMPLATES["DEM"]) + 900
+
+
+def shorter_sql() -> str:
+    cuts = ", ".join(f"{q.cut('text', limit)} as t{n}" for n, limit in enumerate(TEXT_CUTS))
+    prompts = {n: q.render(pr.TASK_TEMPLATES["DEM"], {"text": f"t{n}"}) for n in range(len(TEXT_CUTS))}
+
+    def first(then: Callable[[int], str]) -> str:
+        return "case " + " ".join(f"when length({p}) <= {SHORT} then {then(n)}" for n, p in prompts.items()) + " end"
+
+    reply, shown = first(lambda n: answer_sql("DEM", prompts[n])), first(lambda n: f"length(t{n})::int")
+    return f"select post_id, {reply} as reply, {shown} as shown, {shown} is null as failed from (select *, {cuts} from raw_posts)"
+
+
+@check("label_shorter", q.query(shorter_sql(), "raw_posts"))
+def label_shorter(spark, sf):
+    """Texts too long for the labeler are shown shorter, as far as it takes."""
+    rows = spread(fx.raw_posts(spark, sf).select("post_id", "text"))
+    return labeling.label_shown(rows, "DEM", short_labeler(SHORT)).drop("text")
+
+
+# --- CSV files -----------------------------------------------------------------------------------
+
+
+def written_csv(spark, sf) -> str:
+    """All documents as labeled CSV, appended in two runs."""
+    folder = f"{work_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = fx.documents(spark, sf).select(F.col("doc_id").cast("string"), "text", "source")
+    for part in (0, 1):
+        files.write_labeled_csv(rows.filter(F.pmod("doc_id", F.lit(2)) == part), folder)
+    return folder
+
+
+CSV_ROWS = """select doc_id::varchar as doc_id, md5(coalesce(text, '')) as text, coalesce(source, '') as source from documents"""
+
+
+def shown_csv(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.md5("text").alias("text"), "source")
+
+
+@check(
+    "scan_csv",
+    f"{CSV_ROWS} union all select doc_id::varchar || '-short', md5(''), '' from documents",
+)
+def scan_csv(spark, sf):
+    """Beside the documents, a row with too few and one with too many fields for each: filled up, and skipped."""
+    folder = written_csv(spark, sf)
+    ids = fx.documents(spark, sf).select(F.concat("doc_id", F.lit("-short")).alias("doc_id"))
+    wide = ids.select("doc_id", *(F.lit(f'"{n}",').alias(n) for n in ("text", "source", "more")))
+    for odd in (ids, wide):
+        odd.write.options(header=True, quoteAll=True, escape='"').mode("append").csv(folder)
+    return shown_csv(csv_sources.read_posts_csv(spark, folder, ["doc_id", "text", "source"]))
+
+
+@check("strict_csv", CSV_ROWS)
+def strict_csv(spark, sf):
+    """Quotes, line breaks, blanks and spaces come back as they were."""
+    return shown_csv(csv_sources.read_strict_csv(spark, written_csv(spark, sf)))
+
+
 # --- learning ----------------------------------------------------------------------------------
 
 

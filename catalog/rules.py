@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from frameloom.contract import NO_CATEGORY, TASK_LABELS
-from frameloom.operators.labeling import Answerer
+from frameloom.operators.labeling import Answerer, TextTooLong, try_shorter
 
 
 def _choices() -> dict[str, list[str]]:
@@ -29,3 +29,19 @@ def rule_labeler(choices: dict[str, list[str]] = CHOICES):
         return lambda rows: [(replies[len(prompts[0]) % len(replies)], 0, None) for prompts in rows]
 
     return start
+
+
+def short_labeler(limit: int, choices: dict[str, list[str]] = CHOICES):
+    """The same, but prompts of more than `limit` characters are too long for it."""
+
+    def start(task: str) -> Answerer:
+        replies = choices[task]
+
+        def ask(prompt: str) -> str:
+            if len(prompt) > limit:
+                raise TextTooLong(f"{len(prompt)} characters")
+            return replies[len(prompt) % len(replies)]
+
+        return try_shorter(ask)
+
+    return start

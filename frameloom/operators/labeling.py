@@ -296,6 +296,20 @@ def _ask_focal(df: DataFrame, labeler: Labeler, when: Column) -> DataFrame:
     return df.withColumn("_answer", ask({FOCAL_TASK: F.when(when, F.lit(frame(FOCAL_TEMPLATE)))}, labeler))
 
 
+def label_shown(
+    df: DataFrame, task: str, labeler: Labeler, text: str = "text", cuts: Sequence[int] = TEXT_CUTS
+) -> DataFrame:
+    """One task's reply to each text, how many characters of the text the accepted prompt
+    showed, and whether none was accepted. Null texts count as empty."""
+    ready = df.withColumn("_cuts", cut_ladder(F.coalesce(F.col(text), F.lit("")), cuts))
+    asked = ready.withColumn("_answer", ask({task: frame(TASK_TEMPLATES[task])}, labeler))
+    failed = F.col(f"_answer.error_{task}").isNotNull()
+    shown = F.when(~failed, F.char_length(F.get("_cuts", F.col(f"_answer.cut_{task}"))))
+    return asked.select(
+        *df.columns, F.when(~failed, F.col(f"_answer.reply_{task}")).alias("reply"), shown.alias("shown"), failed.alias("failed")
+    )
+
+
 def label_focal(
     df: DataFrame, labeler: Labeler, text: str = "text", prefix: str = "", on_error: str = "raise"
 ) -> DataFrame:

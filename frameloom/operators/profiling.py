@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.contract import BLANK, FOCAL_COLUMN, NO_CATEGORY, NO_COMBINATION, TASK_COLUMNS
 from frameloom.functions.labels import display_value, percent, profile_value
+from frameloom.session import settle
 
 DEFAULT_COLUMNS = (*TASK_COLUMNS.values(), FOCAL_COLUMN)
 
@@ -28,23 +29,39 @@ def profile_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({name: profile_value(F.col(name)) for name in columns})
 
 
-def label_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def counted_labels(df: DataFrame, columns: Sequence[str], n: str = "label_rows") -> DataFrame:
+    """Each combination of cleaned labels with its rows as `n`, written once.
+
+    The tables below give the same from it, and from its `n`, as from all rows.
+    """
+    values = [profile_value(F.col(name)).alias(name) for name in columns]
+    return settle(df.groupBy(*values).agg(F.count(F.lit(1)).alias(n)), "labels")
+
+
+def _rows(n: str | None, when: Column | None = None) -> Column:
+    """How many rows there are, of those that `n` counts if given."""
+    one = F.lit(1) if n is None else F.col(n)
+    return F.coalesce(F.sum(one if when is None else F.when(when, one)), F.lit(0)).cast("long")
+
+
+def label_long(df: DataFrame, columns: Sequence[str], n: str | None = None) -> DataFrame:
     """One row per row and label column, values cleaned."""
-    values = df.select(*[profile_value(F.col(name)).alias(name) for name in columns])
-    return values.unpivot([], list(columns), "column", "value")
+    kept = [n] if n else []
+    values = df.select(*kept, *[profile_value(F.col(name)).alias(name) for name in columns])
+    return values.unpivot(kept, list(columns), "column", "value")
 
 
-def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def coverage(df: DataFrame, columns: Sequence[str], n: str | None = None) -> DataFrame:
     """Filled, blank, no-category and substantive rows of every column, in one
     pass over the data."""
     counts = []
     for index, name in enumerate(columns):
         value = profile_value(F.col(name))
         counts += [
-            F.count_if(value != "").alias(f"filled_{index}"),
-            F.count_if(value == NO_CATEGORY).alias(f"none_{index}"),
+            _rows(n, value != "").alias(f"filled_{index}"),
+            _rows(n, value == NO_CATEGORY).alias(f"none_{index}"),
         ]
-    totals = df.agg(F.count(F.lit(1)).alias("rows"), *counts)
+    totals = df.agg(_rows(n).alias("rows"), *counts)
     per_column = F.explode(
         F.array(
             *[
@@ -65,10 +82,10 @@ def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def label_distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def label_distribution(df: DataFrame, columns: Sequence[str], n: str | None = None) -> DataFrame:
     """Rows per label of every column, with shares of all and of filled rows."""
-    totals = coverage(df, columns).select("column", "rows", "nonblank_count")
-    counts = label_long(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    totals = coverage(df, columns, n).select("column", "rows", "nonblank_count")
+    counts = label_long(df, columns, n).groupBy("column", "value").agg(_rows(n).alias("count"))
     share = F.when(F.col("value") == "", F.lit(0.0)).otherwise(percent(F.col("count"), F.col("nonblank_count")))
     return (
         # one totals row per label column
@@ -84,7 +101,9 @@ def label_distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def label_combinations(df: DataFrame, columns: Sequence[str], include_no_category: bool = True) -> DataFrame:
+def label_combinations(
+    df: DataFrame, columns: Sequence[str], include_no_category: bool = True, n: str | None = None
+) -> DataFrame:
     """Rows per combination of labels."""
     parts = []
     for name in columns:
@@ -92,10 +111,10 @@ def label_combinations(df: DataFrame, columns: Sequence[str], include_no_categor
         shown = F.concat(F.lit(f"{name}="), display_value(value))
         parts.append(shown if include_no_category else F.when(value != NO_CATEGORY, shown))
     combo = F.concat_ws(" | ", *parts)
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = df.agg(_rows(n)).scalar()
     return (
         df.groupBy(F.when(combo == "", NO_COMBINATION).otherwise(combo).alias("combo"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(_rows(n).alias("count"))
         .withColumn("pct_of_rows", percent(F.col("count"), total))
         .orderBy(F.desc("count"), "combo")
     )
@@ -115,6 +134,7 @@ def top_combinations(combinations: DataFrame, k: int) -> DataFrame:
 
 __all__ = [
     "BLANK",
+    "counted_labels",
     "coverage",
     "detect_label_columns",
     "label_combinations",

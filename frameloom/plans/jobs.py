@@ -176,12 +176,17 @@ def profile_labels(
     columns: Sequence[str] | None = None,
     include_no_category: bool = True,
 ) -> dict[str, DataFrame]:
-    """Job 4: coverage, distribution and combinations of the label columns."""
+    """Job 4: coverage, distribution and combinations of the label columns.
+
+    The rows are read once; all tables come from the counted combinations of labels.
+    """
     names = profiling.detect_label_columns(df, prefix, columns)
+    n = "label_rows"
+    counted = profiling.counted_labels(df, names, n)
     tables = {
-        "coverage_summary": profiling.coverage(df, names),
-        "label_distribution": profiling.label_distribution(df, names),
-        "label_combinations": profiling.label_combinations(df, names, include_no_category),
+        "coverage_summary": profiling.coverage(counted, names, n),
+        "label_distribution": profiling.label_distribution(counted, names, n),
+        "label_combinations": profiling.label_combinations(counted, names, include_no_category, n),
     }
     if out:
         files.write_summaries(tables, out)

@@ -199,3 +199,22 @@ def test_observed_counts(spark, tmp_path):
     df.write.parquet(str(tmp_path / "out"))
     assert watch.get == {"rows": 2, "blank_dem": 1}
 
+
+
+def test_texts_too_long_are_shown_shorter(spark):
+    rows = spark.createDataFrame([(1, "w " * 300), (2, "short"), (3, None), (4, "x" * 3000)], "id int, text string")
+
+    def labeler(task):
+        def ask(prompt):
+            if len(prompt) > limit:
+                raise labeling.TextTooLong("too long")
+            return "yes"
+
+        return labeling.try_shorter(ask)
+
+    limit = len(labeling.TASK_TEMPLATES["DEM"]) + 420
+    got = {r.id: (r.reply, r.shown, r.failed) for r in labeling.label_shown(rows, "DEM", labeler).collect()}
+    assert got[2] == ("yes", 5, False) and got[3] == ("yes", 0, False)
+    assert all(got[i][0] == "yes" and 390 < got[i][1] <= 404 for i in (1, 4))
+    limit = 10
+    assert {r.failed for r in labeling.label_shown(rows, "DEM", labeler).collect()} == {True}
