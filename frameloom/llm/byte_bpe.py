@@ -130,9 +130,10 @@ class ByteBpe:
 
     def _piece(self, piece: str) -> bytes:
         """The packed ids of a piece: those of the pattern's matches, whose bytes, as characters, the library merges."""
-        matches = self.match.findall(piece)
-        if len(matches) > 1:
-            return b"".join(map(self.kept.__getitem__, matches))  # each match is its own only match
+        if not piece.removeprefix(" ").isalpha():  # letters alone are one match
+            matches = self.match.findall(piece)
+            if len(matches) > 1:
+                return b"".join(map(self.kept.__getitem__, matches))  # each match is its own only match
         written = piece.encode().decode("latin-1").translate(self.characters)
         ids = [token.id for token in self.tokenizer.model.tokenize(written)]
         return pack(f"<{len(ids)}I", *ids)
