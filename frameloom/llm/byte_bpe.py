@@ -24,6 +24,7 @@ import base64
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from hashlib import sha256
 from struct import pack
 
 import numpy as np
@@ -192,6 +193,19 @@ def token_spans(text: Column, ids: Column, ranks: str | None = None, pattern: st
     return run(text, ids)
 
 
+def span_digests(text: Column, ids: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
+    """The SHA-256 of each text's packed spans, in lowercase hex; the spans stay where they are made."""
+    path, pattern = ranks or default_ranks(), pattern or default_pattern()
+
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array, ids: pa.Array) -> pa.Array:
+        one = vocabulary(path, pattern).spans
+        found = (sha256(one(text.as_py(), packed.as_py())).hexdigest() for text, packed in zip(texts, ids, strict=True))
+        return pa.array(found, pa.string())
+
+    return run(text, ids)
+
+
 def decode_bytes(ids: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
     """The bytes of packed ids, exactly; they may begin or end within a character."""
     return _per_row("decode", ranks, pattern)(ids)
