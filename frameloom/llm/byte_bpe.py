@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 from struct import pack
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 #: Bytes that stand for themselves in token strings (fixed values of the format).
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -101,33 +101,38 @@ class ByteBpe:
     """One vocabulary with its split pattern."""
 
     def __init__(self, path: str, pattern: str):
+        ranks = read_ranks(path)
+        self.ranks = ranks
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes[rank] = token
+        lengths = np.array([len(token) for token in self.bytes], np.int64)
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.characters = dict(enumerate(byte_characters()))
+        self.match = regex.compile(pattern)
+        self.kept = Kept(self._piece)
+
+    @cached_property
+    def model(self):
+        """The library's merging model; workers that only decode or place spans never make it."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, models
 
-        ranks, characters = read_ranks(path), byte_characters()
+        ranks, characters = self.ranks, self.characters
 
         def written(token: bytes) -> str:
             return "".join(characters[b] for b in token)
 
-        vocabulary = {written(token): rank for token, rank in ranks.items()}
         merges = [
             tuple(map(written, halves(token, ranks)))
             for token in sorted(ranks, key=ranks.__getitem__)
             if len(token) > 1
         ]
-        self.tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=merges, cache_capacity=0))
-        byte = {character: b for b, character in enumerate(characters)}
-        self.bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in vocabulary.items():
-            self.bytes[rank] = bytes(byte[c] for c in token)
-        lengths = np.array([len(token) for token in self.bytes], np.int64)
-        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.characters = dict(enumerate(characters))
-        self.match = regex.compile(pattern)
-        self.kept = Kept(self._piece)
+        vocabulary = {written(token): rank for token, rank in ranks.items()}
+        return Tokenizer(models.BPE(vocab=vocabulary, merges=merges, cache_capacity=0)).model
 
     def _piece(self, piece: str) -> bytes:
         """The packed ids of a piece: those of the pattern's matches, whose bytes, as characters, the library merges."""
@@ -136,7 +141,7 @@ class ByteBpe:
             if len(matches) > 1:
                 return b"".join(map(self.kept.__getitem__, matches))  # each match is its own only match
         written = piece.encode().decode("latin-1").translate(self.characters)
-        ids = [token.id for token in self.tokenizer.model.tokenize(written)]
+        ids = [token.id for token in self.model.tokenize(written)]
         return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
@@ -193,17 +198,20 @@ def token_spans(text: Column, ids: Column, ranks: str | None = None, pattern: st
     return run(text, ids)
 
 
-def span_digests(text: Column, ids: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
-    """The SHA-256 of each text's packed spans, in lowercase hex; the spans stay where they are made."""
+def encode_digested(text: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
+    """`ids` (packed) and `spans_sha256`, the digest in lowercase hex of the packed spans, which stay where they are made."""
     path, pattern = ranks or default_ranks(), pattern or default_pattern()
 
-    @F.arrow_udf(StringType())
-    def run(texts: pa.Array, ids: pa.Array) -> pa.Array:
-        one = vocabulary(path, pattern).spans
-        found = (sha256(one(text.as_py(), packed.as_py())).hexdigest() for text, packed in zip(texts, ids, strict=True))
-        return pa.array(found, pa.string())
+    @F.arrow_udf(StructType([StructField("ids", BinaryType()), StructField("spans_sha256", StringType())]))
+    def run(column: pa.Array) -> pa.Array:
+        one, ids, digests = vocabulary(path, pattern), [], []
+        for value in column:
+            text = value.as_py()
+            ids.append(one.encode(text))
+            digests.append(sha256(one.spans(text, ids[-1])).hexdigest())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(digests, pa.string())], ["ids", "spans_sha256"])
 
-    return run(text, ids)
+    return run(text)
 
 
 def decode_bytes(ids: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
@@ -222,10 +230,19 @@ def _replaced(column: pa.Array) -> pa.Array:
 
 
 def encode_documents(
-    docs: DataFrame, text: str = "text", ranks: str | None = None, pattern: str | None = None, spans: bool = False
+    docs: DataFrame,
+    text: str = "text",
+    ranks: str | None = None,
+    pattern: str | None = None,
+    spans: bool = False,
+    digests: bool = False,
 ) -> DataFrame:
-    """`docs` with `ids` (packed), `n_tokens` and, if wanted, `spans` (packed)."""
-    out = docs.withColumn("ids", encode(F.col(text), ranks, pattern))
+    """`docs` with `ids` (packed), `n_tokens` and, if wanted, `spans` (packed) or `spans_sha256`, their digest."""
+    if digests:
+        found = docs.withColumn("_encoded", encode_digested(F.col(text), ranks, pattern))
+        out = found.withColumns({n: F.col("_encoded")[n] for n in ("ids", "spans_sha256")}).drop("_encoded")
+    else:
+        out = docs.withColumn("ids", encode(F.col(text), ranks, pattern))
     if spans:
         out = out.withColumn("spans", token_spans(F.col(text), F.col("ids"), ranks, pattern))
     return out.withColumn("n_tokens", F.floor(F.length("ids") / 4).cast("bigint"))

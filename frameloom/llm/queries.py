@@ -41,8 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the bytes that they decode to."""
-    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    encoded = encoded.withColumn("spans_sha256", byte_bpe.span_digests(F.col("text"), F.col("ids")))
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
     return byte_bpe.decode_documents(encoded.drop("text")).select(
         "doc_id",
         "n_tokens",

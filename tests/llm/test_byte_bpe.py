@@ -64,10 +64,9 @@ def test_split_characters_decode_to_their_bytes(spark, bpe):
 
 
 def test_a_whole_table_has_the_ids_of_tiktoken(spark, sf, reference):
-    docs = byte_bpe.encode_documents(spark.read.parquet(f"{sf}/documents.parquet"), spans=True)
-    digests = byte_bpe.span_digests(F.col("text"), F.col("ids")).alias("digest")
-    for row in docs.select("text", "ids", "spans", digests).collect():
-        assert row.digest == sha256(row.spans).hexdigest()
+    docs = byte_bpe.encode_documents(spark.read.parquet(f"{sf}/documents.parquet"), spans=True, digests=True)
+    for row in docs.select("text", "ids", "spans", "spans_sha256").collect():
+        assert row.spans_sha256 == sha256(row.spans).hexdigest()
         ids = np.frombuffer(row.ids, "<u4").tolist()
         assert ids == reference.encode_ordinary(row.text or "")
         assert len(row.spans) == 8 * len(ids)
