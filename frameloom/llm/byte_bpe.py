@@ -40,6 +40,8 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces between which the split pattern always restarts.
 PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Marks that never begin a match with letters.
+STOPS = frozenset(",.;:!?")
 #: A worker remembers so many pieces and matches in a generation, each of at most so many characters.
 KEPT_PIECES, KEPT_LENGTH = 1 << 18, 64
 
@@ -137,10 +139,17 @@ class ByteBpe:
     def _piece(self, piece: str) -> bytes:
         """The packed ids of a piece: those of the pattern's matches, whose bytes, as characters, the library merges."""
         if not piece.removeprefix(" ").isalpha():  # letters alone are one match
+            head = piece[:-1]
+            if piece[-1] in STOPS and head.removeprefix(" ").isalpha():  # and so is a mark behind them
+                return self.kept[head] + self.kept[piece[-1]]
             matches = self.match.findall(piece)
             if len(matches) > 1:
                 return b"".join(map(self.kept.__getitem__, matches))  # each match is its own only match
-        written = piece.encode().decode("latin-1").translate(self.characters)
+        data = piece.encode()
+        rank = self.ranks.get(data)
+        if rank is not None:  # merging ends at the whole
+            return pack("<I", rank)
+        written = data.decode("latin-1").translate(self.characters)
         ids = [token.id for token in self.model.tokenize(written)]
         return pack(f"<{len(ids)}I", *ids)
 
