@@ -8,8 +8,10 @@ backward passes give each line its chance to be good, and a document's quality i
 mean of these, weighted by the lines' lengths in bytes plus one.
 
 The field is fitted on at most `most` labelled documents of either label, those whose
-ids have the lowest digests; all lines of such a document carry its label. Documents of
-more than `TRAINING_LINES` lines do not serve as examples. Every text is scored whole.
+ids have the lowest digests; all lines of such a document carry its label. These serve as
+examples in the order of the digests until they hold `most_lines` lines, each whole and
+whatever its length. Every text is scored whole; of a text above 2 MiB blocks are counted one
+by one, cut at line feeds or spaces, with the same counts.
 
 Null texts count as empty, and an empty text is one empty line. Without examples of
 both labels every score is their smoothed share. Labels that are not 0 or 1, and ids
@@ -24,16 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
 from frameloom.llm.training import minimize, sampled, sampled_texts
+from frameloom.session import settle
 
 #: Labelled documents with label 0 and label 1 that the field is fitted on at most.
 MOST = (2000, 3000)
-#: Lines of an example at most.
-TRAINING_LINES = 2000
+#: Once the examples hold so many lines, no other is added.
+MOST_LINES = 1_000_000
 PENALTY = 1.0
 THRESHOLD = 0.7
 #: Bytes of text that are measured together.
@@ -69,8 +72,8 @@ PER_PLACE = MEASURES * BINS + 1
 FEATURES = 3 * PER_PLACE
 
 
-def count_lines(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each line of `data`, which ends with a line feed, and a code of its words."""
+def _counted(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each line of `data`, which ends with a line feed, a code of its words, and all words' codes."""
     buffer = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(buffer == 10)
     starts = np.r_[0, ends[:-1] + 1]
@@ -82,7 +85,7 @@ def count_lines(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     counts[:, AT["bytes"]] = ends - starts
     space = SPACE[buffer]
     begin = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    codes = np.zeros(len(ends), np.uint64)
+    codes, words = np.zeros(len(ends), np.uint64), np.empty(0, np.uint64)
     if len(begin):
         line = np.searchsorted(ends, begin)
         counts[:, AT["words"]] = np.bincount(line, minlength=len(ends))
@@ -93,29 +96,48 @@ def count_lines(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         again = line[1:][(words[1:] == words[:-1]) & (line[1:] == line[:-1])]
         counts[:, AT["again"]] = np.bincount(again, minlength=len(ends))
         np.add.at(codes, line, words)
-    return counts, codes
+    return counts, codes, words
+
+
+def count_lines(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each line of `data`, which ends with a line feed, and a code of its words."""
+    return _counted(data)[:2]
 
 
 def _blocks(data: bytes) -> Iterator[bytes]:
-    """A text cut into blocks at line feeds, else at spaces, else anywhere."""
-    while len(data) > BLOCK:
-        cut = data.rfind(b"\n", 1, BLOCK) + 1 or data.rfind(b" ", 1, BLOCK) + 1 or BLOCK
-        yield data[:cut]
-        data = data[cut:]
-    yield data
+    """A text cut into blocks behind line feeds, else behind spaces; a longer word stays whole."""
+    at = 0
+    while len(data) - at > BLOCK:
+        cut = data.rfind(b"\n", at, at + BLOCK) + 1 or data.rfind(b" ", at, at + BLOCK) + 1
+        if not cut:
+            found = [n for n in (data.find(b"\n", at + BLOCK), data.find(b" ", at + BLOCK)) if n >= 0]
+            cut = min(found, default=len(data) - 1) + 1
+        yield data[at:cut]
+        at = cut
+    if at < len(data):
+        yield data[at:]
 
 
 def _long(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """As `count_lines` for one long text: counts and codes of a cut line's parts add up."""
-    parts, whole = [], True
+    """As `count_lines` for one long text: counts and codes of a cut line's parts add up.
+
+    Words are not cut. Of the parts of a line, the last word of all before is kept.
+    """
+    parts, whole, last = [], True, None
     for block in _blocks(data + b"\n"):
-        counts, codes = count_lines(block if block.endswith(b"\n") else block + b"\n")
+        ended = block.endswith(b"\n")
+        counts, codes, words = _counted(block if ended else block + b"\n")
+        following = words[-1] if counts[-1, AT["words"]] else None
         if not whole:
+            if counts[0, AT["words"]]:
+                counts[0, AT["again"]] += last is not None and last == words[0]
+            elif len(counts) == 1:
+                following = last
             parts[-1][0][-1] += counts[0]
             parts[-1][1][-1:] += codes[:1]
             counts, codes = counts[1:], codes[1:]
         parts.append((counts, codes)) if len(counts) else None
-        whole = block.endswith(b"\n")
+        whole, last = ended, following
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
@@ -158,12 +180,12 @@ class Chains:
         place = np.empty(len(self.row), np.int64)
         place[self.row] = np.arange(len(self.row))
         self.place = place  # of each line among the chains
-        own = bins.astype(np.int64) + np.arange(MEASURES) * BINS
+        own = bins.astype(np.int16) + np.arange(MEASURES, dtype=np.int16) * BINS
         start = np.zeros(len(bins), bool)
         start[np.cumsum(lines) - lines] = True
         end = np.zeros(len(bins), bool)
         end[np.cumsum(lines) - 1] = True
-        none = PER_PLACE - 1
+        none = np.int16(PER_PLACE - 1)
         before = np.where(start[:, None], none, np.roll(own, 1, axis=0)) + PER_PLACE
         after = np.where(end[:, None], none, np.roll(own, -1, axis=0)) + 2 * PER_PLACE
         self.features = np.concatenate([own, before, after], axis=1)[self.row]
@@ -268,12 +290,24 @@ def _bins(column: pa.Array) -> pa.Array:
     return pa.array([measured([text])[0].tobytes() for text in _bytes(column)], pa.binary())
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", most: tuple[int, int] = MOST) -> Field:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    text: str = "text",
+    id: str = "doc_id",
+    most: tuple[int, int] = MOST,
+    most_lines: int = MOST_LINES,
+) -> Field:
     """The field; `labels` holds `_id` and `_label`, each id once."""
     sample, shares = sampled(labels, most)
     texts = sampled_texts(docs, sample, text, id)
-    lines = F.length(F.regexp_replace("_text", "[^\n]", "")) + 1
-    rows = texts.filter(lines <= TRAINING_LINES).select("_label", _bins(F.col("_text")).alias("bins")).toArrow()
+    digest = F.xxhash64(F.col("_id").cast("string")).alias("_digest")
+    found = settle(texts.select("_id", digest, "_label", _bins(F.col("_text")).alias("bins")), "examples")
+    # at most as many rows as the sample has, and two numbers each
+    before = F.sum(F.length("bins")).over(Window.orderBy("_digest", "_id").rowsBetween(Window.unboundedPreceding, -1))
+    some = found.withColumn("_before", F.coalesce(before, F.lit(0))).select("_id", "_before")
+    kept = found.join(F.broadcast(some.filter(F.col("_before") < most_lines * MEASURES)), "_id")
+    rows = kept.orderBy("_digest", "_id").select("_label", "bins").toArrow()
     return fit_bins(
         [np.frombuffer(b.as_py(), np.uint8).reshape(-1, MEASURES) for b in rows.column("bins")],
         rows.column("_label").to_numpy().astype(np.int64),

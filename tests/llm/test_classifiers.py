@@ -50,15 +50,37 @@ def test_neighbouring_lines_matter():
     assert middle != set(line_crf.Chains(*[x for i, x in enumerate(line_crf.measured([b"Good line.\n%%% $$$"])) if i != 1]).features[1].tolist())
 
 
-def test_blocks_of_a_long_text_add_up(monkeypatch):
-    text = b"Word word, WORD 12 | x\n" * 400 + b"tail " * 900 + b"\n" + b"y" * 5000 + b"\nEnd."
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_blocks_of_a_long_text_add_up(monkeypatch, block):
+    text = b"Word word, WORD 12 | x\n" * 400 + b"tail " * 900 + b"\n" + b"y" * 5000 + b"\n \t \x0b" + b" " * 90 + b"\nEnd end end."
     whole = line_crf.count_lines(text + b"\n")
-    monkeypatch.setattr(line_crf, "BLOCK", 1000)
+    monkeypatch.setattr(line_crf, "BLOCK", block)
     parts = line_crf._long(text)
-    same = [i for i, name in enumerate(line_crf.COUNTS) if name not in ("again", "bytes", "words")]
-    assert len(parts[0]) == len(whole[0]) and (parts[0][:, same] == whole[0][:, same]).all()
-    assert abs(parts[0] - whole[0]).max() <= 10  # what a cut may hide
-    assert parts[0][:400].tolist() == whole[0][:400].tolist()
+    assert np.array_equal(parts[0], whole[0]) and np.array_equal(parts[1], whole[1])
+
+
+def test_a_line_above_a_block_is_measured_as_any_other():
+    text = b"again again once " * 200_000 + b"\n" + b"short line\n" * 3
+    assert len(text) > 3 << 20
+    long, usual = line_crf.measured([text]), line_crf.measured([text, b"x"])
+    assert np.array_equal(long[0], usual[0][:-1]) and np.array_equal(long[1], usual[1][:-1])
+
+
+def test_long_examples_teach_and_lines_are_bounded(spark, documents):
+    bad = "BUY!! NOW!! $$$ %%%\n" * 5000
+    rows = [(i, f"A quiet line {i}.\nAnd another.") for i in range(20)] + [(100 + i, bad) for i in range(2)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "_id bigint, _label int")
+    docs = documents(*rows)
+    field = line_crf.fit(docs, labels)  # the only bad examples have 5,001 lines
+    assert field.share is None and field.quality([bad[:2000].encode()])[0] < 0.5 < field.quality([b"A quiet line 3.\nAnd another."])[0]
+    few = []
+    usual = line_crf.fit_bins
+    line_crf.fit_bins = lambda bins, *rest: few.append(len(bins)) or usual(bins, *rest)
+    try:
+        line_crf.fit(docs, labels, most_lines=3)
+    finally:
+        line_crf.fit_bins = usual
+    assert few[0] in (1, 2)
 
 
 def test_grams_are_distinct_and_whole(monkeypatch):
