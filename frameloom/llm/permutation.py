@@ -13,10 +13,11 @@ Every row is indexed. Queries go through the index in groups of about `GROUP`, w
 are broadcast; each pass reads the whole index, and a task keeps the best of its blocks.
 
 Vectors that are null, empty or zero or hold a null or a number that is not finite, and
-rows with a null id, take no part, and neither do those whose dimension is not the
-commonest (of several, the smallest). Of the rows of one id that are queries the one
-with the smallest vector asks; none of them is a candidate. Other repeated rows are
-candidates of their own. Ties go to the smaller id. An empty table gives an empty result.
+rows with a null id, take no part. Vectors of different dimensions have no distance: each
+dimension has an index of its own, and a query meets the vectors of its dimension. Of the
+rows of one id that are queries the one with the smallest vector asks; none of them is a
+candidate. Other repeated rows are candidates of their own. Ties go to the smaller id. An
+empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,10 +57,7 @@ def usable_rows(table: DataFrame, id: str, vector: str) -> DataFrame:
     """`id` and `vector` (doubles) of the rows that take part."""
     kinds = F.col(vector).cast("array<double>")
     rows = table.select(F.col(id).cast("bigint").alias("id"), kinds.alias("vector"))
-    rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
-    size = F.size("vector").alias("size")
-    commonest = rows.groupBy(size).count().orderBy(F.desc("count"), "size").first()
-    return rows.filter(F.size("vector") == (commonest["size"] if commonest else 0))
+    return rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
 
 
 def _stacked(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
@@ -161,19 +159,23 @@ def neighbours(
 ) -> DataFrame:
     """`query_id`, `rank`, `vec_id` and `score` for every row whose id `every` divides."""
     spark = table.sparkSession
-    rows = usable_rows(table, id, vector)
-    pivots = choose_pivots(rows)
-    index = build_index(rows, pivots)
-    asking = settle(rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")), "queries")
-    groups = -(-asking.count() // GROUP)
+    usable = usable_rows(table, id, vector)
     path = f"{work_folder(spark)}/neighbours-{uuid.uuid4().hex}"
     kinds = "query_id bigint, vec_id bigint, score double"
     spark.createDataFrame([], kinds).write.parquet(path)
-    for group in range(groups):
-        some = asking.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == group).toArrow()
-        if some.num_rows:
-            ids, vectors = some.column("id").to_numpy(), _stacked(some.column("vector"), some.num_rows)
-            search(index, pivots, ids, vectors, nearest).write.mode("append").parquet(path)
+    asking = usable.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
+    asking = settle(asking.withColumn("size", F.size("vector")), "queries")
+    for size, queries in sorted(map(tuple, asking.groupBy("size").count().collect())):
+        rows = usable.filter(F.size("vector") == size)
+        pivots = choose_pivots(rows)
+        index = build_index(rows, pivots)
+        groups = -(-queries // GROUP)
+        of_size = asking.filter(F.col("size") == size).drop("size")
+        for group in range(groups):
+            some = of_size.filter(F.pmod(F.xxhash64("id"), F.lit(groups)) == group).toArrow()
+            if some.num_rows:
+                ids, vectors = some.column("id").to_numpy(), _stacked(some.column("vector"), some.num_rows)
+                search(index, pivots, ids, vectors, nearest).write.mode("append").parquet(path)
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = spark.read.schema(kinds).parquet(path).withColumn("rank", F.row_number().over(by))
     return ranked.filter(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -72,3 +72,18 @@ def test_few_or_no_vectors(spark):
     assert found(permutation.neighbours(df).collect()) == {0: [(1, 1, 1.0)]}
     assert permutation.neighbours(df.limit(0)).count() == 0
     assert permutation.neighbours(df.filter("vec_id = 0")).count() == 0
+
+
+def test_vectors_meet_those_of_their_own_dimension(spark):
+    random = np.random.default_rng(4)
+    wide = {i: random.normal(size=5).astype(np.float32) for i in range(0, 300)}
+    narrow = {i: random.normal(size=3).astype(np.float32) for i in range(1000, 1130)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in [*wide.items(), *narrow.items()]], KINDS)
+    got = found(permutation.neighbours(df).collect())
+    assert set(got) == {0, 100, 200, 1000, 1100}
+    for query, best in got.items():
+        own = wide if query in wide else narrow
+        assert len(best) == 10 and {v for _, v, _ in best} <= set(own)
+    for query in (1000, 1100):  # so few are ranked whole
+        exact = brute(np.array(list(narrow)), np.array(list(narrow.values()), np.float64), query)
+        assert [(v, s) for _, v, s in got[query]] == exact
