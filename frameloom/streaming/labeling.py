@@ -24,15 +24,14 @@ def stream_posts(
 
 
 def stream_corpus(
-    spark: SparkSession, folder: str, schema: T.StructType, names: str = "*.parquet", max_files: int = 100
+    spark: SparkSession, folder: str, schema: T.StructType, names: str = "*.parquet", max_files: int | None = 100
 ) -> DataFrame:
-    """Parquet files of a folder as a stream; `names` is a file-name pattern."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", names)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(folder)
-    )
+    """Parquet files of a folder as a stream; `names` is a file-name pattern. Without
+    `max_files` a batch is all that has arrived."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", names)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(folder)
 
 
 def label_stream(
