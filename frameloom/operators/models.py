@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.contract import MAX_TERMS, NO_ACTOR, NOT_APPLICABLE, STRUCTURED_COLUMNS, VALENCE_COLUMN
-from frameloom.operators.features import Settle, TfidfVectorizer, count_terms, embedding_vector, with_class_weight
+from frameloom.operators.features import Settle, TfidfVectorizer, embedding_vector, split_documents, with_class_weight
 from frameloom.operators.folds import require_no_leak
 from frameloom.operators.metrics import best_model, confusion, metric_rows, metric_summary
 from frameloom.session import Scratch, settle
@@ -175,9 +175,9 @@ def fit_model(
     with Scratch(train.sparkSession, "fit") as scratch:
         if name not in TFIDF_MODELS:
             return fit_vectors(_with_vector(train, None, scratch), name, target, structured, seed)
-        counts = count_terms(train, scratch)
-        vectorizer = TfidfVectorizer.learn(counts, train.count(), settle, max_terms)
-        ready = vectorizer.transform(train.drop("text", "model_text"), scratch, target="_v", counts=counts)
+        documents = split_documents(train, scratch)
+        vectorizer = TfidfVectorizer.learn(documents, settle, max_terms)
+        ready = vectorizer.transform(train.drop("text", "model_text"), scratch, target="_v", documents=documents)
         return fit_vectors(ready, name, target, structured, seed, vectorizer)
 
 
@@ -238,7 +238,7 @@ def cross_validate(
 ) -> DataFrame:
     """Metrics of every model on every held-out fold, `parallelism` folds at a time.
 
-    `df` carries a `fold` column. Terms are counted once; in each fold both TF-IDF
+    `df` carries a `fold` column. Documents are split into words once; in each fold both TF-IDF
     models share one vocabulary, learned from its training rows, and one table of
     vectors. What a fold leaves behind is its confusion counts, a table of classes
     squared.
@@ -246,7 +246,7 @@ def cross_validate(
     by_input = {kind: [n for n in models if n in names] for kind, names in INPUTS.items()}
     with Scratch(df.sparkSession, "folds") as every:
         data = every(require_no_leak(df), "folds")
-        counts = count_terms(data, every, carry=["fold"]) if by_input["tfidf"] else {}
+        documents = split_documents(data, every, carry=["fold"]) if by_input["tfidf"] else None
 
         def run(fold: int) -> list[DataFrame]:
             learns, tables = F.col("fold") != fold, []
@@ -256,9 +256,8 @@ def cross_validate(
                         continue
                     ready = data
                     if kind == "tfidf":
-                        seen = {name: table.filter(learns) for name, table in counts.items()}
-                        learned = TfidfVectorizer.learn(seen, data.filter(learns).count(), scratch, max_terms)
-                        ready = learned.transform(data.drop("text", "model_text"), scratch, target="_v", counts=counts)
+                        learned = TfidfVectorizer.learn(documents.filter(learns), scratch, max_terms)
+                        ready = learned.transform(data.drop("text", "model_text"), scratch, target="_v", documents=documents)
                     elif kind == "embedding":
                         ready = _with_vector(data, None, scratch)
                     for name in names:

@@ -4,11 +4,12 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from frameloom.operators import features, folds, metrics, models
+from frameloom.operators import features, folds, metrics, models, terms
 from frameloom.session import settle
 
 TEXTS = ["The cat sat. The cat!", "a cat and the dog_1", "Öl und Cat", "", "x"]
@@ -54,6 +55,40 @@ def test_tfidf(spark, analyzer, rule):
     assert got == pytest.approx(tfidf_rule([rule(text) for text in TEXTS]))
 
 
+@pytest.mark.parametrize("analyzer, rule", [("word", word_rule), ("char", char_rule)])
+def test_totals_are_the_sums_of_the_weights(spark, analyzer, rule):
+    counts = [rule(text) for text in TEXTS]
+    expected = {}
+    for (number, term), weight in tfidf_rule(counts).items():
+        seen, tf, total = expected.get(term, (0, 0, 0.0))
+        expected[term] = (seen + 1, tf + counts[number][term], total + weight)
+    got = {r["term"]: tuple(r)[1:] for r in features.tfidf_totals(documents(spark), ["id"], analyzer=analyzer).collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[term] == pytest.approx(expected[term]) for term in got)
+
+
+@pytest.mark.parametrize("at_once", [1, 4, 100])
+def test_terms_are_counted_in_parts_of_few_words(monkeypatch, at_once):
+    monkeypatch.setattr(terms, "WORDS_AT_ONCE", at_once)
+    lists = [["a1", "b1", "a1"], [], None, ["öl"], ["a1"] * 9, ["x" * 9, "öl", "x" * 9]]
+    batch = pa.RecordBatch.from_pydict({"words": pa.array(lists, pa.list_(pa.string()))})
+    for name, rule in (("word", word_rule), ("char", char_rule)):
+        found, before = {}, 0
+        for part in terms.slices(batch, "words"):
+            counts = terms.ANALYZERS[name](part.column("words"))
+            for document, term, tf in zip(counts.document, counts.term, counts.tf):
+                found.setdefault(before + int(document), {})[counts.terms[int(term)].as_py()] = int(tf)
+            before += part.num_rows
+        assert before == len(lists)
+        assert [found.get(n, {}) for n in range(before)] == [dict(rule(" ".join(words or []))) for words in lists]
+
+
+def test_vectors_are_made_where_the_documents_are(spark):
+    split = features.split_documents(documents(spark), settle, ["id"])
+    plan = features.TfidfVectorizer.learn(split, settle).vectorize(split, ["id"])._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString() and "Aggregate" not in plan.toString()
+
+
 def test_vectorizer_uses_the_training_vocabulary(spark):
     vectorizer = features.TfidfVectorizer.fit(documents(spark), settle, ["id"])
     fresh = spark.createDataFrame([(7, "the cat"), (8, "zebra")], "id int, model_text string")
