@@ -73,4 +73,4 @@ def cut_ladder(text: Column, limits: Sequence[int] = TEXT_CUTS) -> Column:
     """The text at each limit, longest first, without repeats."""
     # What is left after one character more than the longest cut is never shown.
     enough = F.substring(strip(text), 1, max(limits) + 1)
-    return F.array_distinct(F.array(*[_cut(enough, limit) for limit in limits]))
+    return F.array_distinct(F.array(*[_cut(enough, limit) for limit in sorted(limits, reverse=True)]))

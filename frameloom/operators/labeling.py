@@ -6,8 +6,8 @@ prompts per row, longest text first, and returns one `(reply, cut, error)` per
 row: the raw reply, the index of the prompt that was accepted, and an error text
 when the row failed. A prompt is put together when it is looked at.
 
-A row's cuts travel to Python once, whatever the number of tasks, and beside them
-the frame of each prompt, unless it is the same for all rows; everything around the
+A row's longest cut travels to Python once, whatever the number of tasks, and beside it
+the sizes of the shorter ones and the frame of each prompt, unless it is the same for all rows; everything around the
 call is column expressions. There are at most three passes: first answers of all tasks, repairs of
 answers off the list, focal actors. Each pass adds columns to the rows of the pass
 before, so a row is asked once per pass and nothing is joined back. Rows that need
@@ -44,7 +44,7 @@ from frameloom.functions.prompts import (
     repair_prompt,
     valence_prompt,
 )
-from frameloom.functions.text import cut_ladder, strip
+from frameloom.functions.text import ELLIPSIS, cut_ladder, strip
 
 Answer = tuple[str | None, int, str | None]
 Answerer = Callable[[Sequence[Sequence[str]]], list[Answer]]
@@ -70,6 +70,20 @@ class Prompts(Sequence):
         return f"{self.before}{self.cuts[self.start + at]}{self.after}"
 
 
+class Cuts(Sequence):
+    """The cuts of a text from the longest one and the sizes of the others, each put together
+    when it is looked at. All but the longest end in an ellipsis."""
+
+    def __init__(self, longest: str, sizes: Sequence[int]):
+        self.longest, self.sizes = longest, sizes
+
+    def __len__(self) -> int:
+        return 1 + len(self.sizes)
+
+    def __getitem__(self, at: int) -> str:
+        return self.longest if at == 0 else self.longest[: self.sizes[at - 1] - len(ELLIPSIS)] + ELLIPSIS
+
+
 class TextTooLong(Exception):
     """Raised by an ask function when the prompt does not fit the model."""
 
@@ -139,16 +153,17 @@ def ask(
     def call(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         answerers = [labeler(task + suffix) for task in tasks]
         for batch in batches:
-            # a single column arrives as itself and not as a tuple of one
-            cuts, *rest = batch if isinstance(batch, tuple) else (batch,)
+            longest, sizes, *rest = batch
             given = dict(zip(sent, rest))
             begin = dict(zip(sent, rest[len(sent) :]))
-            failed = pd.Series(False, index=cuts.index)
+            failed = pd.Series(False, index=longest.index)
             columns = []
             for answer, task in zip(answerers, tasks):
-                frame = given.get(task, pd.Series(fixed.get(task), index=cuts.index, dtype=object))
+                frame = given.get(task, pd.Series(fixed.get(task), index=longest.index, dtype=object))
                 asked = frame.index[frame.notna() & ~failed]
-                prompts = [Prompts(frame[i], cuts[i], int(begin[task][i]) if task in begin else 0) for i in asked]
+                prompts = [
+                    Prompts(frame[i], Cuts(longest[i], sizes[i]), int(begin[task][i]) if task in begin else 0) for i in asked
+                ]
                 answers = answer(prompts) if prompts else []
                 names = [f"reply_{task}", f"cut_{task}", f"error_{task}"]
                 table = pd.DataFrame(answers, index=asked, columns=names).reindex(failed.index)
@@ -156,7 +171,9 @@ def ask(
                 columns.append(table.astype({names[1]: "Int32"}))
             yield pd.concat(columns, axis=1)
 
-    columns = [F.col("_cuts"), *(frames[task] for task in sent), *(starts[task] for task in sent if starts)]
+    # Shorter cuts are beginnings of the longest; only their sizes go along.
+    sizes = F.transform(F.slice("_cuts", F.lit(2), F.size("_cuts")), F.char_length)
+    columns = [F.get("_cuts", F.lit(0)), sizes, *(frames[task] for task in sent), *(starts[task] for task in sent if starts)]
     # Replies cost money and may differ: the optimizer must not repeat the call.
     return call.asNondeterministic()(*columns)
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameloom.contract import TASK_LABELS, VALENCES
+from frameloom.functions.text import cut_ladder
 from frameloom.operators import labeling
 from frameloom.operators.labeling import TextTooLong, try_shorter
 
@@ -218,3 +219,10 @@ def test_texts_too_long_are_shown_shorter(spark):
     assert all(got[i][0] == "yes" and 390 < got[i][1] <= 404 for i in (1, 4))
     limit = 10
     assert {r.failed for r in labeling.label_shown(rows, "DEM", labeler).collect()} == {True}
+
+
+def test_cuts_put_together_in_python_are_those_of_the_ladder(spark):
+    texts = ["", "short", "word " * 700, "x" * 4000, "x" * 1600 + " y" * 700, "ö ü\n" * 900, "a  b" * 800]
+    ladders = spark.createDataFrame([(t,) for t in texts], "t string").select(cut_ladder(F.col("t")).alias("c")).collect()
+    for (cuts,) in ladders:
+        assert list(labeling.Cuts(cuts[0], [len(cut) for cut in cuts[1:]])) == cuts
