@@ -10,17 +10,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-)
-from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.contract import MAX_TERMS, NO_ACTOR, NOT_APPLICABLE, STRUCTURED_COLUMNS, VALENCE_COLUMN
+from frameloom.operators import fitting
 from frameloom.operators.features import Settle, TfidfVectorizer, embedding_vector, split_documents, with_class_weight
 from frameloom.operators.folds import require_no_leak
 from frameloom.operators.metrics import best_model, confusion, metric_rows, metric_summary
@@ -32,7 +27,7 @@ REGULARIZATION_C = 1.0
 HIDDEN_LAYERS = (256, 64)
 MLP_ITERATIONS = 200
 SVM_ITERATIONS = 1000
-TOLERANCE = 1e-4
+TOLERANCE, MLP_TOLERANCE = 1e-4, 1e-6
 
 BASELINE = "majority_baseline"
 TFIDF_MODELS = ("tfidf_logistic_regression", "tfidf_linear_svm")
@@ -40,9 +35,8 @@ EMBEDDING_MODELS = ("embedding_logistic_regression", "embedding_linear_svm", "em
 MODELS = (BASELINE, *TFIDF_MODELS, *EMBEDDING_MODELS)
 #: What the models read.
 INPUTS = {"none": (BASELINE,), "tfidf": TFIDF_MODELS, "embedding": EMBEDDING_MODELS}
-#: Classes of a target at most, and training rows that are worth a task.
+#: Classes of a target at most.
 MAX_CLASSES = 1000
-ROWS_PER_TASK = 2000
 PREDICTED = "predicted"
 
 
@@ -71,38 +65,39 @@ def feature_stages(structured: Sequence[str], vector: str) -> list:
     ]
 
 
-def estimator(name: str, rows: int, inputs: int, classes: int, seed: int):
-    """The classifier behind a model name, set up for balanced classes and C = 1."""
-    columns = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p"}
-    penalty = 1.0 / (REGULARIZATION_C * rows)
-    if name.endswith("logistic_regression"):
-        return LogisticRegression(
-            **columns,
-            weightCol="class_weight",
-            regParam=penalty,
-            elasticNetParam=0.0,
-            standardization=False,
-            maxIter=MAX_ITERATIONS,
-            tol=TOLERANCE,
-        )
-    if name.endswith("linear_svm"):
-        binary = LinearSVC(regParam=penalty, standardization=False, maxIter=SVM_ITERATIONS, tol=TOLERANCE)
-        return OneVsRest(classifier=binary, weightCol="class_weight", parallelism=classes, **columns)
-    if name.endswith("mlp"):
-        return MultilayerPerceptronClassifier(
-            **columns, layers=[inputs, *HIDDEN_LAYERS, classes], maxIter=MLP_ITERATIONS, blockSize=64, seed=seed
-        )
-    raise ValueError(f"Unknown model {name}")
+def fit_classifiers(name: str, tables: Sequence[fitting.Table], seed: int) -> list[fitting.Classifier]:
+    """Fit what a model name stands for on each table, all at once, with C = 1."""
+    data = fitting.blocks(tables)
+    limit = MLP_ITERATIONS if name.endswith("mlp") else SVM_ITERATIONS if name.endswith("linear_svm") else MAX_ITERATIONS
+    try:
+        if name.endswith("mlp"):
+            found = fitting.perceptron(data, tables, HIDDEN_LAYERS, limit, MLP_TOLERANCE, seed)
+        elif name.endswith("linear_svm"):
+            found = fitting.support_vectors(data, tables, REGULARIZATION_C, limit, TOLERANCE)
+        elif name.endswith("logistic_regression"):
+            found = fitting.logistic_regression(data, tables, REGULARIZATION_C, limit, TOLERANCE)
+        else:
+            raise ValueError(f"Unknown model {name}")
+    finally:
+        data.unpersist()
+    if any(fitted.iterations >= limit for fitted in found):
+        warnings.warn(f"{name} stopped after {limit} iterations without converging.", stacklevel=3)
+    return found
 
 
 @dataclass(frozen=True)
 class Predictor:
-    """A fitted model: adds the predicted class to rows with the same inputs."""
+    """A fitted model: adds the predicted class to rows with the same inputs.
+
+    The pipeline makes the classifier's inputs. Without a classifier it predicts by itself,
+    as models that were saved before do.
+    """
 
     name: str
     target: str
     constant: str | None = None
     pipeline: PipelineModel | None = None
+    classifier: fitting.Classifier | None = None
     vectorizer: TfidfVectorizer | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -114,7 +109,10 @@ class Predictor:
         """As `predict`, for rows that have their vector as `_v` already."""
         if self.pipeline is None:
             return df.withColumn(PREDICTED, F.lit(self.constant))
-        return self.pipeline.transform(df)
+        inputs = self.pipeline.transform(df)
+        if self.classifier is None:
+            return inputs
+        return inputs.withColumn(PREDICTED, self.classifier.predicted(F.col("_x"), df.sparkSession))
 
     def save(self, path: str, spark: SparkSession) -> None:
         """Write the model as a folder: a small record, the pipeline, vocabularies."""
@@ -124,11 +122,14 @@ class Predictor:
             "target": self.target,
             "constant": self.constant,
             "pipeline": self.pipeline is not None,
+            "classes": list(self.classifier.classes) if self.classifier else None,
             "terms": list(terms),
             "size": self.vectorizer.size if self.vectorizer else 0,
         }
         if self.pipeline is not None:
             self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        if self.classifier is not None:
+            self.classifier.save(f"{path}/weights", spark)
         for analyzer, table in terms.items():
             table.write.mode("overwrite").parquet(f"{path}/terms-{analyzer}")
         line = spark.createDataFrame([(json.dumps(record),)], "value string")
@@ -138,11 +139,13 @@ class Predictor:
     def load(path: str, spark: SparkSession) -> Predictor:
         record = json.loads(spark.read.text(f"{path}/record").first()["value"])
         terms = {name: spark.read.parquet(f"{path}/terms-{name}") for name in record["terms"]}
+        classes = record.get("classes")
         return Predictor(
             record["name"],
             record["target"],
             constant=record["constant"],
             pipeline=PipelineModel.load(f"{path}/pipeline") if record["pipeline"] else None,
+            classifier=fitting.Classifier.load(f"{path}/weights", classes, spark) if classes else None,
             vectorizer=TfidfVectorizer(terms, record["size"]) if terms else None,
         )
 
@@ -190,40 +193,39 @@ def fit_vectors(
     vectorizer: TfidfVectorizer | None = None,
 ) -> Predictor:
     """Fit one model on rows that have their vector as `_v`."""
+    return fit_together([train], name, target, structured, seed, [vectorizer])[0]
+
+
+def fit_together(
+    trains: Sequence[DataFrame],
+    name: str,
+    target: str,
+    structured: Sequence[str],
+    seed: int,
+    vectorizers: Sequence[TfidfVectorizer | None],
+) -> list[Predictor]:
+    """As `fit_vectors`, for several training sets whose fits share their passes."""
     if name == BASELINE:
-        return Predictor(name, target, constant=train.select(majority_class(train, target)).first()[0])
-    classes = class_list(train, target)
-    extra = [] if name in TFIDF_MODELS else structured
-    with Scratch(train.sparkSession, "train") as scratch:
-        weighted = with_class_weight(train.select(target, "_v", *extra), target)
-        ready = scratch(weighted, "train")
-        rows = ready.count()
-        # A fit reads the rows once per iteration: no more tasks than they are worth.
-        ready = ready.coalesce(max(1, rows // ROWS_PER_TASK))
-        prepared = Pipeline(stages=feature_stages(extra, "_v")).fit(ready)
-        inputs = prepared.transform(ready).select("_x").first()["_x"].size
-        labels = StringIndexerModel.from_labels(classes, inputCol=target, outputCol="_y", handleInvalid="error")
-        model = estimator(name, rows, inputs, len(classes), seed)
-        back = IndexToString(inputCol="_p", outputCol=PREDICTED, labels=classes)
-        pipeline = Pipeline(stages=[*prepared.stages, labels, model, back]).fit(ready)
-        _report_unfinished(name, pipeline.stages[-2], model)
-        # The label index is only for fitting; prediction rows have no target.
-        fitted = PipelineModel([*pipeline.stages[: len(prepared.stages)], *pipeline.stages[-2:]])
-        # A fitted model keeps a summary with its session, which cannot be sent to tasks
-        # once the session has observed a query; a stored model has none.
-        fitted.write().save(f"{scratch.path}/model")
-        fitted = PipelineModel.load(f"{scratch.path}/model")
-    return Predictor(name, target, pipeline=fitted, vectorizer=vectorizer)
-
-
-def _report_unfinished(name: str, fitted, model) -> None:
-    """Warn of a fit that used all its iterations."""
-    limit = (model.getClassifier() if isinstance(model, OneVsRest) else model).getMaxIter()
-    for part in getattr(fitted, "models", [fitted]):
-        if part.hasSummary:
-            summary = part.summary() if callable(part.summary) else part.summary
-            if summary.totalIterations >= limit:
-                warnings.warn(f"{name} stopped after {limit} iterations without converging.", stacklevel=3)
+        return [Predictor(name, target, constant=train.select(majority_class(train, target)).first()[0]) for train in trains]
+    extra, deep = [] if name in TFIDF_MODELS else structured, name.endswith("mlp")
+    with Scratch(trains[0].sparkSession, "train") as scratch, ThreadPoolExecutor(len(trains)) as pool:
+
+        def table(train: DataFrame) -> tuple[PipelineModel, fitting.Table]:
+            classes = class_list(train, target)
+            weighted = with_class_weight(train.select(target, "_v", *extra), target)
+            ready = scratch(weighted, "train")
+            prepared = Pipeline(stages=feature_stages(extra, "_v")).fit(ready)
+            inputs = prepared.transform(ready).select("_x", target, F.lit(1.0) if deep else F.col("class_weight"))
+            width = inputs.first()["_x"].size
+            dense = deep or width <= fitting.DENSE_WIDTH
+            return prepared, fitting.Table(inputs, ready.count(), width, tuple(classes), dense)
+
+        pipelines, tables = zip(*pool.map(table, trains))
+        found = fit_classifiers(name, tables, seed)
+    return [
+        Predictor(name, target, pipeline=pipeline, classifier=classifier, vectorizer=vectorizer)
+        for pipeline, classifier, vectorizer in zip(pipelines, found, vectorizers)
+    ]
 
 
 def cross_validate(
@@ -236,7 +238,8 @@ def cross_validate(
     max_terms: int = MAX_TERMS,
     parallelism: int = 5,
 ) -> DataFrame:
-    """Metrics of every model on every held-out fold, `parallelism` folds at a time.
+    """Metrics of every model on every held-out fold, `parallelism` folds at a time, whose fits
+    share their passes over the rows.
 
     `df` carries a `fold` column. Documents are split into words once; in each fold both TF-IDF
     models share one vocabulary, learned from its training rows, and one table of
@@ -248,32 +251,40 @@ def cross_validate(
         data = every(require_no_leak(df), "folds")
         documents = split_documents(data, every, carry=["fold"]) if by_input["tfidf"] else None
 
-        def run(fold: int) -> list[DataFrame]:
-            learns, tables = F.col("fold") != fold, []
-            with Scratch(df.sparkSession, f"fold-{fold}") as scratch:
-                for kind, names in by_input.items():
-                    if not names:
-                        continue
-                    ready = data
+        def run(some: Sequence[int], kind: str, pool: ThreadPoolExecutor) -> list[DataFrame]:
+            """The confusion of some folds and the models that read one kind of input."""
+            learns = [F.col("fold") != fold for fold in some]
+            with Scratch(df.sparkSession, f"fold-{some[0]}") as scratch:
+
+                def inputs(learns: Column) -> DataFrame:
                     if kind == "tfidf":
                         learned = TfidfVectorizer.learn(documents.filter(learns), scratch, max_terms)
-                        ready = learned.transform(data.drop("text", "model_text"), scratch, target="_v", documents=documents)
-                    elif kind == "embedding":
-                        ready = _with_vector(data, None, scratch)
-                    for name in names:
-                        fitted = fit_vectors(ready.filter(learns), name, target, structured, seed)
-                        rows = fitted.predict_vectors(ready.filter(~learns)).select(
-                            F.lit(target).alias("target"),
-                            F.lit(name).alias("model"),
-                            F.lit(fold).alias("fold"),
-                            F.col(target).cast("string").alias("y_true"),
-                            F.col(PREDICTED).alias("y_pred"),
-                        )
-                        tables.append(settle(confusion(rows), "confusion"))
+                        return learned.transform(data.drop("text", "model_text"), scratch, target="_v", documents=documents)
+                    return _with_vector(data, None, scratch) if kind == "embedding" else data
+
+                def scored(name: str, fold: int, rows: DataFrame, fitted: Predictor) -> DataFrame:
+                    rows = fitted.predict_vectors(rows).select(
+                        F.lit(target).alias("target"),
+                        F.lit(name).alias("model"),
+                        F.lit(fold).alias("fold"),
+                        F.col(target).cast("string").alias("y_true"),
+                        F.col(PREDICTED).alias("y_pred"),
+                    )
+                    return settle(confusion(rows), "confusion")
+
+                ready, tables = list(pool.map(inputs, learns)), []
+                for name in by_input[kind]:
+                    trains = [rows.filter(by) for rows, by in zip(ready, learns)]
+                    fitted = fit_together(trains, name, target, structured, seed, [None] * len(some))
+                    held = [rows.filter(~by) for rows, by in zip(ready, learns)]
+                    tables += pool.map(scored, [name] * len(some), some, held, fitted)
             return tables
 
         with ThreadPoolExecutor(parallelism) as pool:
-            tables = [table for part in pool.map(run, range(1, folds + 1)) for table in part]
+            tables = []
+            for first in range(1, folds + 1, parallelism):
+                some = range(first, min(first + parallelism, folds + 1))
+                tables += [table for kind, names in by_input.items() if names for table in run(some, kind, pool)]
     return metric_rows(reduce(DataFrame.unionByName, tables))
 
 
