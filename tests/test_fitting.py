@@ -33,3 +33,20 @@ def test_folds_and_classes_share_their_passes(spark, monkeypatch):
     scores = settle(models.cross_validate(rows, ["embedding_linear_svm"], 2, "topic", []))
     assert len(passes) - alone < 2 * alone
     assert metrics.metric_summary(scores).filter("metric = 'accuracy'").first()["mean"] > 0.8
+
+
+def some_block(width=5, rows=12, classes=3):
+    some = np.random.default_rng(1)
+    x = some.normal(size=(rows, width)) * (some.random((rows, width)) < 0.5)
+    return fitting.Block(0, width, some.integers(0, classes, rows), some.random(rows), matrix=x)
+
+
+def test_perceptron_gradient_is_that_of_its_loss():
+    block, hidden = some_block(), (4, 3)
+    theta = np.random.default_rng(2).normal(size=6 * 4 + 5 * 3 + 4 * 3)
+
+    def loss(at):
+        return fitting.perceptron_loss(block, [0], at, hidden)
+
+    for n, step in enumerate(np.eye(len(theta)) * 1e-6):
+        assert loss(theta)[1 + n] == pytest.approx((loss(theta + step)[0] - loss(theta - step)[0]) / 2e-6, abs=1e-6)
