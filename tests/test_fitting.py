@@ -50,3 +50,12 @@ def test_perceptron_gradient_is_that_of_its_loss():
 
     for n, step in enumerate(np.eye(len(theta)) * 1e-6):
         assert loss(theta)[1 + n] == pytest.approx((loss(theta + step)[0] - loss(theta - step)[0]) / 2e-6, abs=1e-6)
+
+
+def test_sparse_rows_count_as_dense_ones():
+    block = some_block()
+    vectors = [Vectors.sparse(5, [(int(i), float(row[i])) for i in np.flatnonzero(row)]) for row in block.matrix]
+    sparse = fitting._block(0, 5, list(zip(vectors, block.y, block.weight)), dense=False)
+    theta = np.random.default_rng(3).normal(size=6 * 3)
+    for loss in (fitting.softmax_loss, fitting.hinge_loss):
+        assert loss(sparse, [0, 1, 2], theta) == pytest.approx(loss(block, [0, 1, 2], theta))
