@@ -59,3 +59,14 @@ def test_sparse_rows_count_as_dense_ones():
     theta = np.random.default_rng(3).normal(size=6 * 3)
     for loss in (fitting.softmax_loss, fitting.hinge_loss):
         assert loss(sparse, [0, 1, 2], theta) == pytest.approx(loss(block, [0, 1, 2], theta))
+
+
+def test_saved_perceptron_predicts_the_same(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(models, "MLP_ITERATIONS", 5)
+    rows, passes = labeled(spark), counted(monkeypatch)
+    fitted = models.fit_model(rows, "embedding_mlp", "topic", [])
+    assert passes  # one job for each loss
+    fitted.save(str(tmp_path / "model"), spark)
+    again = models.Predictor.load(str(tmp_path / "model"), spark)
+    found = [sorted(map(tuple, m.predict(rows).select("vec_id", F.col("predicted")).collect())) for m in (fitted, again)]
+    assert found[0] == found[1] and len(found[0]) == rows.count()
