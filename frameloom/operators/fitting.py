@@ -7,12 +7,14 @@ share it. What a task sends is as large as the gradients.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import RDD, Broadcast, StorageLevel
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +26,7 @@ DENSE_WIDTH = 4096
 BLOCK_ROWS, BLOCK_ENTRIES = 512, 1 << 19
 ROWS_PER_TASK, MOST_ROWS_PER_TASK = 2000, 20_000
 #: Gradients of all tasks together, in bytes, that the driver adds up by itself.
-DRIVER_BYTES = 16_000_000
+DRIVER_BYTES = 64_000_000
 #: Steps that shape a direction, trials along one, and values that must differ.
 MEMORY, TRIALS, VALUES = 10, 30, 20
 
@@ -56,7 +58,8 @@ class Block:
         """The transposed rows times `r`."""
         if self.matrix is not None:
             return self.matrix.T @ r
-        columns = [np.bincount(self.at, np.repeat(r[:, k], self.sizes) * self.values, self.width) for k in range(r.shape[1])]
+        own = np.repeat(np.arange(len(r)), self.sizes)
+        columns = [np.bincount(self.at, r[own, k] * self.values, self.width) for k in range(r.shape[1])]
         return np.stack(columns, axis=1)
 
 
@@ -71,6 +74,38 @@ def _block(table: int, width: int, rows: list[tuple], dense: bool) -> Block:
     return Block(table, width, y, weight, at=at.astype(np.int32), values=values, sizes=sizes)
 
 
+def entries(vectors: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of vectors by their fields: how many entries each has, and where and what these are."""
+    sizes = pc.list_value_length(vectors.field("values")).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = vectors.field("values").flatten().to_numpy(zero_copy_only=False)
+    at = (np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    sparse = vectors.field("type").to_numpy(zero_copy_only=False) == 0
+    if sparse.any():
+        at[np.repeat(sparse, sizes)] = vectors.field("indices").flatten().to_numpy(zero_copy_only=False)
+    return sizes, at, values
+
+
+def arrow_blocks(
+    table: int, width: int, vectors: pa.StructArray, y: np.ndarray, weight: np.ndarray, dense: bool, kind: type = np.float64
+) -> Iterator[Block]:
+    """As `_block`, of vectors by their fields; as many blocks as their entries take."""
+    for first in range(0, len(vectors), BLOCK_ROWS):
+        sizes, at, values = entries(vectors.slice(first, BLOCK_ROWS))
+        until, start = np.cumsum(np.full(len(sizes), width) if dense else sizes), 0
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        while start < len(sizes):
+            before = until[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(until, before + BLOCK_ENTRIES, "right")))
+            own, those, n = slice(ends[start], ends[end]), slice(first + start, first + end), sizes[start:end]
+            if dense:
+                matrix = np.zeros((end - start, width), kind)
+                matrix[np.repeat(np.arange(end - start), n), at[own]] = values[own]
+                yield Block(table, width, y[those], weight[those], matrix=matrix)
+            else:
+                yield Block(table, width, y[those], weight[those], at=at[own], values=values[own], sizes=n)
+            start = end
+
+
 @dataclass(frozen=True)
 class Table:
     """Training rows: a vector, a class and a weight; how many there are and how wide."""
@@ -80,6 +115,8 @@ class Table:
     width: int
     classes: tuple[str, ...]
     dense: bool
+    #: Of the numbers in a dense matrix.
+    kind: type = np.float64
 
 
 def blocks(tables: Sequence[Table]) -> RDD:
@@ -87,23 +124,20 @@ def blocks(tables: Sequence[Table]) -> RDD:
     context = tables[0].rows.sparkSession.sparkContext
 
     def cut(table: Table, which: int) -> RDD:
-        number = {name: n for n, name in enumerate(table.classes)}
-        width, dense = table.width, table.dense
-
-        def run(part: Iterator) -> Iterator[Block]:
-            held, entries = [], 0
-            for features, label, share in part:
-                held.append((features, number[label], share))
-                entries += width if dense else features.numNonzeros()
-                if len(held) == BLOCK_ROWS or entries >= BLOCK_ENTRIES:
-                    yield _block(which, width, held, dense)
-                    held, entries = [], 0
-            if held:
-                yield _block(which, width, held, dense)
+        width, dense, kind, classes = table.width, table.dense, table.kind, list(table.classes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors, label, weight = batch.columns
+                y = pc.index_in(label, value_set=pa.array(classes, label.type)).to_numpy(zero_copy_only=False)
+                for block in arrow_blocks(which, width, vectors, y, weight.to_numpy(zero_copy_only=False), dense, kind):
+                    yield pa.RecordBatch.from_pydict({"block": [pickle.dumps(block, pickle.HIGHEST_PROTOCOL)]})
 
         cores = -(-2 * context.defaultParallelism // len(tables))
         tasks = max(1, min(table.count // ROWS_PER_TASK, max(cores, table.count // MOST_ROWS_PER_TASK)))
-        return table.rows.repartition(tasks).rdd.mapPartitions(run)
+        # As fields, in Arrow: rows of vectors would be pickled entry by entry, with their schema in each batch.
+        fields = table.rows.toDF("_x", "_label", "_weight").withColumn("_x", F.unwrap_udt("_x"))
+        return fields.repartition(tasks).mapInArrow(run, "block binary").rdd.map(lambda row: pickle.loads(row[0]))
 
     return context.union([cut(table, n) for n, table in enumerate(tables)]).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -321,21 +355,26 @@ class Classifier:
     iterations: int = 0
     losses: tuple[float, ...] = ()
 
-    def score(self, vector) -> np.ndarray:
-        """The classes' scores of one vector."""
-        if isinstance(vector, SparseVector) and len(self.weights) == 1:
-            w = self.weights[0]
-            return vector.values @ w[vector.indices] + w[-1]
-        return activations(vector.toArray()[None, :], self.weights)[-1][0]
+    def best(self, vectors: pa.StructArray) -> np.ndarray:
+        """The number of the highest score's class, of vectors by their fields."""
+        width, found = len(self.weights[0]) - 1, [np.zeros(0, np.int64)]
+        nothing = np.zeros(len(vectors))
+        for block in arrow_blocks(0, width, vectors, nothing, nothing, len(self.weights) > 1 or width <= DENSE_WIDTH):
+            if block.matrix is None:
+                scores = block.times(self.weights[0][:-1]) + self.weights[0][-1]
+            else:
+                scores = activations(block.matrix, self.weights)[-1]
+            found.append(scores.argmax(axis=1))
+        return np.concatenate(found)
 
     def predicted(self, vector: Column, spark: SparkSession) -> Column:
         shared = spark.sparkContext.broadcast(self)
 
-        def run(x) -> str:
+        def run(vectors: pa.Array) -> pa.Array:
             model = shared.value
-            return model.classes[int(np.argmax(model.score(x)))]
+            return pa.array(model.classes, pa.string()).take(pa.array(model.best(vectors)))
 
-        return F.udf(run, "string", useArrow=False)(vector)
+        return F.arrow_udf(run, "string")(F.unwrap_udt(vector))
 
     def save(self, path: str, spark: SparkSession) -> None:
         """One row for each row of a matrix."""

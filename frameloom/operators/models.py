@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +50,11 @@ def feature_stages(structured: Sequence[str], vector: str) -> list:
     """One-hot structured columns beside a vector column, as `features`.
 
     The indexer keeps a last slot for unseen values and the encoder drops that
-    slot, so that an unseen value is all zeros.
+    slot, so that an unseen value is all zeros. A vector alone stays as it is: an
+    assembler would write a name for each of its slots into the schema.
     """
     if not structured:
-        return [VectorAssembler(inputCols=[vector], outputCol="_x")]
+        return [SQLTransformer(statement=f"select *, {vector} as _x from __THIS__")]
     indexed = [f"_i_{name}" for name in structured]
     slots = [f"_s_{name}" for name in structured]
     return [

@@ -61,6 +61,21 @@ def test_sparse_rows_count_as_dense_ones():
         assert loss(sparse, [0, 1, 2], theta) == pytest.approx(loss(block, [0, 1, 2], theta))
 
 
+def test_wide_vectors_reach_the_blocks_without_names_of_their_slots(spark):
+    width = 5000
+    some = [Vectors.sparse(width, [(n, 1.0), (width - 1, 0.5 * n)]) for n in range(8)] + [Vectors.dense(np.arange(width) * 1.0)]
+    rows = spark.createDataFrame([(v, f"class {n % 2}", 1.0 + n) for n, v in enumerate(some)], ["_v", "label", "weight"])
+    inputs = models.Pipeline(stages=models.feature_stages([], "_v")).fit(rows).transform(rows).select("_x", "label", "weight")
+    assert len(inputs.schema.json()) < 1000  # it went with every batch of rows that was pickled
+    for dense in (False, True):
+        blocks = fitting.blocks([fitting.Table(inputs, 9, width, ("class 0", "class 1"), dense)]).collect()
+        w = np.random.default_rng(4).normal(size=(width, 2))
+        found = {float(n): (y, z) for b in blocks for n, y, z in zip(b.weight, b.y, b.times(w))}
+        assert {n: y for n, (y, _) in found.items()} == {1.0 + n: n % 2 for n in range(9)}
+        for n, v in enumerate(some):
+            assert found[1.0 + n][1] == pytest.approx(v.toArray() @ w)
+
+
 def test_saved_perceptron_predicts_the_same(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(models, "MLP_ITERATIONS", 5)
     rows, passes = labeled(spark), counted(monkeypatch)
