@@ -189,7 +189,7 @@ def _cross_entropy(z: np.ndarray, block: Block) -> tuple[float, np.ndarray]:
     z = z - z.max(axis=1, keepdims=True)
     p = np.exp(z)
     total = p.sum(axis=1, keepdims=True)
-    loss = float(block.weight @ (np.log(total[:, 0]) - z[rows, block.y]))
+    loss = float(block.weight @ (np.log(total[:, 0]) - z[rows, block.y]).astype(np.float64))
     p /= total
     p[rows, block.y] -= 1.0
     p *= block.weight[:, None]
@@ -220,7 +220,8 @@ def activations(x: np.ndarray, weights: Sequence[np.ndarray]) -> list[np.ndarray
         z = out[-1] @ w[:-1]
         z += w[-1]
         if n < len(weights) - 1:
-            np.clip(np.negative(z, z), -700.0, 700.0, z)
+            most = 700.0 if z.dtype == np.float64 else 80.0  # of what has a finite exponential
+            np.clip(np.negative(z, z), -most, most, z)
             np.exp(z, z)
             z += 1.0
             np.reciprocal(z, z)
@@ -229,8 +230,10 @@ def activations(x: np.ndarray, weights: Sequence[np.ndarray]) -> list[np.ndarray
 
 
 def perceptron_loss(block: Block, which: Sequence[int], thetas: np.ndarray, hidden: Sequence[int]) -> np.ndarray:
+    """Logistic loss behind the layers, counted with numbers of the matrix's kind; blocks are added up in doubles."""
     before = sum((a + 1) * b for a, b in zip([block.width, *hidden], hidden))
-    weights = layer_weights(thetas, [block.width, *hidden, (len(thetas) - before) // (hidden[-1] + 1)])
+    layers = [block.width, *hidden, (len(thetas) - before) // (hidden[-1] + 1)]
+    weights = layer_weights(thetas.astype(block.matrix.dtype, copy=False), layers)
     seen = activations(block.matrix, weights)
     loss, r = _cross_entropy(seen[-1], block)
     found: list[np.ndarray] = []

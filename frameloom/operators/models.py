@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -219,7 +220,8 @@ def fit_together(
             inputs = prepared.transform(ready).select("_x", target, F.lit(1.0) if deep else F.col("class_weight"))
             width = inputs.first()["_x"].size
             dense = deep or width <= fitting.DENSE_WIDTH
-            return prepared, fitting.Table(inputs, ready.count(), width, tuple(classes), dense)
+            kind = np.float32 if deep else np.float64  # embeddings are 32-bit numbers themselves
+            return prepared, fitting.Table(inputs, ready.count(), width, tuple(classes), dense, kind)
 
         pipelines, tables = zip(*pool.map(table, trains))
         found = fit_classifiers(name, tables, seed)

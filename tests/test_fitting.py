@@ -1,5 +1,7 @@
 """Classifiers that are fitted by passes over blocks of rows."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -52,6 +54,20 @@ def test_perceptron_gradient_is_that_of_its_loss():
         assert loss(theta)[1 + n] == pytest.approx((loss(theta + step)[0] - loss(theta - step)[0]) / 2e-6, abs=1e-6)
 
 
+def test_perceptron_counts_with_numbers_as_wide_as_an_embeddings(spark, monkeypatch):
+    some, plain = [], fitting.perceptron_loss
+    block, hidden = some_block(), (4, 3)
+    single = dataclasses.replace(block, matrix=block.matrix.astype(np.float32))
+    for size in (1.0, 500.0):  # the second fills the sigmoids
+        theta = size * np.random.default_rng(2).normal(size=6 * 4 + 5 * 3 + 4 * 3)
+        assert plain(single, [0], theta, hidden) == pytest.approx(plain(block, [0], theta, hidden), rel=1e-4, abs=1e-3)
+    monkeypatch.setattr(models, "MLP_ITERATIONS", 2)
+    blocks = fitting.blocks
+    monkeypatch.setattr(fitting, "blocks", lambda tables: some.append(blocks(tables)) or some[0])
+    models.fit_model(labeled(spark), "embedding_mlp", "topic", [])
+    assert some[0].map(lambda block: str(block.matrix.dtype)).distinct().collect() == ["float32"]
+
+
 def test_sparse_rows_count_as_dense_ones():
     block = some_block()
     vectors = [Vectors.sparse(5, [(int(i), float(row[i])) for i in np.flatnonzero(row)]) for row in block.matrix]
