@@ -92,6 +92,19 @@ def test_wide_vectors_reach_the_blocks_without_names_of_their_slots(spark):
             assert found[1.0 + n][1] == pytest.approx(v.toArray() @ w)
 
 
+def test_predictions_are_made_batch_by_batch(spark):
+    some = np.random.default_rng(6)
+    for width, sizes in ((5000, [(5001, 3)]), (4, [(5, 3)]), (4, [(5, 6), (7, 3)])):
+        weights = tuple(some.normal(size=size) for size in sizes)
+        vectors = [Vectors.sparse(width, [(n, 1.0), (width - 1, -0.5)]) for n in range(3)]
+        vectors += [Vectors.dense(some.normal(size=width)), Vectors.sparse(width, [])]
+        rows = spark.createDataFrame(list(enumerate(vectors)), ["n", "v"])
+        found = rows.select("n", fitting.Classifier(weights, ("a", "b", "c")).predicted(F.col("v"), spark).alias("p"))
+        assert "ArrowEvalPython" in found._jdf.queryExecution().toString()  # a row of its own for Python before
+        wanted = ["abc"[fitting.activations(v.toArray()[None, :], weights)[-1].argmax()] for v in vectors]
+        assert [row.p for row in found.orderBy("n").collect()] == wanted
+
+
 def test_saved_perceptron_predicts_the_same(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(models, "MLP_ITERATIONS", 5)
     rows, passes = labeled(spark), counted(monkeypatch)
