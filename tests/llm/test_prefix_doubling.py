@@ -125,3 +125,31 @@ def test_ranks_of_cut_ranges(spark, batch):
     assert {r.uid for r in got} == {i for i, k in enumerate(keys) if counts[k] > 1}
     assert len({r.rank for r in got}) == sum(n > 1 for n in counts.values()) == sum(r["first"] for r in got)
     assert sorted(got, key=lambda r: r.uid) == sorted(got, key=lambda r: (r.rank, r.uid))
+
+
+def test_strings_leave_a_task_packed_and_one_of_each_digest(spark):
+    some = random.Random(7)
+    hot = prose(some, 90).encode()
+    texts = [prose(some, 60).encode() + hot[n % 5 :] + prose(some, 60).encode() for n in range(40)]
+    counted = [len(prefix_doubling.marks(np.frombuffer(text, np.uint8))) for text in texts]
+    rows = [(n, bytearray(text), 1, [m * 256 + 9 for m in range(counted[n])]) for n, text in enumerate(texts)]  # all may repeat
+    given = spark.createDataFrame(rows, "uid long, text binary, copies long, codes array<long>").coalesce(1)
+    packed = prefix_doubling._strings(given, 400, 2)
+    found = packed.collect()  # a row for each string before
+    assert [(row.part, row.known is None) for row in found] == [(0, True), (1, True), (0, False)]
+    asked = np.concatenate([np.frombuffer(bytes(row.asked), prefix_doubling._ASKED) for row in found[:2]])
+    assert len(np.unique(asked[["a", "b"]])) == len(asked)
+    codes = sorted((row.uid, row.code >> 8) for row in prefix_doubling._repeated(packed, 2).collect())
+    places = [(uid, at) for uid, text in enumerate(texts) for at in range(len(text) - 399)]
+    counts = Counter(texts[uid][at : at + 400] for uid, at in places)
+    assert codes == [(uid, at) for uid, at in places if counts[texts[uid][at : at + 400]] > 1] != []
+
+
+def test_texts_of_a_batch_are_looked_at_together():
+    texts = [text.encode() for text in passages(3)]
+    bounds = np.concatenate([[0], np.cumsum([len(text) for text in texts])])
+    found = prefix_doubling.Letters(np.frombuffer(b"".join(texts), np.uint8), bounds, 400)
+    for n, text in enumerate(texts):
+        own = slice(found.firsts[n], found.firsts[n + 1])
+        wanted = prefix_doubling.marks(np.frombuffer(text, np.uint8))
+        assert (found.starts[own] + prefix_doubling.REACH - bounds[n] == wanted).all() and (found.own[own] == n).all()
