@@ -119,11 +119,19 @@ class Table:
     kind: type = np.float64
 
 
+def task_counts(rows: Sequence[int], cores: int) -> list[int]:
+    """Tasks of each table, the larger tasks first: all cores get equally many, each worth a task."""
+    rounds = max(2, -(-sum(rows) // (MOST_ROWS_PER_TASK * cores)))
+    even, more = divmod(rounds * cores, len(rows))
+    wanted = [even + (n >= len(rows) - more) for n in range(len(rows))]
+    return [max(1, min(n // ROWS_PER_TASK, max(some, n // MOST_ROWS_PER_TASK))) for n, some in zip(rows, wanted)]
+
+
 def blocks(tables: Sequence[Table]) -> RDD:
     """The rows in even partitions: enough to use all cores, but each worth a task."""
     context = tables[0].rows.sparkSession.sparkContext
 
-    def cut(table: Table, which: int) -> RDD:
+    def cut(table: Table, which: int, tasks: int) -> RDD:
         width, dense, kind, classes = table.width, table.dense, table.kind, list(table.classes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +141,12 @@ def blocks(tables: Sequence[Table]) -> RDD:
                 for block in arrow_blocks(which, width, vectors, y, weight.to_numpy(zero_copy_only=False), dense, kind):
                     yield pa.RecordBatch.from_pydict({"block": [pickle.dumps(block, pickle.HIGHEST_PROTOCOL)]})
 
-        cores = -(-2 * context.defaultParallelism // len(tables))
-        tasks = max(1, min(table.count // ROWS_PER_TASK, max(cores, table.count // MOST_ROWS_PER_TASK)))
         # As fields, in Arrow: rows of vectors would be pickled entry by entry, with their schema in each batch.
         fields = table.rows.toDF("_x", "_label", "_weight").withColumn("_x", F.unwrap_udt("_x"))
         return fields.repartition(tasks).mapInArrow(run, "block binary").rdd.map(lambda row: pickle.loads(row[0]))
 
-    return context.union([cut(table, n) for n, table in enumerate(tables)]).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = task_counts([table.count for table in tables], context.defaultParallelism)
+    return context.union([cut(table, n, tasks[n]) for n, table in enumerate(tables)]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def summed(rdd: RDD, run: Callable[[Block], np.ndarray], size: int = 0) -> dict[int, np.ndarray]:

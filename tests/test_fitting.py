@@ -37,6 +37,13 @@ def test_folds_and_classes_share_their_passes(spark, monkeypatch):
     assert metrics.metric_summary(scores).filter("metric = 'accuracy'").first()["mean"] > 0.8
 
 
+def test_a_pass_leaves_no_core_without_a_task(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(fitting.task_counts([16_000] * (cores + 1), cores)) == 2 * cores  # two more before
+    assert [fitting.task_counts([n] * 5, 12) for n in (82_000, 100)] == [[4, 5, 5, 5, 5], [1] * 5]
+    assert fitting.task_counts([4_000_000, 10_000], 4) == [200, 5]
+
+
 def some_block(width=5, rows=12, classes=3):
     some = np.random.default_rng(1)
     x = some.normal(size=(rows, width)) * (some.random((rows, width)) < 0.5)
