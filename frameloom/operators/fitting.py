@@ -25,6 +25,8 @@ DENSE_WIDTH = 4096
 #: Rows of a block at most, and entries of a sparse one; rows that make a further task.
 BLOCK_ROWS, BLOCK_ENTRIES = 512, 1 << 19
 ROWS_PER_TASK, MOST_ROWS_PER_TASK = 2000, 20_000
+#: Rows that make a further task where vectors are wide and sparse, with some thousand entries.
+WIDE_ROWS_PER_TASK = 100
 #: Gradients of all tasks together, in bytes, that the driver adds up by itself.
 DRIVER_BYTES = 64_000_000
 #: Steps that shape a direction, trials along one, and values that must differ.
@@ -47,19 +49,18 @@ class Block:
     def times(self, w: np.ndarray) -> np.ndarray:
         if self.matrix is not None:
             return self.matrix @ w
-        out, there = np.zeros((len(self.y), w.shape[1])), np.flatnonzero(self.sizes)
-        if len(there):
-            starts = (np.cumsum(self.sizes) - self.sizes)[there]
-            for k in range(w.shape[1]):
-                out[there, k] = np.add.reduceat(np.ascontiguousarray(w[:, k])[self.at] * self.values, starts)
+        # Row by row: its weights, side by side in memory, are at hand when they are multiplied.
+        w, out = np.ascontiguousarray(w, self.values.dtype), np.zeros((len(self.y), w.shape[1]))
+        for n, (end, size) in enumerate(zip(np.cumsum(self.sizes).tolist(), self.sizes.tolist())):
+            out[n] = self.values[end - size : end] @ w.take(self.at[end - size : end], axis=0)
         return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
         """The transposed rows times `r`."""
         if self.matrix is not None:
             return self.matrix.T @ r
-        own = np.repeat(np.arange(len(r)), self.sizes)
-        columns = [np.bincount(self.at, r[own, k] * self.values, self.width) for k in range(r.shape[1])]
+        at = self.at.astype(np.intp)
+        columns = [np.bincount(at, np.repeat(column, self.sizes) * self.values, self.width) for column in r.T]
         return np.stack(columns, axis=1)
 
 
@@ -102,7 +103,7 @@ def arrow_blocks(
                 matrix[np.repeat(np.arange(end - start), n), at[own]] = values[own]
                 yield Block(table, width, y[those], weight[those], matrix=matrix)
             else:
-                yield Block(table, width, y[those], weight[those], at=at[own], values=values[own], sizes=n)
+                yield Block(table, width, y[those], weight[those], at=at[own], values=values[own].astype(kind), sizes=n)
             start = end
 
 
@@ -115,16 +116,20 @@ class Table:
     width: int
     classes: tuple[str, ...]
     dense: bool
-    #: Of the numbers in a dense matrix.
+    #: Of the numbers in a matrix.
     kind: type = np.float64
+    #: Makes, inside a task, batches of a class, a weight and a vector's fields of the rows' batches.
+    maker: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None
 
 
-def task_counts(rows: Sequence[int], cores: int) -> list[int]:
-    """Tasks of each table, the larger tasks first: all cores get equally many, each worth a task."""
+def task_counts(rows: Sequence[int], cores: int, least: Sequence[int] | None = None) -> list[int]:
+    """Tasks of each table, the larger tasks first: all cores get equally many, each worth a task
+    by the `least` rows of one."""
     rounds = max(2, -(-sum(rows) // (MOST_ROWS_PER_TASK * cores)))
     even, more = divmod(rounds * cores, len(rows))
     wanted = [even + (n >= len(rows) - more) for n in range(len(rows))]
-    return [max(1, min(n // ROWS_PER_TASK, max(some, n // MOST_ROWS_PER_TASK))) for n, some in zip(rows, wanted)]
+    least = least or [ROWS_PER_TASK] * len(rows)
+    return [max(1, min(n // few, max(some, n // MOST_ROWS_PER_TASK))) for n, some, few in zip(rows, wanted, least)]
 
 
 def blocks(tables: Sequence[Table]) -> RDD:
@@ -133,19 +138,23 @@ def blocks(tables: Sequence[Table]) -> RDD:
 
     def cut(table: Table, which: int, tasks: int) -> RDD:
         width, dense, kind, classes = table.width, table.dense, table.kind, list(table.classes)
+        maker = table.maker or (lambda batches: batches)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                vectors, label, weight = batch.columns
+            for batch in maker(batches):
+                label, weight, vectors = batch.columns
                 y = pc.index_in(label, value_set=pa.array(classes, label.type)).to_numpy(zero_copy_only=False)
                 for block in arrow_blocks(which, width, vectors, y, weight.to_numpy(zero_copy_only=False), dense, kind):
                     yield pa.RecordBatch.from_pydict({"block": [pickle.dumps(block, pickle.HIGHEST_PROTOCOL)]})
 
-        # As fields, in Arrow: rows of vectors would be pickled entry by entry, with their schema in each batch.
-        fields = table.rows.toDF("_x", "_label", "_weight").withColumn("_x", F.unwrap_udt("_x"))
-        return fields.repartition(tasks).mapInArrow(run, "block binary").rdd.map(lambda row: pickle.loads(row[0]))
+        rows = table.rows
+        if table.maker is None:
+            # As fields, in Arrow: rows of vectors would be pickled entry by entry, with their schema in each batch.
+            rows = rows.toDF("_x", "_label", "_weight").select("_label", "_weight", F.unwrap_udt("_x").alias("_x"))
+        return rows.repartition(tasks).mapInArrow(run, "block binary").rdd.map(lambda row: pickle.loads(row[0]))
 
-    tasks = task_counts([table.count for table in tables], context.defaultParallelism)
+    least = [ROWS_PER_TASK if table.dense else WIDE_ROWS_PER_TASK for table in tables]
+    tasks = task_counts([table.count for table in tables], context.defaultParallelism, least)
     return context.union([cut(table, n, tasks[n]) for n, table in enumerate(tables)]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -179,14 +188,12 @@ def _split(theta: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def softmax_loss(block: Block, which: Sequence[int], thetas: np.ndarray) -> np.ndarray:
-    """Multinomial logistic loss; of two classes with a single column of coefficients."""
+    """Multinomial logistic loss; the first class has no column of coefficients, its score is 0."""
     columns = len(thetas) // (block.width + 1)
     w, b = _split(thetas.reshape(block.width + 1, columns), block.width)
     z = block.times(w) + b
-    if columns == 1:
-        z = np.hstack([np.zeros_like(z), z])
-    loss, r = _cross_entropy(z, block)
-    r = r[:, -columns:]
+    loss, r = _cross_entropy(np.hstack([np.zeros((len(z), 1)), z]), block)
+    r = r[:, 1:]
     return np.concatenate([[loss], block.back(r).ravel(), r.sum(0)])
 
 
@@ -377,12 +384,15 @@ class Classifier:
             found.append(scores.argmax(axis=1))
         return np.concatenate(found)
 
+    def labels(self, vectors: pa.StructArray) -> pa.Array:
+        """The predicted classes of vectors by their fields."""
+        return pa.array(self.classes, pa.string()).take(pa.array(self.best(vectors)))
+
     def predicted(self, vector: Column, spark: SparkSession) -> Column:
         shared = spark.sparkContext.broadcast(self)
 
         def run(vectors: pa.Array) -> pa.Array:
-            model = shared.value
-            return pa.array(model.classes, pa.string()).take(pa.array(model.best(vectors)))
+            return shared.value.labels(vectors)
 
         return F.arrow_udf(run, "string")(F.unwrap_udt(vector))
 
@@ -404,7 +414,8 @@ class Classifier:
 
 def _scaled(table: int, label: int, moments: np.ndarray, width: int, columns: int, penalty: float) -> Problem:
     """A linear model with squared coefficients as a penalty. The points are those of centered,
-    scaled features where these are dense, which changes the way but not the goal."""
+    scaled features where these are dense, which changes the way but not the goal. Of several
+    columns, which are of classes, only the differences from the first one reach the rows."""
     mean, scale, (count, _), sums = np.zeros(width), np.ones(width), moments[:2], moments[2:]
     if len(sums):
         mean = sums[:width] / count
@@ -415,10 +426,12 @@ def _scaled(table: int, label: int, moments: np.ndarray, width: int, columns: in
         theta = point.reshape(width + 1, columns).copy()
         theta[:width] /= scale[:, None]
         theta[width] -= np.einsum("i,ik->k", mean, theta[:width])
-        return theta.ravel()
+        return (theta[:, 1:] - theta[:, :1] if columns > 1 else theta).ravel()
 
     def outer(point: np.ndarray, value: float, gradient: np.ndarray) -> tuple[float, np.ndarray]:
-        g, w = gradient.reshape(width + 1, columns).copy(), point.reshape(width + 1, columns)[:width] / scale[:, None]
+        g, w = gradient.reshape(width + 1, -1).copy(), point.reshape(width + 1, columns)[:width] / scale[:, None]
+        if columns > 1:
+            g = np.hstack([-g.sum(axis=1, keepdims=True), g])
         g[:width] = (g[:width] - mean[:, None] * g[width] + penalty * w) / scale[:, None]
         return value + 0.5 * penalty * float((w * w).sum()), g.ravel()
 
@@ -438,10 +451,11 @@ def logistic_regression(rdd: RDD, tables: Sequence[Table], strength: float, limi
         _scaled(n, 0, moments[n], t.width, columns[n], 1.0 / (strength * t.count)) for n, t in enumerate(tables)
     ]
     solved = minimize(rdd, softmax_loss, problems, {n: m[1] for n, m in moments.items()}, limit, tolerance)
-    for table, size, (theta, iterations, value) in zip(tables, columns, solved):
-        w = theta.reshape(table.width + 1, size)
-        if len(table.classes) == 2:
-            w = np.hstack([np.zeros_like(w), w])
+    for table, (theta, iterations, value) in zip(tables, solved):
+        w = theta.reshape(table.width + 1, -1)
+        w = np.hstack([np.zeros((len(w), 1)), w])[:, : len(table.classes)]
+        if len(table.classes) > 2:
+            w -= w.mean(axis=1, keepdims=True)  # where the penalty is least
         out.append(Classifier((w,), table.classes, iterations, (value,)))
     return out
 

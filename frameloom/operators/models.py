@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import json
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from frameloom.contract import MAX_TERMS, NO_ACTOR, NOT_APPLICABLE, STRUCTURED_COLUMNS, VALENCE_COLUMN
+from frameloom.contract import APPLICATION_KEY, MAX_TERMS, NO_ACTOR, NOT_APPLICABLE, STRUCTURED_COLUMNS, VALENCE_COLUMN
 from frameloom.operators import fitting
-from frameloom.operators.features import Settle, TfidfVectorizer, embedding_vector, split_documents, with_class_weight
+from frameloom.operators.features import (
+    Settle,
+    TfidfVectorizer,
+    embedding_vector,
+    split_documents,
+    with_class_weight,
+    words_of,
+)
 from frameloom.operators.folds import require_no_leak
 from frameloom.operators.metrics import best_model, confusion, metric_rows, metric_summary
 from frameloom.session import Scratch, settle
@@ -105,8 +114,22 @@ class Predictor:
     def predict(self, df: DataFrame) -> DataFrame:
         if self.pipeline is None:
             return df.withColumn(PREDICTED, F.lit(self.constant))
+        if self.vectorizer is not None and self.classifier is not None:
+            return df.drop(PREDICTED).join(settle(self.predict_documents(words_of(df)), "predicted"), list(APPLICATION_KEY))
         return self.predict_vectors(_with_vector(df, self.vectorizer, settle)).select(*df.columns, PREDICTED)
 
+    def predict_documents(self, documents: DataFrame, key: Sequence[str] = APPLICATION_KEY) -> DataFrame:
+        """`key` and the predicted class of split documents; a document's vector does not leave its task."""
+        maker, shared = self.vectorizer.maker(key), documents.sparkSession.sparkContext.broadcast(self.classifier)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in maker(batches):
+                found = shared.value.labels(part.column("features"))
+                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in key), found], names=[*key, PREDICTED])
+
+        kinds = StructType([*(documents.schema[name] for name in key), StructField(PREDICTED, StringType())])
+        return self.vectorizer.needed(documents, key).mapInArrow(run, kinds)
+
     def predict_vectors(self, df: DataFrame) -> DataFrame:
         """As `predict`, for rows that have their vector as `_v` already."""
         if self.pipeline is None:
@@ -180,10 +203,27 @@ def fit_model(
     with Scratch(train.sparkSession, "fit") as scratch:
         if name not in TFIDF_MODELS:
             return fit_vectors(_with_vector(train, None, scratch), name, target, structured, seed)
-        documents = split_documents(train, scratch)
+        documents = split_documents(train, scratch, carry=[target])
         vectorizer = TfidfVectorizer.learn(documents, settle, max_terms)
-        ready = vectorizer.transform(train.drop("text", "model_text"), scratch, target="_v", documents=documents)
-        return fit_vectors(ready, name, target, structured, seed, vectorizer)
+        return fit_documents(documents, name, target, seed, vectorizer)
+
+
+def fit_documents(documents: DataFrame, name: str, target: str, seed: int, vectorizer: TfidfVectorizer) -> Predictor:
+    """Fit one model on split documents that carry their class; their vectors are made where the
+    blocks of the fit are, and nowhere else."""
+    weighted = with_class_weight(documents, target)
+    table = fitting.Table(
+        vectorizer.needed(weighted, [target, "class_weight"]),
+        documents.count(),
+        vectorizer.size,
+        tuple(class_list(documents, target)),
+        vectorizer.size <= fitting.DENSE_WIDTH,
+        np.float64 if vectorizer.size <= fitting.DENSE_WIDTH else np.float32,
+        vectorizer.maker([target, "class_weight"]),
+    )
+    pipeline = PipelineModel(feature_stages([], "_v"))
+    found = fit_classifiers(name, [table], seed)[0]
+    return Predictor(name, target, pipeline=pipeline, classifier=found, vectorizer=vectorizer)
 
 
 def fit_vectors(

@@ -40,14 +40,25 @@ def slices(batch: pa.RecordBatch, words: str) -> Iterator[pa.RecordBatch]:
         start = end
 
 
+def _in_order(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, each with its times; as one number where both fit, which sorts faster."""
+    if not len(key):
+        return key, times
+    bits = int(times.max()).bit_length()
+    if int(key.max()).bit_length() + bits < 64:
+        both = np.sort(key << bits | times)
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(key)
+    return key[order], times[order]
+
+
 def _summed(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and the sum of the times of each."""
     if not len(key):
         return key, times
-    order = np.argsort(key)
-    key = key[order]
+    key, times = _in_order(key, times)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[starts], np.add.reduceat(times[order], starts)
+    return key[starts], np.add.reduceat(times, starts)
 
 
 def _encoded(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -78,6 +89,12 @@ def _pieces(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """So many numbers from each start on, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def char_counts(words: pa.ListArray) -> Counts:
     """Character 3- to 5-grams inside words padded with one space on each side.
 
@@ -88,30 +105,40 @@ def char_counts(words: pa.ListArray) -> Counts:
     key, times = np.unique(document * len(distinct) + codes, return_counts=True)
     document, word = key // max(len(distinct), 1), key % max(len(distinct), 1)
     # All words one after the other, by code points; `row` ends in five more so that a gram may look ahead.
-    joined = "".join(f" {word} " for word in distinct.to_pylist())
+    padded = pc.binary_join_element_wise("", distinct, "", " ")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(padded)], pa.int32()), padded), "")[0].as_py()
     row = np.frombuffer((joined + " " * CHAR_GRAMS[-1]).encode("utf-32-le"), np.uint32).astype(np.int64)
     text = np.frombuffer(joined.encode(), np.uint8)
     at = np.concatenate([[0], np.cumsum(1 + (row >= 0x80) + (row >= 0x800) + (row >= 0x10000))])
     lengths = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64) + 2
     starts = np.cumsum(lengths) - lengths
-    letters, row = np.unique(row, return_inverse=True)
-    gram, found, parts, names = row[: len(joined)], 0, [], []
+    used = np.zeros(0x110000, bool)
+    used[row] = True
+    row, letters = (np.cumsum(used) - 1)[row], int(used.sum())
+    gram, most, found, parts, names = row[: len(joined)], letters, 0, [], []
     for size in range(2, CHAR_GRAMS[-1] + 1):
+        if most * letters >= 1 << 63:
+            # Of so many letters a gram's number gets too large; it is made the place among those there are.
+            gram = np.unique(gram, return_inverse=True)[1]
+            most = len(gram)
         # A gram is the number of the one before it in length, and its last letter.
-        grams, first, gram = np.unique(
-            gram * len(letters) + row[size - 1 : size - 1 + len(joined)], return_index=True, return_inverse=True
-        )
+        gram, most = gram * letters + row[size - 1 : size - 1 + len(joined)], most * letters
         if size not in CHAR_GRAMS:
             continue
+        # Grams that only cross from word to word are left out.
         inside = np.maximum(lengths - size + 1, 0)
+        place = _ranges(starts, inside)
+        encoded = pa.array(gram[place]).dictionary_encode()
+        number, grams = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(encoded.dictionary)
+        some = np.zeros(grams, np.int64)
+        some[number] = place
         each = inside[word]
-        place = np.repeat(starts[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        key, tf = _summed(np.repeat(document, each) * len(grams) + gram[place], np.repeat(times, each))
-        # Grams that only cross from word to word are left out.
-        used, number = np.unique(key % max(len(grams), 1), return_inverse=True)
-        parts.append((key // max(len(grams), 1), number + found, tf))
-        names.append(_pieces(text, at[first[used]], at[first[used] + size] - at[first[used]]))
-        found += len(used)
+        own = number[_ranges((np.cumsum(inside) - inside)[word], each)]
+        bits = grams.bit_length()
+        key, tf = _summed(np.repeat(document << bits, each) | own, np.repeat(times, each))
+        parts.append((key >> bits, (key & ((1 << bits) - 1)) + found, tf))
+        names.append(_pieces(text, at[some], at[some + size] - at[some]))
+        found += grams
     return Counts(len(words), *(np.concatenate(column) for column in zip(*parts)), pa.concat_arrays(names))
 
 
@@ -137,8 +164,9 @@ def weigh(counts: Counts, known: pa.Array, idf: np.ndarray) -> Weights:
     slots = pc.fill_null(pc.index_in(counts.terms, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     slot = slots[counts.term] if len(counts.term) else np.zeros(0, np.int64)
     kept = np.flatnonzero(slot >= 0)
-    kept = kept[np.argsort(counts.document[kept] * len(known) + slot[kept])]
-    document, slot, tf = counts.document[kept], slot[kept], counts.tf[kept]
+    bits = len(known).bit_length()
+    key, tf = _in_order(counts.document[kept] << bits | slot[kept], counts.tf[kept])
+    document, slot = key >> bits, key & ((1 << bits) - 1)
     raw = (1.0 + np.log(tf.astype(np.float64))) * idf[slot]
     length = np.sqrt(np.bincount(document, raw * raw, minlength=counts.size))
     return Weights(counts.size, document, slot, tf, raw / length[document])

@@ -84,6 +84,21 @@ def test_sparse_rows_count_as_dense_ones():
         assert loss(sparse, [0, 1, 2], theta) == pytest.approx(loss(block, [0, 1, 2], theta))
 
 
+def test_gradient_of_all_classes_from_those_but_the_first():
+    block, columns = some_block(), 3
+    moments = fitting._moments(block)
+    problem, some = fitting._scaled(0, 0, moments, 5, columns, 0.1), np.random.default_rng(7)
+
+    def loss(point):
+        found = fitting.softmax_loss(block, [0], problem.inner(point))
+        assert len(found) == 1 + 6 * (columns - 1)  # all three before
+        return problem.outer(point, found[0], found[1:])
+
+    point = some.normal(size=6 * columns)
+    for n, step in enumerate(np.eye(len(point)) * 1e-6):
+        assert loss(point)[1][n] == pytest.approx((loss(point + step)[0] - loss(point - step)[0]) / 2e-6, abs=1e-6)
+
+
 def test_wide_vectors_reach_the_blocks_without_names_of_their_slots(spark):
     width = 5000
     some = [Vectors.sparse(width, [(n, 1.0), (width - 1, 0.5 * n)]) for n in range(8)] + [Vectors.dense(np.arange(width) * 1.0)]

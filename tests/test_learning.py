@@ -215,6 +215,31 @@ def test_tfidf_model_learns_words(spark, tmp_path):
     assert again.predict(rows.drop("focal_valence")).filter("predicted is null").count() == 0
 
 
+def test_vectors_of_texts_are_not_written(spark, monkeypatch):
+    words = {"Pro": "friendly success trade", "Anti": "hostile crisis sanctions", "Neutral": "report meeting visit"}
+    data = [(f"k{n}", 1, "AUT", list(words)[n % 3], f"{list(words.values())[n % 3]} filler{n % 4} text") for n in range(30)]
+    rows = spark.createDataFrame(
+        data, "merge_key string, key_occurrence int, frame_domain string, focal_valence string, model_text string"
+    )
+
+    def transform(*_, **__):
+        raise AssertionError("a table of vectors, many times as large as the texts")
+
+    monkeypatch.setattr(features.TfidfVectorizer, "transform", transform)
+    fitted = models.fit_model(rows, "tfidf_logistic_regression")
+    assert fitted.predict(rows).filter("predicted = focal_valence").count() == 30
+
+
+def test_grams_of_more_letters_than_a_number_holds():
+    text = "".join(chr(0x4E00 + n) for n in range(7000))
+    lists = [[text], ["ab", text[5:11], "ab"], [text[::-1]]]
+    counts = terms.char_counts(pa.array(lists, pa.list_(pa.string())))
+    found = [{} for _ in lists]
+    for document, term, tf in zip(counts.document, counts.term, counts.tf):
+        found[document][counts.terms[int(term)].as_py()] = int(tf)
+    assert found == [dict(char_rule(" ".join(words))) for words in lists]
+
+
 def test_models_predict_in_a_session_that_has_observed(spark):
     from pyspark.sql import Observation
 
