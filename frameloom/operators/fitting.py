@@ -35,7 +35,10 @@ MEMORY, TRIALS, VALUES = 10, 30, 20
 
 @dataclass
 class Block:
-    """Some rows of a table: a matrix, or the entries of a sparse one; classes and weights."""
+    """Some rows of a table: a matrix, or the entries of a sparse one; classes and weights.
+
+    Sparse rows may have entries in common: then the entries are those of parts, and to a
+    `row` belongs such a `share` of a `part`."""
 
     table: int
     width: int
@@ -45,25 +48,35 @@ class Block:
     at: np.ndarray | None = None
     values: np.ndarray | None = None
     sizes: np.ndarray | None = None
+    row: np.ndarray | None = None
+    part: np.ndarray | None = None
+    share: np.ndarray | None = None
 
     def times(self, w: np.ndarray) -> np.ndarray:
         if self.matrix is not None:
             return self.matrix @ w
         # Row by row: its weights, side by side in memory, are at hand when they are multiplied.
-        w, out = np.ascontiguousarray(w, self.values.dtype), np.zeros((len(self.y), w.shape[1]))
+        w, out = np.ascontiguousarray(w, self.values.dtype), np.zeros((len(self.sizes), w.shape[1]))
         for n, (end, size) in enumerate(zip(np.cumsum(self.sizes).tolist(), self.sizes.tolist())):
             out[n] = self.values[end - size : end] @ w.take(self.at[end - size : end], axis=0)
-        return out
+        return out if self.row is None else _dealt(self.row, self.share[:, None] * out[self.part], len(self.y))
 
     def back(self, r: np.ndarray) -> np.ndarray:
         """The transposed rows times `r`."""
         if self.matrix is not None:
             return self.matrix.T @ r
+        if self.row is not None:
+            r = _dealt(self.part, self.share[:, None] * r[self.row], len(self.sizes))
         at = self.at.astype(np.intp)
         columns = [np.bincount(at, np.repeat(column, self.sizes) * self.values, self.width) for column in r.T]
         return np.stack(columns, axis=1)
 
 
+def _dealt(to: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows by where they go."""
+    return np.stack([np.bincount(to, column, size) for column in rows.T], axis=1)
+
+
 def _block(table: int, width: int, rows: list[tuple], dense: bool) -> Block:
     vectors, y, weight = zip(*rows)
     y, weight = np.array(y), np.array(weight, float)
@@ -118,8 +131,10 @@ class Table:
     dense: bool
     #: Of the numbers in a matrix.
     kind: type = np.float64
-    #: Makes, inside a task, batches of a class, a weight and a vector's fields of the rows' batches.
-    maker: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None
+    #: Makes sparse blocks inside a task: of the rows' batches, their class and weight and the blocks' fields.
+    maker: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]] | None = None
+    #: Columns by which rows with entries in common become neighbors.
+    group: Sequence[str] = ()
 
 
 def task_counts(rows: Sequence[int], cores: int, least: Sequence[int] | None = None) -> list[int]:
@@ -137,27 +152,41 @@ def blocks(tables: Sequence[Table]) -> RDD:
     context = tables[0].rows.sparkSession.sparkContext
 
     def cut(table: Table, which: int, tasks: int) -> RDD:
-        width, dense, kind, classes = table.width, table.dense, table.kind, list(table.classes)
-        maker = table.maker or (lambda batches: batches)
+        width, dense, kind, classes, maker = table.width, table.dense, table.kind, list(table.classes), table.maker
+
+        def numbers(label: pa.Array) -> np.ndarray:
+            return pc.index_in(label, value_set=pa.array(classes, label.type)).to_numpy(zero_copy_only=False)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in maker(batches):
-                label, weight, vectors = batch.columns
-                y = pc.index_in(label, value_set=pa.array(classes, label.type)).to_numpy(zero_copy_only=False)
+            for batch in batches:
+                vectors, label, weight = batch.columns
+                y = numbers(label)
                 for block in arrow_blocks(which, width, vectors, y, weight.to_numpy(zero_copy_only=False), dense, kind):
-                    yield pa.RecordBatch.from_pydict({"block": [pickle.dumps(block, pickle.HIGHEST_PROTOCOL)]})
+                    yield _pickled(block)
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (label, weight), fields in maker(batches):
+                fields["values"] = fields["values"].astype(kind)
+                yield _pickled(Block(which, width, numbers(label), weight.to_numpy(zero_copy_only=False), **fields))
 
-        rows = table.rows
-        if table.maker is None:
+        if maker is None:
             # As fields, in Arrow: rows of vectors would be pickled entry by entry, with their schema in each batch.
-            rows = rows.toDF("_x", "_label", "_weight").select("_label", "_weight", F.unwrap_udt("_x").alias("_x"))
-        return rows.repartition(tasks).mapInArrow(run, "block binary").rdd.map(lambda row: pickle.loads(row[0]))
+            fields = table.rows.toDF("_x", "_label", "_weight").withColumn("_x", F.unwrap_udt("_x"))
+            made = fields.repartition(tasks).mapInArrow(run, "block binary")
+        else:
+            rows = table.rows.repartition(tasks, *table.group).sortWithinPartitions(*table.group)
+            made = rows.mapInArrow(make, "block binary")
+        return made.rdd.map(lambda row: pickle.loads(row[0]))
 
     least = [ROWS_PER_TASK if table.dense else WIDE_ROWS_PER_TASK for table in tables]
     tasks = task_counts([table.count for table in tables], context.defaultParallelism, least)
     return context.union([cut(table, n, tasks[n]) for n, table in enumerate(tables)]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _pickled(block: Block) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": [pickle.dumps(block, pickle.HIGHEST_PROTOCOL)]})
+
+
 def summed(rdd: RDD, run: Callable[[Block], np.ndarray], size: int = 0) -> dict[int, np.ndarray]:
     """For each table, the sum of what `run` makes of its blocks: `size` numbers or so."""
 
@@ -374,25 +403,30 @@ class Classifier:
 
     def best(self, vectors: pa.StructArray) -> np.ndarray:
         """The number of the highest score's class, of vectors by their fields."""
-        width, found = len(self.weights[0]) - 1, [np.zeros(0, np.int64)]
+        found, width = [np.zeros(0, np.int64)], self.width
         nothing = np.zeros(len(vectors))
         for block in arrow_blocks(0, width, vectors, nothing, nothing, len(self.weights) > 1 or width <= DENSE_WIDTH):
-            if block.matrix is None:
-                scores = block.times(self.weights[0][:-1]) + self.weights[0][-1]
-            else:
-                scores = activations(block.matrix, self.weights)[-1]
-            found.append(scores.argmax(axis=1))
+            found.append(self.best_of(block))
         return np.concatenate(found)
 
-    def labels(self, vectors: pa.StructArray) -> pa.Array:
-        """The predicted classes of vectors by their fields."""
-        return pa.array(self.classes, pa.string()).take(pa.array(self.best(vectors)))
+    @property
+    def width(self) -> int:
+        return len(self.weights[0]) - 1
+
+    def best_of(self, block: Block) -> np.ndarray:
+        """As `best`, of the rows of a block."""
+        if block.matrix is None:
+            return (block.times(self.weights[0][:-1]) + self.weights[0][-1]).argmax(axis=1)
+        return activations(block.matrix, self.weights)[-1].argmax(axis=1)
+
+    def named(self, best: np.ndarray) -> pa.Array:
+        return pa.array(self.classes, pa.string()).take(pa.array(best))
 
     def predicted(self, vector: Column, spark: SparkSession) -> Column:
         shared = spark.sparkContext.broadcast(self)
 
         def run(vectors: pa.Array) -> pa.Array:
-            return shared.value.labels(vectors)
+            return shared.value.named(shared.value.best(vectors))
 
         return F.arrow_udf(run, "string")(F.unwrap_udt(vector))
 

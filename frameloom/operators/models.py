@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from frameloom.contract import APPLICATION_KEY, MAX_TERMS, NO_ACTOR, NOT_APPLICABLE, STRUCTURED_COLUMNS, VALENCE_COLUMN
+from frameloom.contract import APPLICATION_KEY, MAX_TERMS, NO_ACTOR, NOT_APPLICABLE, POST_KEY, STRUCTURED_COLUMNS, VALENCE_COLUMN
 from frameloom.operators import fitting
 from frameloom.operators.features import (
     Settle,
@@ -120,12 +120,14 @@ class Predictor:
 
     def predict_documents(self, documents: DataFrame, key: Sequence[str] = APPLICATION_KEY) -> DataFrame:
         """`key` and the predicted class of split documents; a document's vector does not leave its task."""
-        maker, shared = self.vectorizer.maker(key), documents.sparkSession.sparkContext.broadcast(self.classifier)
+        maker = self.vectorizer.maker(key, [name for name in key if name in POST_KEY])
+        shared = documents.sparkSession.sparkContext.broadcast(self.classifier)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in maker(batches):
-                found = shared.value.labels(part.column("features"))
-                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in key), found], names=[*key, PREDICTED])
+            for part, fields in maker(batches):
+                model, nothing = shared.value, np.zeros(part.num_rows)
+                found = model.named(model.best_of(fitting.Block(0, model.width, nothing, nothing, **fields)))
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*key, PREDICTED])
 
         kinds = StructType([*(documents.schema[name] for name in key), StructField(PREDICTED, StringType())])
         return self.vectorizer.needed(documents, key).mapInArrow(run, kinds)
@@ -211,15 +213,16 @@ def fit_model(
 def fit_documents(documents: DataFrame, name: str, target: str, seed: int, vectorizer: TfidfVectorizer) -> Predictor:
     """Fit one model on split documents that carry their class; their vectors are made where the
     blocks of the fit are, and nowhere else."""
-    weighted = with_class_weight(documents, target)
+    weighted, columns = with_class_weight(documents, target), [target, "class_weight"]
     table = fitting.Table(
-        vectorizer.needed(weighted, [target, "class_weight"]),
+        vectorizer.needed(weighted, [*columns, *POST_KEY]),
         documents.count(),
         vectorizer.size,
         tuple(class_list(documents, target)),
-        vectorizer.size <= fitting.DENSE_WIDTH,
-        np.float64 if vectorizer.size <= fitting.DENSE_WIDTH else np.float32,
-        vectorizer.maker([target, "class_weight"]),
+        dense=False,
+        kind=np.float32,
+        maker=vectorizer.maker(columns, POST_KEY),
+        group=POST_KEY,
     )
     pipeline = PipelineModel(feature_stages([], "_v"))
     found = fit_classifiers(name, [table], seed)[0]

@@ -6,8 +6,8 @@ term, or a document's weights as lists.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 CHAR_GRAMS = (3, 4, 5)
 #: Words whose terms are counted at once, if they are not of a single document.
-WORDS_AT_ONCE = 100_000
+WORDS_AT_ONCE = 250_000
 
 
 @dataclass(frozen=True)
@@ -71,15 +71,24 @@ def _encoded(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def word_counts(words: pa.ListArray) -> Counts:
     """Words and pairs of neighboring words."""
-    document, codes, distinct = _encoded(words)
+    return _word_counts(len(words), *_encoded(words))
+
+
+def _word_counts(
+    size: int, document: np.ndarray, codes: np.ndarray, distinct: pa.Array, more: tuple[np.ndarray, ...] = ()
+) -> Counts:
+    """`more` pairs have their documents, left and right words."""
     inside = document[1:] == document[:-1]
-    pairs, pair = np.unique(codes[:-1][inside] * len(distinct) + codes[1:][inside], return_inverse=True)
+    owner, left, right = (
+        np.concatenate(column) for column in zip((document[:-1][inside], codes[:-1][inside], codes[1:][inside]), more or [[]] * 3)
+    )
+    pairs, pair = np.unique((left * len(distinct) + right).astype(np.int64), return_inverse=True)
     left, right = (distinct.take(pa.array(side)) for side in (pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)))
     terms = pa.concat_arrays([distinct, pc.binary_join_element_wise(left, right, " ")])
-    every = np.concatenate([document, document[:-1][inside]])
+    every = np.concatenate([document, owner]).astype(np.int64)
     term = np.concatenate([codes, pair + len(distinct)])
     key, tf = np.unique(every * len(terms) + term, return_counts=True)
-    return Counts(len(words), key // max(len(terms), 1), key % max(len(terms), 1), tf, terms)
+    return Counts(size, key // max(len(terms), 1), key % max(len(terms), 1), tf, terms)
 
 
 def _pieces(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -101,7 +110,14 @@ def char_counts(words: pa.ListArray) -> Counts:
     A word has the same grams wherever it stands, so each distinct word is cut up once
     and its grams count as often as the word.
     """
-    document, codes, distinct = _encoded(words)
+    return _char_counts(len(words), *_encoded(words))
+
+
+def _char_counts(
+    size: int, document: np.ndarray, codes: np.ndarray, distinct: pa.Array, more: tuple[np.ndarray, ...] = ()
+) -> Counts:
+    """No gram goes from word to word, so `more` pairs have none."""
+    documents = size
     key, times = np.unique(document * len(distinct) + codes, return_counts=True)
     document, word = key // max(len(distinct), 1), key % max(len(distinct), 1)
     # All words one after the other, by code points; `row` ends in five more so that a gram may look ahead.
@@ -139,10 +155,78 @@ def char_counts(words: pa.ListArray) -> Counts:
         parts.append((key >> bits, (key & ((1 << bits) - 1)) + found, tf))
         names.append(_pieces(text, at[some], at[some + size] - at[some]))
         found += grams
-    return Counts(len(words), *(np.concatenate(column) for column in zip(*parts)), pa.concat_arrays(names))
+    return Counts(documents, *(np.concatenate(column) for column in zip(*parts)), pa.concat_arrays(names))
 
 
 ANALYZERS = {"word": word_counts, "char": char_counts}
+_COUNTERS = {"word": _word_counts, "char": _char_counts}
+
+
+@dataclass(frozen=True)
+class Shared:
+    """Terms of documents that may end alike. A document has the terms of the piece of its own
+    number and those of its `base`, a piece behind those of the documents (-1: none), and no
+    term is in both. A piece belongs to so many documents as `times` says."""
+
+    counts: Counts
+    base: np.ndarray
+    times: np.ndarray
+
+
+def groups(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """A number for each row, the same for neighbors that agree in the columns `names`."""
+    new = np.ones(batch.num_rows, bool)
+    if len(new) > 1 and names:
+        same = [pc.fill_null(pc.equal(batch.column(n).slice(1), batch.column(n).slice(0, len(new) - 1)), False) for n in names]
+        new[1:] = ~np.logical_and.reduce([column.to_numpy(zero_copy_only=False) for column in same])
+    return np.cumsum(new) - 1
+
+
+def _common_ends(codes: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How many words all documents of a group have in common at their ends; none if there is but one."""
+    ends, second = np.cumsum(sizes), np.flatnonzero(group[1:] == group[:-1]) + 1
+    tails = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
+    most = np.minimum(sizes[second], sizes[second - 1])
+    back = _ranges(np.zeros(len(second), np.int64), most)
+    other = codes[np.repeat(ends[second] - 1, most) - back] != codes[np.repeat(ends[second - 1] - 1, most) - back]
+    pair = np.repeat(np.arange(len(second)), most)[other]
+    np.minimum.at(most, pair, back[other])
+    np.minimum.at(tails, group[second], most)
+    return np.where(tails == np.iinfo(np.int64).max, 0, tails)[group]
+
+
+def shared_counts(analyzer: str, words: pa.ListArray, group: np.ndarray) -> Shared:
+    """As the analyzers count, but what the documents of a group end with is counted once for all.
+    The members of a group, which has a number, are neighbors."""
+    size, (document, codes, distinct) = len(words), _encoded(words)
+    sizes = np.bincount(document, minlength=size)
+    ends, tail = np.cumsum(sizes), _common_ends(codes, sizes, group)
+    starts = (tail > 0) & np.concatenate([[True], group[1:] != group[:-1]])[:size]
+    number, heads = np.cumsum(starts) - 1, np.flatnonzero(starts)
+    base = np.where(tail > 0, size + number, -1)
+    times = np.concatenate([np.ones(size, np.int64), np.bincount(number[tail > 0], minlength=len(heads))])
+    place = np.concatenate([_ranges(ends - sizes, sizes - tail), _ranges((ends - tail)[heads], tail[heads])])
+    piece = np.repeat(np.arange(len(times)), np.concatenate([sizes - tail, tail[heads]]))
+    # The pair of a document's own last word and the first one in common is its own.
+    both = np.flatnonzero((tail > 0) & (tail < sizes))
+    more = both, codes[(ends - tail)[both] - 1], codes[(ends - tail)[both]]
+    counts = _COUNTERS[analyzer](len(times), piece, codes[place], distinct, more)
+
+    # Terms that are in a document's own piece and in its base go from the base to all its documents.
+    bits = len(counts.terms).bit_length()
+    own, key = counts.document < size, counts.document << bits | counts.term
+    there, entry = _in_order(key[~own], np.flatnonzero(~own))
+    asked = counts.document[own], counts.term[own]
+    asked = (base[asked[0]] << bits | asked[1])[base[asked[0]] >= 0]
+    at = np.minimum(np.searchsorted(there, asked), max(len(there) - 1, 0))
+    moved = np.unique(entry[at[there[at] == asked]]) if len(there) else np.zeros(0, np.int64)
+    left = ~own
+    left[moved] = False
+    each = times[counts.document[moved]]
+    given = _ranges(heads[counts.document[moved] - size], each) << bits | np.repeat(counts.term[moved], each)
+    key, tf = _summed(np.concatenate([key[own], given]), np.concatenate([counts.tf[own], np.repeat(counts.tf[moved], each)]))
+    columns = (key >> bits, counts.document[left]), (key & ((1 << bits) - 1), counts.term[left]), (tf, counts.tf[left])
+    return Shared(Counts(len(times), *map(np.concatenate, columns), counts.terms), base, times)
 
 
 @dataclass(frozen=True)
@@ -159,14 +243,27 @@ class Weights:
         return np.searchsorted(self.document, np.arange(self.size + 1))
 
 
-def weigh(counts: Counts, known: pa.Array, idf: np.ndarray) -> Weights:
-    """Unit-length weights `(1 + ln tf) * idf` of the terms in `known`, whose places are the slots."""
+def _plain_weights(counts: Counts, known: pa.Array, idf: np.ndarray) -> Weights:
+    """`(1 + ln tf) * idf` of the terms in `known`, whose places are the slots."""
     slots = pc.fill_null(pc.index_in(counts.terms, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
     slot = slots[counts.term] if len(counts.term) else np.zeros(0, np.int64)
     kept = np.flatnonzero(slot >= 0)
     bits = len(known).bit_length()
     key, tf = _in_order(counts.document[kept] << bits | slot[kept], counts.tf[kept])
     document, slot = key >> bits, key & ((1 << bits) - 1)
-    raw = (1.0 + np.log(tf.astype(np.float64))) * idf[slot]
-    length = np.sqrt(np.bincount(document, raw * raw, minlength=counts.size))
-    return Weights(counts.size, document, slot, tf, raw / length[document])
+    return Weights(counts.size, document, slot, tf, (1.0 + np.log(tf.astype(np.float64))) * idf[slot])
+
+
+def weigh(counts: Counts, known: pa.Array, idf: np.ndarray) -> Weights:
+    """Unit-length weights `(1 + ln tf) * idf` of the terms in `known`, whose places are the slots."""
+    found = _plain_weights(counts, known, idf)
+    length = np.sqrt(np.bincount(found.document, found.weight**2, minlength=counts.size))
+    return replace(found, weight=found.weight / length[found.document])
+
+
+def weigh_shared(shared: Shared, known: pa.Array, idf: np.ndarray) -> tuple[Weights, np.ndarray]:
+    """Of the pieces, the weights before they are scaled, and by how much each document scales its own."""
+    found, size = _plain_weights(shared.counts, known, idf), len(shared.base)
+    squares = np.bincount(found.document, found.weight**2, minlength=shared.counts.size)
+    squares = squares[:size] + np.where(shared.base >= 0, np.append(squares, 0.0)[shared.base], 0.0)
+    return found, 1.0 / np.sqrt(np.where(squares > 0, squares, 1.0))

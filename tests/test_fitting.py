@@ -84,6 +84,20 @@ def test_sparse_rows_count_as_dense_ones():
         assert loss(sparse, [0, 1, 2], theta) == pytest.approx(loss(block, [0, 1, 2], theta))
 
 
+def test_rows_of_shared_parts_count_as_dense_ones():
+    parts, some = some_block(rows=7), np.random.default_rng(8)
+    row, part, share = np.arange(12).repeat(2), some.integers(0, 7, 24), some.random(24)
+    matrix = np.zeros((12, 5))
+    np.add.at(matrix, row, share[:, None] * parts.matrix[part])
+    dense = dataclasses.replace(some_block(), matrix=matrix)
+    n, at = np.nonzero(parts.matrix)
+    entries = {"at": at.astype(np.int32), "values": parts.matrix[n, at], "sizes": np.bincount(n, minlength=7)}
+    shared = dataclasses.replace(dense, matrix=None, **entries, row=row, part=part, share=share)
+    theta = some.normal(size=6 * 3)
+    for loss in (fitting.softmax_loss, fitting.hinge_loss):
+        assert loss(shared, [0, 1, 2], theta) == pytest.approx(loss(dense, [0, 1, 2], theta))
+
+
 def test_gradient_of_all_classes_from_those_but_the_first():
     block, columns = some_block(), 3
     moments = fitting._moments(block)

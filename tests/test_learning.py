@@ -5,11 +5,12 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
-from frameloom.operators import features, folds, metrics, models, terms
+from frameloom.operators import features, fitting, folds, metrics, models, terms
 from frameloom.session import settle
 
 TEXTS = ["The cat sat. The cat!", "a cat and the dog_1", "Öl und Cat", "", "x"]
@@ -83,6 +84,53 @@ def test_terms_are_counted_in_parts_of_few_words(monkeypatch, at_once):
         assert [found.get(n, {}) for n in range(before)] == [dict(rule(" ".join(words or []))) for words in lists]
 
 
+SHARING = ["a1 b1 same end b1", "b1 x1 same end b1", "end b1", "end b1", "alone here", "same end b1", "", "b1 same end b1", "c1 other"]
+POSTS = [0, 0, 1, 1, 2, 3, 4, 5, 5]
+
+
+@pytest.mark.parametrize("analyzer, rule", [("word", word_rule), ("char", char_rule)])
+def test_what_texts_of_a_post_end_with_is_counted_once(analyzer, rule):
+    words = pa.array([text.split() for text in SHARING], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_pydict({"post": POSTS, "words": words})
+    found = terms.shared_counts(analyzer, words, terms.groups(batch, ["post"]))
+    names, size = found.counts.terms.to_pylist(), len(SHARING)
+    pieces = [Counter() for _ in range(found.counts.size)]
+    for piece, term, tf in zip(found.counts.document, found.counts.term, found.counts.tf):
+        pieces[piece][names[term]] = tf
+    assert [n >= size for n in found.base] == [True] * 4 + [False] * 5
+    for text, own, base in zip(SHARING, pieces, found.base):
+        shared = pieces[base] if base >= 0 else Counter()
+        assert not own.keys() & shared.keys() and own + shared == rule(text)
+    assert list(found.times) == [1] * size + [2, 2]
+    known = pa.array(names[: len(names) // 2])
+    idf = 1.0 + pc.utf8_length(known).to_numpy()
+    plain, (weights, scale) = terms.weigh(terms.ANALYZERS[analyzer](words), known, idf), terms.weigh_shared(found, known, idf)
+    wanted = {(d, t): w for d, t, w in zip(plain.document.tolist(), plain.slot.tolist(), plain.weight)}
+    got = {
+        (d, t): w * scale[d]
+        for piece, t, w in zip(weights.document.tolist(), weights.slot.tolist(), weights.weight)
+        for d in ([piece] if piece < size else [d for d in range(size) if found.base[d] == piece])
+    }
+    assert got == pytest.approx(wanted)
+
+
+def test_a_post_is_held_once_in_the_blocks(spark, monkeypatch):
+    body = " ".join(f"word{n}" for n in range(200))
+    data = [(f"k{n}", 1, domain, ("Pro", "Anti")[n % 2], f"frame={domain} text={body} {n % 2}x") for n in range(6) for domain in ("AUT", "DEM", "WEST")]
+    rows = spark.createDataFrame(
+        data, "merge_key string, key_occurrence int, frame_domain string, focal_valence string, model_text string"
+    )
+    some, blocks = [], fitting.blocks
+    monkeypatch.setattr(fitting, "blocks", lambda tables: some.append(blocks(tables)) or some[0])
+    fitted = models.fit_model(rows, "tfidf_logistic_regression")
+    held, whole = some[0].map(lambda block: len(block.at)).sum(), features.TfidfVectorizer.vectorize(
+        fitted.vectorizer, features.split_documents(rows, settle)
+    ).agg(F.sum(F.size("features.indices"))).first()[0]
+    assert held < 0.5 * whole  # all of it before
+    assert some[0].map(lambda block: len(block.y)).sum() == 18
+    assert fitted.predict(rows).filter("predicted = focal_valence").count() == 18
+
+
 def test_vectors_are_made_where_the_documents_are(spark):
     split = features.split_documents(documents(spark), settle, ["id"])
     plan = features.TfidfVectorizer.learn(split, settle).vectorize(split, ["id"])._jdf.queryExecution().executedPlan()
