@@ -15,8 +15,6 @@ WHITE_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-#: The same inside the brackets of a pattern; a chain of single characters is tested more slowly than a few ranges.
-WHITE_RANGES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FIELD_SEPARATOR = "\x1f"
 KEY_BLANKS = ("\t", "\n", "\f", "\r")
 ELLIPSIS = " ..."

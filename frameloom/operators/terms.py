@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from frameloom.functions.text import WHITE_SPACE
+
 CHAR_GRAMS = (3, 4, 5)
 #: Words whose terms are counted at once, if they are not of a single document.
 WORDS_AT_ONCE = 250_000
@@ -29,6 +31,26 @@ class Counts:
     terms: pa.Array
 
 
+def lists(batches: Iterator[pa.RecordBatch], names: Sequence[str] = ("words", "_char")) -> Iterator[pa.RecordBatch]:
+    """The batches, with texts in the columns `names` split at white space."""
+    for batch in batches:
+        for name in names:
+            if name in batch.schema.names and not pa.types.is_nested(batch.column(name).type):
+                at = batch.schema.get_field_index(name)
+                batch = batch.set_column(at, name, _split(batch.column(name)))
+        yield batch
+
+
+def _split(text: pa.Array) -> pa.ListArray:
+    """The words between white space."""
+    found = pc.split_pattern_regex(pc.fill_null(text.cast(pa.string()), ""), pattern=f"[{WHITE_SPACE}]+")
+    words = found.flatten()
+    kept = pc.not_equal(words, "")  # at the ends of a text
+    until = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(until[np.concatenate([[0], ends])], pa.int32()), words.filter(kept))
+
+
 def slices(batch: pa.RecordBatch, words: str) -> Iterator[pa.RecordBatch]:
     """`batch` in parts of few words."""
     until = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(words)), 0).to_numpy(zero_copy_only=False))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
+from frameloom.functions.text import WHITE_SPACE
 from frameloom.operators import features, fitting, folds, metrics, models, terms
 from frameloom.session import settle
 
@@ -68,6 +69,14 @@ def test_totals_are_the_sums_of_the_weights(spark, analyzer, rule):
     assert all(got[term] == pytest.approx(expected[term]) for term in got)
 
 
+def test_texts_are_split_where_their_words_are_read():
+    texts = ["a b", None, "", " \t ", f"{WHITE_SPACE}öl{WHITE_SPACE}b\u200bc\x00", "x"]
+    batch = pa.RecordBatch.from_pydict({"_char": pa.array(texts, pa.string()), "_word": pa.array([["q"]] * 6)})
+    found = next(terms.lists(iter([batch.slice(1), batch])))
+    assert found.column("_char").to_pylist() == [[], [], [], ["öl", "b\u200bc\x00"], ["x"]]
+    assert found.column("_word").to_pylist() == [["q"]] * 5
+
+
 @pytest.mark.parametrize("at_once", [1, 4, 100])
 def test_terms_are_counted_in_parts_of_few_words(monkeypatch, at_once):
     monkeypatch.setattr(terms, "WORDS_AT_ONCE", at_once)
